@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,46 @@ def p1_near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "docs"))
 
 
-QUERIES = [p1_found, p1_near_duplicate_classes]
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.split_overlap import split_overlaps
+
+    pairs = split_overlaps(_table(spark, sf_dir, "pairs"), threshold=0.6)
+    return pairs.select("dataset", "split", F.least("id_eval", "id_train").alias("id_a"), F.greatest("id_eval", "id_train").alias("id_b")).distinct()
+
+
+def p4_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.split_overlap import overlap_report
+
+    return overlap_report(_table(spark, sf_dir, "pairs"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.leakage import leaked_passages
+
+    return leaked_passages(_table(spark, sf_dir, "eval_items"), _table(spark, sf_dir, "documents"), least=0.4).select("item_id", "doc_id")
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation item that leaked: the documents that hold it and the largest share of it in one of them."""
+    from stylomill.llm.leakage import leaked_passages
+
+    found = leaked_passages(_table(spark, sf_dir, "eval_items"), _table(spark, sf_dir, "documents"), least=0.4)
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max(F.round(F.col("n_shared") / F.col("n_item"), 6)).alias("largest_share"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.canonical import look_alike_pairs
+
+    return look_alike_pairs(_table(spark, sf_dir, "documents"))
+
+
+def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.canonical import canonical_texts
+
+    return canonical_texts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = [p1_found, p1_near_duplicate_classes, p4_found, p4_overlap_report, p7_found, p7_leaked_items, p9_found, p9_canonical_texts]
 SQL: dict[str, str] = {}
 
 
