@@ -2,7 +2,8 @@
 
 1. Document frequencies of hashed shingles are counted over all texts (a table of fixed size, whatever the corpus).
 2. Each text gets `bands * rows` consistent weighted samples; `rows` samples together are a band key.
-3. Texts with a band key in common are candidates. Rows meet by a join on the key, after copies were folded.
+3. Texts with two band keys in common are candidates (texts alike by 0.7 or more miss that once in a thousand times).
+   Rows meet by a join on the key, after copies were folded, in each task and then for each key.
 4. Candidates are verified with their whole shingle vectors.
 """
 
@@ -24,6 +25,8 @@ DF_BUCKETS = 1 << 18
 _PIECES = 16
 #: Rows of the table of random draws; a shingle takes r and beta from one row, c from another.
 _DRAWS = 1 << 14
+#: Texts a task remembers so as to leave out copies; after that many it begins anew, and the rest fold after the shuffle.
+_SEEN = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -95,15 +98,18 @@ def idf_weights(texts: DataFrame, n: int) -> Broadcast:
 
 
 def _weights(h: np.ndarray, tf: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    return factor[(h % np.uint64(DF_BUCKETS)).astype(np.int64)] * (1 + np.log(tf)).astype(np.float32)
+    return factor[h.astype(np.int64) & (DF_BUCKETS - 1)] * (1 + np.log(tf)).astype(np.float32)
 
 
 def _band(n: int, bands: int, rows: int, least_words: int, idf: Broadcast):
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, sampler, factor = S.WordHashes(), Sampler(bands * rows), idf.value
         marks = S.mix(np.arange(1, bands + 1, dtype=np.uint64))
+        seen: set[int] = set()
         for pdf in batches:
             pdf = pdf.drop_duplicates("doc")
+            pdf = pdf[[x not in seen for x in pdf["doc"]]]  # copies leave here, before the shuffle
+            seen = set(pdf["doc"]) if len(seen) > _SEEN else seen | set(pdf["doc"])
             every, docs = pdf["text"].tolist(), pdf["doc"].to_numpy(np.int64)
             for at in range(0, len(every), S.CHUNK):
                 h, i = S.tokens(every[at : at + S.CHUNK], words)
@@ -126,55 +132,61 @@ def _band(n: int, bands: int, rows: int, least_words: int, idf: Broadcast):
     return keys
 
 
-def _vectors(n: int, idf: Broadcast):
+def _vectors(n: int):
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, factor = S.WordHashes(), idf.value
+        words = S.WordHashes()
         for pdf in batches:
             every = pdf["text"].tolist()
             for at in range(0, len(every), S.CHUNK):
                 part = every[at : at + S.CHUNK]
                 h, i = S.tokens(part, words)
-                w, i, _ = S.windows(h, i, n)
-                w, i, tf = S.distinct(w, i)
-                weight, b = _weights(w, tf, factor), S.bounds(i, len(part))
+                w, i, tf = S.distinct(*S.windows(h, i, n)[:2])
+                low, tf, b = w.astype(np.uint32), np.minimum(tf, 65535).astype(np.uint16), S.bounds(i, len(part))
                 yield pd.DataFrame({
                     "doc": pdf["doc"].iloc[at : at + S.CHUNK].to_numpy(),
-                    "sh": [w[x:y].tobytes() for x, y in zip(b[:-1], b[1:])],
-                    "wt": [weight[x:y].astype(np.float32).tobytes() for x, y in zip(b[:-1], b[1:])],
+                    "sh": [low[x:y].tobytes() for x, y in zip(b[:-1], b[1:])],
+                    "tf": [tf[x:y].tobytes() if tf[x:y].max(initial=1) > 1 else b"" for x, y in zip(b[:-1], b[1:])],
                 })
 
     return vectors
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        like, weighted = np.zeros(len(pdf)), np.zeros(len(pdf))
-        for k, (sa, wa, sb, wb) in enumerate(zip(pdf["sh_a"], pdf["wt_a"], pdf["sh_b"], pdf["wt_b"])):
-            a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-            _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-            fa, fb = np.frombuffer(wa, np.float32), np.frombuffer(wb, np.float32)
-            shared, most = np.minimum(fa[x], fb[y]).sum(dtype=np.float64), np.maximum(fa[x], fb[y]).sum(dtype=np.float64)
-            rest = fa.sum(dtype=np.float64) - fa[x].sum(dtype=np.float64) + fb.sum(dtype=np.float64) - fb[y].sum(dtype=np.float64)
-            like[k] = len(x) / max(1, len(a) + len(b) - len(x))
-            weighted[k] = shared / max(1e-9, most + rest)
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": like, "weighted": weighted})
+def _vector(sh: bytes, tf: bytes, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(sh, np.uint32)
+    return h, _weights(h, np.frombuffer(tf, np.uint16) if tf else np.ones(len(h), np.uint16), factor)
+
+
+def _verify(idf: Broadcast):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        factor = idf.value
+        for pdf in batches:
+            like, weighted = np.zeros(len(pdf)), np.zeros(len(pdf))
+            for k, (sa, ta, sb, tb) in enumerate(zip(pdf["sh_a"], pdf["tf_a"], pdf["sh_b"], pdf["tf_b"])):
+                (a, wa), (b, wb) = _vector(sa, ta, factor), _vector(sb, tb, factor)
+                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                least = np.minimum(wa[x], wb[y]).sum(dtype=np.float64)
+                like[k] = len(x) / max(1, len(a) + len(b) - len(x))
+                weighted[k] = least / max(1e-9, wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - least)
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": like, "weighted": weighted})
+
+    return verify
 
 
-def similar_texts(texts: DataFrame, n: int = 5, bands: int = 20, rows: int = 3, least_words: int | None = None) -> DataFrame:
+def similar_texts(texts: DataFrame, n: int = 5, bands: int = 24, rows: int = 3, least_bands: int = 2, least_words: int | None = None) -> DataFrame:
     """(a, b, likeness, weighted): candidate pairs of different texts, a < b, with their plain and weighted Jaccard similarity.
 
     `texts` has doc BIGINT (equal for equal texts only) and text. A text with fewer than `least_words` (n, unless given) words
-    has no partner. Thresholds are the caller's: nothing is dropped here but what shares no band.
+    has no partner. Thresholds are the caller's: nothing is dropped here but what shares fewer than `least_bands` bands.
     """
     texts = spread(texts.select("doc", "text").where("text IS NOT NULL"))
     idf = idf_weights(texts, n)
-    keys = texts.mapInPandas(_band(n, bands, rows, least_words or n, idf), "key bigint, doc bigint").distinct()
-    other = keys.select("key", F.col("doc").alias("b"))
-    pairs = materialize(keys.withColumnRenamed("doc", "a").join(other, "key").where("a < b").select("a", "b").distinct(), "candidates")
+    keys = texts.mapInPandas(_band(n, bands, rows, least_words or n, idf), "key bigint, doc bigint").repartition("key").dropDuplicates(["key", "doc"])
+    met = keys.withColumnRenamed("doc", "a").join(keys.select("key", F.col("doc").alias("b")), "key").where("a < b")
+    pairs = materialize(met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_bands).select("a", "b"), "candidates")
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    vectors = texts.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInPandas(_vectors(n, idf), "doc bigint, sh binary, wt binary")
-    a, b = (vectors.select(F.col("doc").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("wt").alias(f"wt_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").mapInPandas(_verify, "a bigint, b bigint, likeness double, weighted double")
+    vectors = texts.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInPandas(_vectors(n), "doc bigint, sh binary, tf binary")
+    a, b = (vectors.select(F.col("doc").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("tf").alias(f"tf_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").mapInPandas(_verify(idf), "a bigint, b bigint, likeness double, weighted double")
 
 
 def text_key(col: str = "text"):
