@@ -34,6 +34,36 @@ def p4_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(_table(spark, sf_dir, "pairs"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.group_split import linked_pairs
+
+    return linked_pairs(_table(spark, sf_dir, "pairs"))
+
+
+def p5_author_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.group_split import split_by_author
+
+    return split_by_author(_table(spark, sf_dir, "pairs"), _table(spark, sf_dir, "docs"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.packing import pack_segments
+
+    return pack_segments(_table(spark, sf_dir, "segments")).where("n_pieces > 1 AND id IS NOT NULL").select("id").distinct()
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.packing import pack_segments
+
+    return pack_segments(_table(spark, sf_dir, "segments"))
+
+
+def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.packing import fill_report, pack_segments
+
+    return fill_report(pack_segments(_table(spark, sf_dir, "segments")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.leakage import leaked_passages
 
@@ -48,6 +78,18 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max(F.round(F.col("n_shared") / F.col("n_item"), 6)).alias("largest_share"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.mixture import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.mixture import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.canonical import look_alike_pairs
 
@@ -60,7 +102,7 @@ def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [p1_found, p1_near_duplicate_classes, p4_found, p4_overlap_report, p7_found, p7_leaked_items, p9_found, p9_canonical_texts]
+QUERIES = [p1_found, p1_near_duplicate_classes, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
 SQL: dict[str, str] = {}
 
 
