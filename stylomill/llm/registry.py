@@ -21,6 +21,16 @@ def p1_near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "docs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.responses import defective_responses
+
+    return defective_responses(_table(spark, sf_dir, "rewritten"), _table(spark, sf_dir, "docs"))
+
+
+def p2_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_found(spark, sf_dir).groupBy("field", "defect").agg(F.count("*").alias("n_responses"), F.countDistinct("id").alias("n_ids"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.split_overlap import split_overlaps
 
@@ -102,7 +112,7 @@ def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [p1_found, p1_near_duplicate_classes, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
+QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
 SQL: dict[str, str] = {}
 
 
