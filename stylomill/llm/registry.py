@@ -31,6 +31,18 @@ def p2_defect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("field", "defect").agg(F.count("*").alias("n_responses"), F.countDistinct("id").alias("n_ids"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.personal_data import personal_items
+
+    return personal_items(_table(spark, sf_dir, "docs"))
+
+
+def p3_masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.personal_data import masked_texts
+
+    return masked_texts(_table(spark, sf_dir, "docs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.split_overlap import split_overlaps
 
@@ -112,7 +124,7 @@ def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
+QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p3_found, p3_masked_texts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
 SQL: dict[str, str] = {}
 
 
