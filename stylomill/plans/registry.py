@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+MODULES = ("eda",)
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -20,9 +21,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"stylomill.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
