@@ -121,7 +121,7 @@ def matching_bounds(corpus: DataFrame) -> DataFrame:
 
     docs = corpus.where("author IS NOT NULL AND id IS NOT NULL").select("id", "author", genre_is("genre", "article").alias("a"), genre_is("genre", "tweet").alias("t"))
     by = docs.groupBy("author").agg(F.count_if("a").alias("n_a"), F.count_if("t").alias("n_t"))
-    sums = by.agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("articles"), F.coalesce(F.sum("n_t"), F.lit(0)).alias("tweets"), F.coalesce(F.sum(F.least("n_a", "n_t")), F.lit(0)).alias("pos_upper"), F.count_if("n_a > 0 AND n_t > 0").alias("authors_both"))
+    sums = by.agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("articles"), F.coalesce(F.sum("n_t"), F.lit(0)).alias("tweets"), F.coalesce(F.sum(F.least("n_a", "n_t")), F.lit(0)).alias("pos_upper"), F.count_if(F.expr("n_a > 0 AND n_t > 0")).alias("authors_both"))
     m = F.least("articles", "tweets")
     ra, rt = (numbered(docs.where(c), "id") for c in ("a", "t"))
     cut = sums.select(m.alias("m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES = ("eda",)
+MODULES = ("eda", "pairs", "segment")
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
