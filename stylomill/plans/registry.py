@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES = ("eda", "pairs", "segment", "evaluation", "attack")
+MODULES = ("eda", "pairs", "segment", "evaluation", "attack", "lines")
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
