@@ -158,14 +158,14 @@ def _layout(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def adversarial_pairs(
-    records: DataFrame, corpus: DataFrame, mode: str = "AA", pair_type: str = "impersonation", negatives: int = 1, most_uses: int = 50, swap: float = 0.5, seed: int = 7, rounds: int = 8
+    records: DataFrame, corpus: DataFrame, mode: str = "AA", pair_type: str = "impersonation", negatives: int = 1, most_uses: int = 50, swap: float = 0.5, seed: int = 7, rounds: int = 12
 ) -> DataFrame:
     """For each modified article a pair with another text of its author (label 1) and `negatives` with texts of others (label 0).
 
     records: (id, mod_text, ...), one row per id. Mode AA pairs with articles and prefers the modified text's length class; AT
     pairs with tweets, and its negatives take the class of the positive's tweet. Where a class has no candidate any other text
-    will do. A text is a negative at most `most_uses` times: sources beyond that choose again, up to `rounds` times; what is then
-    still unmet is missing, as are sources that the corpus lacks or whose author has no other text.
+    will do. A text is a negative at most `most_uses` times: sources beyond that choose again, up to `rounds` times, after a third
+    of them among all classes; what is then still unmet is missing, as are sources that the corpus lacks or whose author has no other text.
     """
     genre, edges = ("article", ARTICLE_BINS) if mode == "AA" else ("tweet", TWEET_BINS)
     docs = corpus.where(X.genre_is("genre", genre)).where("author IS NOT NULL AND id IS NOT NULL").select("id", "author", X.length_bin(F.length("text"), edges).alias("bin"))
@@ -199,7 +199,7 @@ def adversarial_pairs(
     got: DataFrame | None = None
     for turn in range(rounds):
         k = F.concat_ws("|", F.col("id").cast("string"), F.lit(pair_type), F.col("no").cast("string"), F.lit(str(turn)))
-        nb, na = F.coalesce("gn", F.lit(0)) - F.coalesce("bn", F.lit(0)), F.col("n_all") - F.coalesce("an", F.lit(0))
+        nb, na = F.coalesce("gn", F.lit(0)) - F.coalesce("bn", F.lit(0)) if turn < rounds // 3 else F.lit(0), F.col("n_all") - F.coalesce("an", F.lit(0))
         pb, pa = F.col("gb") + X.hash_index(k, nb), 1 + X.hash_index(k, na)
         w = want.withColumn("pb", F.when(nb > 0, pb + F.when(pb >= F.col("bb"), F.col("bn")).otherwise(0))).withColumn("pa", F.when((nb <= 0) & (na > 0), pa + F.when(pa >= F.col("ab"), F.col("an")).otherwise(0)))
         n1 = w.where("pb IS NOT NULL").alias("s").join(laid.alias("c"), F.col("s.pb") == F.col("c.rn")).select(*[F.col(f"s.{c}") for c in (*cols, "no")], cand.alias("c"))

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 # Lines that are no speech, time tags, quotation marks.
 SKIP = ("[Music]", "[Applause]", "♪", "")
@@ -59,7 +60,7 @@ def without_repeats(lines: DataFrame, near: float = 0.95) -> DataFrame:
     return lines.select("file", "line_no", "value").groupBy("file").applyInPandas(_keep(near), "file string, line_no bigint, value string")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; NULL if one is."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

@@ -19,9 +19,12 @@ def process_new(spark: SparkSession, source: str, schema: str, out: str, checkpo
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(window_start, key, n, total): tumbling windows; rows later than the watermark are left out of a stream."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """(window_start, key, n, total): tumbling windows; rows later than the watermark are left out of a stream.
+
+    late None keeps the watermark that the stream has already.
+    """
+    e = events.withWatermark(time, late) if events.isStreaming and late else events
     return e.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
