@@ -125,7 +125,6 @@ def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p3_found, p3_masked_texts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
-SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
@@ -133,4 +132,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    from stylomill.llm.sql import SQL
+
     return dict(SQL)
