@@ -8,11 +8,14 @@ No task holds more of an author than a run's word counts and the tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stylomill.functions import text as X
+from stylomill.operators.stats import words_of
 from stylomill.session import materialize
 
 LEAST, MOST = 300, 420
@@ -68,56 +71,52 @@ def _string(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(genre: str):
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Parts (document, first word, words) and, where a part completes a segment, its number; a part left waiting has none yet."""
-        pdf = pdf.sort_values("r")
-        s, seg = int(pdf["state"].iloc[0]), int(pdf["before"].iloc[0])
-        out: list[tuple] = []
-
-        def add(r, i, first, n, status):
-            out.append((int(r), int(i), first, n, seg, status))
-
-        for r, i, w in zip(pdf["r"], pdf["id"], pdf["n_words"]):
-            w = int(w)
-            if w <= 0:
-                continue
-            if genre == "tweet":
-                if w > MOST:
-                    add(r, i, 0, MOST, "alone")
-                    s, seg = 0, seg + 1
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Parts (document, first word, words) with the number of the segment they are waiting for or complete. Rows come run by
+        run in order; the state is carried from batch to batch."""
+        now, s, seg = None, 0, 0
+        for pdf in batches:
+            out: list[tuple] = []
+            for author, run, r, i, w, state, before in zip(*(pdf[c].tolist() for c in ("author", "run", "r", "id", "n_words", "state", "before"))):
+                if (author, run) != now:
+                    now, s, seg = (author, run), state, before
+                if w <= 0:
                     continue
-                if s + w > MOST:
-                    s = 0
-                    add(r, i, 0, w, "fresh")
-                else:
-                    add(r, i, 0, w, "on")
-                s += w
-                if s >= LEAST:
-                    s, seg = 0, seg + 1
-            else:
-                at = 0
-                while at < w:
-                    n = min(MOST - s, w - at)
-                    add(r, i, at, n, "on")
-                    at, s = at + n, s + n
+                if genre == "tweet":
+                    if w > MOST:
+                        out.append((author, r, i, 0, MOST, seg, "alone"))
+                        s, seg = 0, seg + 1
+                        continue
+                    fresh = s + w > MOST
+                    out.append((author, r, i, 0, w, seg, "fresh" if fresh else "on"))
+                    s = w if fresh else s + w
                     if s >= LEAST:
                         s, seg = 0, seg + 1
-        done = pd.DataFrame(out, columns=["r", "id", "first", "n", "seg_no", "status"])
-        done.insert(0, "author", pdf["author"].iloc[0])
-        done["closed"] = seg
-        return done
+                else:
+                    at = 0
+                    while at < w:
+                        n = min(MOST - s, w - at)
+                        out.append((author, r, i, at, n, seg, "on"))
+                        at, s = at + n, s + n
+                        if s >= LEAST:
+                            s, seg = 0, seg + 1
+            yield pd.DataFrame(out, columns=["author", "r", "id", "first", "n", "seg_no", "status"])
 
     return cut
 
 
 def segment_parts(corpus: DataFrame, genre: str, order: str = "id", run: int = 4000) -> DataFrame:
     """(author, seg_no, part, id, first, n): the stretches of documents that make up each segment of at least LEAST words."""
-    docs = corpus.where(X.genre_is("genre", genre)).where("author IS NOT NULL AND id IS NOT NULL").select("id", "author", F.col(order).alias("o"), X.n_words("text").alias("n_words"))
+    docs = corpus.where(X.genre_is("genre", genre)).where("author IS NOT NULL AND id IS NOT NULL").select("id", "author", F.col(order).alias("o"), words_of(corpus).cast("bigint").alias("n_words"))
     rows = docs.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy("o", "id")).cast("bigint")).select("author", "id", "r", "n_words", F.floor((F.col("r") - 1) / run).alias("run"))
     rows = materialize(rows, "documents")
-    tables = rows.groupBy("author", "run").applyInPandas(_table(genre), "author string, run bigint, ends array<bigint>, emits array<bigint>")
+    # only authors with several runs need tables to start the later ones
+    several = rows.groupBy("author").agg(F.max("run").alias("last")).where("last > 0").select("author")
+    tables = rows.join(several, "author", "left_semi").groupBy("author", "run").applyInPandas(_table(genre), "author string, run bigint, ends array<bigint>, emits array<bigint>")
     states = tables.groupBy("author").applyInPandas(_string, "author string, run bigint, state bigint, before bigint")
-    parts = rows.join(states, ["author", "run"]).groupBy("author", "run").applyInPandas(_cut(genre), "author string, r bigint, id bigint, first bigint, n bigint, seg_no bigint, status string, closed bigint")
+    started = rows.join(states, ["author", "run"], "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("state", "before")})
+    order_ = started.repartition("author", "run").sortWithinPartitions("author", "run", "r")
+    parts = order_.mapInPandas(_cut(genre), "author string, r bigint, id bigint, first bigint, n bigint, seg_no bigint, status string")
     parts = materialize(parts, "parts")
     # what waits when a flush comes belongs to no segment: of a segment's parts only those since its last fresh start count
     w = Window.partitionBy("author", "seg_no")

@@ -7,12 +7,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stylomill.functions.text import genre_is, n_words
 
 
+def words_of(corpus: DataFrame) -> Column:
+    """Word counts: the column n_words if the corpus has it, else counted in its texts."""
+    return F.col("n_words") if "n_words" in corpus.columns else n_words("text")
+
+
 def word_stats(corpus: DataFrame) -> DataFrame:
     """Rows, authors, empty texts and the spread of word counts, in total (scope ALL) and by genre (UNKNOWN for NULL); one pass.
 
     A NULL text is empty and has 0 words. An empty table gives no row.
     """
-    rows = corpus.select(F.coalesce("genre", F.lit("UNKNOWN")).alias("g"), "author", n_words("text").alias("n"))
+    rows = corpus.select(F.coalesce("genre", F.lit("UNKNOWN")).alias("g"), "author", words_of(corpus).alias("n"))
     q = F.percentile("n", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
     both = rows.groupingSets([[], ["g"]], "g").agg(
         F.grouping("g").alias("total"), F.count("*").alias("n_docs"), F.countDistinct("author").alias("n_authors"), F.count_if(F.col("n") == 0).alias("n_empty"),
@@ -39,7 +44,7 @@ def histogram(corpus: DataFrame, clip: tuple[float, float] | None = None) -> Dat
 
     The last bin holds its right edge. Empty bins have no row.
     """
-    x = corpus.select(n_words("text").cast("double").alias("x")).where("x > 0")
+    x = corpus.select(words_of(corpus).cast("double").alias("x")).where("x > 0")
     if clip:
         cut = x.agg(F.percentile("x", F.array(F.lit(clip[0]), F.lit(clip[1]))).alias("c"))
         x = x.crossJoin(F.broadcast(cut)).where("x >= c[0] AND x <= c[1]").select("x")  # one row
@@ -50,14 +55,14 @@ def histogram(corpus: DataFrame, clip: tuple[float, float] | None = None) -> Dat
 
 def ecdf(corpus: DataFrame) -> DataFrame:
     """(n_words, n, share of texts with at most so many words), one row per distinct positive word count."""
-    c = corpus.select(n_words("text").alias("n_words")).where("n_words > 0").groupBy("n_words").agg(F.count("*").alias("n"))
+    c = corpus.select(words_of(corpus).alias("n_words")).where("n_words > 0").groupBy("n_words").agg(F.count("*").alias("n"))
     run = F.sum("n").over(Window.orderBy("n_words"))
     return c.select("n_words", "n", F.round(run / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
 
 
 def boxplot(corpus: DataFrame) -> DataFrame:
     """Five-number summary of positive word counts by genre; whiskers end at the last value within 1.5 interquartile ranges."""
-    x = corpus.select(F.coalesce("genre", F.lit("UNKNOWN")).alias("genre"), n_words("text").alias("x")).where("x > 0")
+    x = corpus.select(F.coalesce("genre", F.lit("UNKNOWN")).alias("genre"), words_of(corpus).alias("x")).where("x > 0")
     counted = x.groupBy("genre", "x").agg(F.count("*").alias("f"))
     q = counted.groupBy("genre").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("f")).alias("q"))
     lo, hi = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])

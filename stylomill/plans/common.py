@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stylomill.functions.text import n_words
 from stylomill.schemas import latest
 
 
@@ -14,3 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, author, genre, text of each document, deliveries folded."""
     return latest(table(spark, sf_dir, "docs"), "author", "genre", "text")
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with n_words in place of the text: words are counted in the scan, texts aren't shuffled."""
+    docs = table(spark, sf_dir, "docs").withColumn("n_words", n_words("text"))
+    return latest(docs, "author", "genre", "n_words")

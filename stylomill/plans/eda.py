@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
 from stylomill.operators import clean, stats
-from stylomill.plans.common import corpus, table
+from stylomill.plans.common import corpus, counted, table
 from stylomill.plans.registry import query
 from stylomill.plans.sql import CORPUS, n_words, squash, words
 
@@ -28,23 +28,23 @@ SELECT CASE WHEN grouping(g) = 1 THEN 'ALL' ELSE g END AS scope, count(*) AS n_d
  CAST(min(n) AS INT) AS min_words, CAST(max(n) AS INT) AS max_words, round(avg(n), 6) AS mean_words, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50,
  round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90 FROM w GROUP BY GROUPING SETS ((), (g))""")
 def eda_word_stats(spark, d):
-    return stats.word_stats(corpus(spark, d))
+    return stats.word_stats(counted(spark, d))
 
 
 @query(f"WITH {CORPUS}, {_X}, {_histogram_sql('x').strip()}")
 def eda_histogram(spark, d):
-    return stats.histogram(corpus(spark, d))
+    return stats.histogram(counted(spark, d))
 
 
 @query(f"WITH {CORPUS}, {_X}, c AS (SELECT quantile_cont(x, 0.01) a, quantile_cont(x, 0.99) b FROM x), y AS (SELECT x FROM x, c WHERE x >= a AND x <= b), {_histogram_sql('y').strip()}")
 def eda_histogram_clipped(spark, d):
-    return stats.histogram(corpus(spark, d), clip=(0.01, 0.99))
+    return stats.histogram(counted(spark, d), clip=(0.01, 0.99))
 
 
 @query(f"""WITH {CORPUS}, w AS (SELECT CAST({n_words('text')} AS INT) n_words, count(*) n FROM corpus WHERE {n_words('text')} > 0 GROUP BY 1)
 SELECT n_words, n, round(sum(n) OVER (ORDER BY n_words) / sum(n) OVER (), 9) AS share FROM w""")
 def eda_ecdf(spark, d):
-    return stats.ecdf(corpus(spark, d))
+    return stats.ecdf(counted(spark, d))
 
 
 @query(f"""WITH {CORPUS}, w AS (SELECT coalesce(genre, 'UNKNOWN') genre, {n_words('text')} x FROM corpus WHERE {n_words('text')} > 0),
@@ -52,7 +52,7 @@ q AS (SELECT genre, quantile_cont(x, 0.25) q1, quantile_cont(x, 0.5) q2, quantil
 SELECT genre, count(*) AS n, CAST(min(x) FILTER (x >= q1 - 1.5 * (q3 - q1)) AS INT) AS whisker_lo, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3,
  CAST(max(x) FILTER (x <= q3 + 1.5 * (q3 - q1)) AS INT) AS whisker_hi FROM w JOIN q USING (genre) GROUP BY genre""")
 def eda_boxplot(spark, d):
-    return stats.boxplot(corpus(spark, d))
+    return stats.boxplot(counted(spark, d))
 
 
 @query(f"WITH {CORPUS} SELECT min(id) AS id, count(*) AS copies FROM corpus GROUP BY author, text")

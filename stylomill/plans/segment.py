@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stylomill.operators import segments as G
-from stylomill.plans.common import corpus
+from stylomill.plans.common import corpus, counted
 from stylomill.plans.registry import query
 from stylomill.plans.sql import CORPUS, n_words
 
@@ -24,7 +24,7 @@ UNION ALL SELECT o.author, o.r,
 
 @query(_TWEETS + "SELECT author, seg - 1 AS seg_no, CAST(n AS INT) AS word_count, done[2:] AS source_ids FROM f WHERE n IS NOT NULL")
 def segments_tweet(spark, d):
-    t = G.segment_table(G.segment_parts(corpus(spark, d), "tweet"))
+    t = G.segment_table(G.segment_parts(counted(spark, d), "tweet"))
     return t.select("author", "seg_no", "word_count", F.array_join("source_ids", ",").alias("source_ids"))
 
 
@@ -39,20 +39,20 @@ UNION ALL SELECT f.author, f.seg + 1, CAST(f.e AS BIGINT), CAST(least(f.e + 420,
 @query(_ARTICLES + """SELECT f.author, f.seg AS seg_no, CAST(any_value(f.e - f.b) AS INT) AS word_count, string_agg(c.id, ',' ORDER BY c.r) AS source_ids
 FROM f JOIN c ON c.author = f.author AND c.lo < f.e AND c.hi > f.b WHERE f.seg >= 0 GROUP BY f.author, f.seg""")
 def segments_article(spark, d):
-    t = G.segment_table(G.segment_parts(corpus(spark, d), "article"))
+    t = G.segment_table(G.segment_parts(counted(spark, d), "article"))
     return t.select("author", "seg_no", "word_count", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query(_TWEETS + "SELECT row_number() OVER (ORDER BY author, seg) - 1 AS id, author, CAST(n AS INT) AS word_count FROM f WHERE n IS NOT NULL")
 def segment_ids(spark, d):
-    return G.numbered_segments(G.segment_table(G.segment_parts(corpus(spark, d), "tweet"))).select("id", "author", "word_count")
+    return G.numbered_segments(G.segment_table(G.segment_parts(counted(spark, d), "tweet"))).select("id", "author", "word_count")
 
 
 def segment_texts(spark, d):
     c = corpus(spark, d)
     out = None
     for genre in ("tweet", "article"):
-        t = G.with_texts(G.segment_parts(c, genre), c, genre).withColumn("genre", F.lit(genre.title()))
+        t = G.with_texts(G.segment_parts(counted(spark, d), genre), c, genre).withColumn("genre", F.lit(genre.title()))
         out = t if out is None else out.unionByName(t)
     return out
 
