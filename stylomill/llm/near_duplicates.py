@@ -25,6 +25,8 @@ DF_BUCKETS = 1 << 18
 _PIECES = 16
 #: Rows of the table of random draws; a shingle takes r and beta from one row, c from another.
 _DRAWS = 1 << 14
+#: Shingles that are sampled together; their draws stay in the processor's cache.
+_PART = 4096
 #: Texts a task remembers so as to leave out copies; after that many it begins anew, and the rest fold after the shuffle.
 _SEEN = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,19 +43,53 @@ class Sampler:
         self.beta = g.random((_DRAWS, k), np.float32)
         self.ln_c = np.log(g.gamma(2.0, 1.0, (_DRAWS, k))).astype(np.float32)
         self.per_r = 1 / self.r
+        self.room = [np.empty((_PART, k), np.float32) for _ in range(3)]
 
-    def __call__(self, h: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """One row of k sample hashes for each text with shingles h[begin[i]:begin[i + 1]]; a text must have a shingle."""
+    def _draw(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t of each shingle and sample, in buffers that the next call uses again; at most _PART shingles."""
         low = np.uint64(_DRAWS - 1)
         i, j = (h & low).astype(np.int64), ((h >> np.uint64(20)) & low).astype(np.int64)
-        beta = self.beta[i]
-        t = np.floor(np.log(weight).astype(np.float32)[:, None] * self.per_r[i] + beta)
-        a = self.ln_c[j] - self.r[i] * (t - beta + 1)
-        out = np.empty((len(begin) - 1, self.k), np.uint64)
-        cols = np.arange(self.k)
-        for n, (x, y) in enumerate(zip(begin[:-1], begin[1:])):
-            m = a[x:y].argmin(0) + x
-            out[n] = h[m] * _GOLD + t[m, cols].astype(np.int64).view(np.uint64) * _SECOND
+        t, b, a = (x[: len(h)] for x in self.room)
+        np.take(self.per_r, i, 0, out=t, mode="clip")
+        t *= ln_w[:, None]
+        np.take(self.beta, i, 0, out=b, mode="clip")
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=a)
+        a += 1
+        np.take(self.r, i, 0, out=b, mode="clip")
+        a *= b
+        np.take(self.ln_c, j, 0, out=b, mode="clip")
+        np.subtract(b, a, out=a)
+        return a, t
+
+    def __call__(self, h: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """One row of k sample hashes for each text with shingles h[begin[i]:begin[i + 1]]; a text must have a shingle."""
+        ln_w, cols, n = np.log(weight).astype(np.float32), np.arange(self.k), len(begin) - 1
+        out = np.empty((n, self.k), np.uint64)
+
+        def name(m: np.ndarray, t: np.ndarray, lo: int) -> np.ndarray:
+            return h[lo + m] * _GOLD + t[m, cols].astype(np.int64).view(np.uint64) * _SECOND
+
+        d = 0
+        while d < n:
+            lo = int(begin[d])
+            last = max(d + 1, int(np.searchsorted(begin, lo + _PART, side="right")) - 1)
+            hi = int(begin[last])
+            if hi - lo <= _PART:
+                a, t = self._draw(h[lo:hi], ln_w[lo:hi])
+                for k in range(d, last):
+                    x = int(begin[k]) - lo
+                    out[k] = name(a[x : int(begin[k + 1]) - lo].argmin(0) + x, t, lo)
+            else:  # one long text, in parts
+                best = np.full(self.k, np.inf, np.float32)
+                for at in range(lo, hi, _PART):
+                    a, t = self._draw(h[at : min(at + _PART, hi)], ln_w[at : min(at + _PART, hi)])
+                    m = a.argmin(0)
+                    less = a[m, cols] < best
+                    out[d, less] = name(m, t, at)[less]
+                    best = np.minimum(best, a[m, cols])
+            d = last
         return out
 
 
@@ -198,11 +234,12 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, n: int, least_words:
     """(id_a, id_b): every pair of different ids with texts of at least that likeness, copies included."""
     rows = docs.select(F.col(id_col).alias("id"), F.col("text")).where("id IS NOT NULL AND text IS NOT NULL").withColumn("doc", text_key())
     found = similar_texts(rows, n, least_words=least_words).where(F.col("weighted" if weighted else "likeness") >= threshold).select("a", "b")
-    held = rows.select("doc", "id").distinct()
-    # copies of one text: ids with the same key, if its text is long enough
-    enough = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= least_words
-    twice = held.groupBy("doc").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("doc")
-    same = rows.join(twice, "doc", "left_semi").where(enough).select("doc", "id").distinct()
+    # a text has least_words words where that many runs of letters and digits follow one another; the search ends there
+    enough = F.col("text").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){" + str(least_words - 1) + r"}[\p{L}\p{N}]")
+    held = rows.select("doc", "id", enough.alias("enough")).distinct()
+    # copies of one text: ids with the same key
+    twice = held.where("enough").groupBy("doc").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("doc")
+    same = held.join(twice, "doc", "left_semi").select("doc", "id")
     copies = same.withColumnRenamed("id", "x").join(same.withColumnRenamed("id", "y"), "doc").where("x < y").select("x", "y")
     across = found.join(held.select(F.col("doc").alias("a"), F.col("id").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("id").alias("y")), "b").where("x <> y")
     return across.select("x", "y").unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
