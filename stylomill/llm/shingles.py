@@ -82,3 +82,38 @@ def distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def bounds(at: np.ndarray, n: int) -> np.ndarray:
     """Where each of n texts begins in an array ordered by text index; n + 1 numbers."""
     return np.searchsorted(at, np.arange(n + 1))
+
+
+class MinHashes:
+    """k plain min-wise samples of each text: two texts have one in common as often as their sets of shingles are alike."""
+
+    #: Shingles that are sampled together.
+    PART = 2048
+
+    def __init__(self, k: int, seed: int = 5):
+        self.odd = np.random.default_rng(seed).integers(1 << 62, 1 << 63, k, np.uint64) << np.uint64(1) | np.uint64(1)
+        self.room = np.empty((self.PART, k), np.uint64)
+
+    def __call__(self, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """One row of k samples for each text with shingles h[begin[i]:begin[i + 1]]; a text must have a shingle."""
+        n, d = len(begin) - 1, 0
+        out = np.full((n, len(self.odd)), np.iinfo(np.uint64).max, np.uint64)
+        while d < n:
+            lo = int(begin[d])
+            last = max(d + 1, int(np.searchsorted(begin, lo + self.PART, side="right")) - 1)
+            for at in range(lo, int(begin[last]), self.PART):  # more than one part for a long text only
+                hi = min(at + self.PART, int(begin[last]))
+                got = np.multiply(h[at:hi, None], self.odd, out=self.room[: hi - at])
+                for k in range(d, last):
+                    np.minimum(out[k], got[max(0, int(begin[k]) - at) : int(begin[k + 1]) - at].min(0), out=out[k])
+            d = last
+        return out
+
+
+def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each text and band, of the band's samples together."""
+    got = samples.reshape(len(samples), bands, -1)
+    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), got.shape[:2])
+    for k in range(got.shape[2]):
+        key = mix(key * _MIX[0] + got[:, :, k])
+    return key

@@ -123,6 +123,24 @@ def test_suffixes_of_hot_prefixes():
     assert {(a, b) for a, b in zip(got["a"], got["b"])} == {(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)}
 
 
+def test_split_overlap_of_hot_versions(spark):
+    """More versions of one text than FEW, which part late or everywhere, and texts that only begin alike."""
+    g = random.Random(12)
+    tweet = [f"t{i}" for i in range(14)]
+    texts = [" ".join([*tweet[:10], f"late{i}", *tweet[11:]]) for i in range(40)]
+    base = [f"b{i}" for i in range(70)]
+    for i in range(40):
+        w = list(base)
+        for k in g.sample(range(70), g.randint(1, 4)):
+            w[k] = f"edit{i}x{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*base[:6], *(f"own{i}x{k}" for k in range(20))]) for i in range(40)]
+    rows = [(1, t, t, "a", "b", i, i, "gold", "AA", "train" if i % 2 else "test", None) for i, t in enumerate(texts)]
+    want = {(i, j) for i in range(0, len(texts), 2) for j in range(1, len(texts), 2) if likeness(texts[i], texts[j]) >= 0.6}
+    got = {(r["id_eval"], r["id_train"]) for r in O.split_overlaps(pairs_frame(spark, rows)).collect()}
+    assert len(want) >= 600 and got == want
+
+
 def test_leakage(spark):
     g = random.Random(6)
     word = lambda: f"w{g.randint(0, 25)}"
