@@ -76,6 +76,27 @@ def test_hot_group_of_near_duplicates(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def hot_group(g, versions, others):
+    """Versions of one text with edits all over, alike by about 0.5 to 0.8, among twice as many texts of their own."""
+    base = [f"b{i}" for i in range(90)]
+    out = []
+    for i in range(versions):
+        w = list(base)
+        for k in g.sample(range(90), g.randint(3, 8)):
+            w[k] = f"edit{i}x{k}"
+        out.append(" ".join(w))
+    return out + [" ".join(f"own{i}x{k}" for k in range(40)) for i in range(others)]
+
+
+def test_hot_group_with_many_edits(spark):
+    """Plain likeness near the threshold in a group that holds a third of the rows."""
+    texts = hot_group(random.Random(3), 150, 300)
+    sets = [triples(t) for t in texts]
+    want = {(a, b) for a, b in combinations(range(150), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    got = {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "id BIGINT, text STRING"), 0.6, 3, 8).collect()}
+    assert len(want) > 2000 and got <= want and len(got) >= 0.999 * len(want)
+
+
 def test_sampler_estimates_weighted_jaccard():
     s = N.Sampler(4000, seed=1)
     h = S.mix(np.arange(1, 31, dtype=np.uint64)) >> np.uint64(10)
