@@ -1,7 +1,8 @@
 """Personal details in free text: found by a conditional random field over word-shape features and masked.
 
 The labelled table is small and made here: sentences with places for details, filled with invented values. Given names are a
-word list taken from the corpus's own author column (the most frequent first words, bounded), the rest are shapes and cues.
+word list taken from the corpus's own author column, as one feature among others; the rest are shapes and cues. Whatever has
+capitals is decoded, and the model decides whether it is a name, also of people whose given name no author bears.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from stylomill.llm.crf import KINDS, LABELS, PARTICLES, SHORT_STREETS, STREETS, Base, Crf, Tokens
+from stylomill.llm.crf import KINDS, LABELS, PARTICLES, SHORT_STREETS, STREETS, TITLES, Base, Crf, Tokens
 from stylomill.session import spread
 
-#: Given names that are taken from the author column at most.
-MOST_NAMES = 5000
 _O = LABELS.index("O")
 
 # The labelled table's sentences: {E} email, {P} phone, {I} identity number, {A} address, {N} name, {T} town, {G} organisation.
@@ -48,14 +47,19 @@ See https://{h}.example/{h} for more.|www.{h}.example/{h}{d2}|Honestly, this ban
 The score was {d2}-{d2} after {d2} minutes.|Room {d3} was empty at {d2}.{d2}.|On {d2}/{d2}/20{d2} it rained.|Invoice {d8} was paid.|Track {d4}{d4}{d4} was lost.|It sold {d2} million copies in 20{d2}.|Chapter {d2}, page {d3}.|Item no. {d4}{d3} is out of stock.|Model {X}{d3} sells well.|Gate {d2}, seat {d2}A.
 Das Haus bleibt heute offen und wurde {d2} mal verkauft.|La ciudad busca siempre un puente de {d3} metros.|Una plaza muestra hoy un mercado pero una calle olvidado.|Una orilla pide quizás otro puerto entre una obra vendido.|La obra busca ayer sin grande debate perdido. Una huelga sigue por fin contra el juicio.|El partido está casi sobre una ciudad ganado.|Une ville cherche encore un port malgré une rivière perdu.|The lottery drew {d2}, {d2}, {d2}, {d2}, {d2}.|Новая школа давно закрыта, {d2} раз.|Great to see the {c} in {T} tested by the {G}.|Why was the {c} closed while the {c} in {T} was not?
 The {c} (a small {c} by training) shut the {c} in {T}.|For every {c} that the {G} saw, {k} {c} requests remain calm.|After the {c}, the {G} met both the {c} and a loud {c} last week.|<p>Nobody in {T} saw the {c} before the {c} spoke about it.</p>|{T} has cut its {c} again, which means the {c} still needs a {c}.
+The {c} knew the {c} – and {T} {y} moved on.|A {c} from {T} {y} won {k} {c} records.|A {c} from {T} saw {k} {c} forms.|{T} {y} closed the {c}.|A {c} {y} left {T}. {G} {y} shut the {c}.|Nobody in {T} or {T} {y} saw it.|A {c}.|{G} sold the {c} to {T}.|In {T}, {G} met {G}.|What will {T} do? {T} will have to wait.
 """
 # Invented values. Given names of the table only teach what the flag of a given name means.
 _GIVEN = "alice bruno carla derek edith felix grace hugo irene jonas karin leo maria nora oscar paula rita simon tessa victor wendy yara mara petra nadia una ida".split()
+# First names that the list doesn't have, so that the model learns to do without it.
+_RARE_A = "mal tho zel bri ros quen yor fa lud ber osw ky ing aur dag tam vel sho".split()
+_RARE_B = "in as ette mund wyn ko rik ya ora ald ena iel oun".split()
 _FAMILY_A = "whit brad car dun el fair gold hart kel lang mar nor old pem quin rad sand tor up wald brook cray fenn grim holl".split()
 _FAMILY_B = "more ley ford er ington ard ock ell eth wick by man s son low ane gough ander".split()
 _STREET_A = "Maple,Orchard,Granary,Mill,Station,Church,Harbour,Victoria,Long Acre,Old Bridge,Lower Field,St Anne’s,King’s,Third,Elm,High,Copper Beech,Chapel,Rose Hill,Upper Weir,River,Park View".split(",")
 _STREET_T = "Street Road Lane Avenue Way Close Drive Terrace Blvd Rd Ave St. Court Place Square Hill Row".split()
 _ORG = "Council,Water Trust,Housing Union,Film Society,Chamber of Trade,Transit Board,Growers Guild,Rovers,Institute,Harbour Office,United,School Board".split(",")
+_ADVERBS = "quietly largely formally openly privately seemingly mostly cautiously officially frequently".split()
 _COMMON = "bank plan clinic statute bridge doctor nurse record festival village tenant levy pilot gallery vote ticket phone passport number house street mobile".split()
 
 
@@ -75,12 +79,17 @@ class _Maker:
 
     def name(self) -> str:
         first = self.one(_GIVEN).title() + ("-" + self.one(_GIVEN).title() if self.g.random() < 0.12 else "")
+        rare = self.g.random()
+        if rare < 0.25:
+            first = (self.one(_RARE_A) + self.one(_RARE_B)).title()
+        elif rare < 0.33:
+            first = self.one("BCDEFGHJKLMNPRSTUVWXZ") + "."
         mid = self.g.random()
         mid = f" {self.one('ABCDEFGHJKLMNPRSTUVWXZ')}." if mid < 0.22 else f" {self.one(['van', 'de', 'von', 'O’'])}" if mid < 0.3 else ""
         n = first + mid + (" " if self.g.random() < 0.95 else "  ") + self.family()
         n = n.replace("’ ", "’")
         c = self.g.random()
-        return n.upper() if c < 0.12 else n.lower() if c < 0.32 else n
+        return n.upper() if c < 0.12 else n.lower() if c < 0.32 and rare >= 0.33 else n
 
     def email(self) -> str:
         a, b = self.one(_GIVEN), (self.one(_FAMILY_A) + self.one(_FAMILY_B))
@@ -119,7 +128,7 @@ class _Maker:
         return a.lower() if self.g.random() < 0.25 else a
 
     def town(self) -> str:
-        return self.one(["", "", "", "Upper ", "Saint ", "Port ", "East "]) + (self.one(_FAMILY_A) + self.one(["mere", "bury", "ford", "wick", "gate", "minster", "haven", "den"])).title()
+        return self.one(["", "", "", "Upper ", "Saint ", "Port ", "East ", "Little ", "Lower ", "Great ", "North ", "New "]) + (self.one(_FAMILY_A) + self.one(["mere", "bury", "ford", "wick", "gate", "minster", "haven", "den"])).title()
 
     def fill(self, template: str) -> tuple[str, list[tuple[int, int, str]]]:
         kinds = {"E": ("email", self.email), "P": ("phone", self.phone), "I": ("id_number", self.id_number), "A": ("address", self.address), "N": ("name", self.name)}
@@ -143,12 +152,12 @@ class _Maker:
                 text += {
                     "X": lambda: self.one("ABHKST") + self.one("ASVXZ"), "R": lambda: self.one(_STREET_A), "F": lambda: self.one(_GIVEN).title(), "h": lambda: self.one(_GIVEN) + self.one(["_", "_", "x", ""]) + self.one(_FAMILY_A) + self.one(["", "", self.digits(2)]),
                     "G": lambda: self.one(["Hollow Vale ", "Tarn ", "Kelby Bay ", "Oldham "]) + self.one(_ORG), "T": self.town, "k": lambda: self.one([f"{int(self.g.integers(1, 60))},{self.digits(3)}", str(int(self.g.integers(2, 99)))]),
-                    "c": lambda: self.one(_COMMON), "w": lambda: self.one(_COMMON).title(),
+                    "c": lambda: self.one(_COMMON), "y": lambda: self.one(_ADVERBS), "w": lambda: self.one(_COMMON).title(),
                 }[k]()
         return text, spans
 
 
-def labelled_table(seed: int = 17, copies: int = 18) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(seed: int = 17, copies: int = 26) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, spans with kinds): every sentence of the table filled several times, some joined, some as blocks of lines."""
     mk = _Maker(seed)
     positive = [x for x in re.split(r"[|\n]", POSITIVE) if x.strip()]
@@ -220,7 +229,11 @@ _HOT = re.compile(
     r"|\d[A-Za-z]?,?\s+(?:[^\W\d_][\w’'-]*\.?\s+){1,3}(?:" + _STREET_WORDS + r")\b",
     re.I,
 )
-_TITLE = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|attn)\b[.:]?|c/o)\s*$", re.I)
+_TITLE = re.compile(r"(?:\b(?:attn|" + "|".join(sorted(TITLES)) + r")\b[.:]?|c/o)\s*$", re.I)
+#: Two capitalised words or initials in a row, particles between them or not.
+_CAPITALS = re.compile(
+    r"(?<![^\W_])(?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*[.’'-]?\s*)(?:(?:" + "|".join(sorted(PARTICLES)) + r")[\s’']\s*){0,3}[^\W\d_a-zß-öø-ÿ][^\W\d_]"
+)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NAME_CHARS = re.compile(r"[^\W\d_]")
 
@@ -228,7 +241,8 @@ _NAME_CHARS = re.compile(r"[^\W\d_]")
 class Finder:
     """Details in batches of texts. Whole texts are searched for what a detail must have; only the stretches around are decoded."""
 
-    AROUND = 110
+    #: Characters on either side that are decoded too; around capitals, what the features of a token reach (four tokens) and some more.
+    AROUND, AROUND_CAPITALS = 110, 50
 
     def __init__(self, crf: Crf, given: frozenset[str]):
         self.crf, self.given = crf, given
@@ -238,6 +252,8 @@ class Finder:
 
     def stretches(self, text: str) -> list[tuple[int, int]]:
         at = [m.span() for m in _HOT.finditer(text)]
+        less = self.AROUND - self.AROUND_CAPITALS
+        at += [(m.start() + less, m.end() - less) for m in _CAPITALS.finditer(text)]
         low = text.lower()
         if len(low) == len(text):
             names = self.given.intersection(_LETTERS.findall(low))
@@ -259,12 +275,14 @@ class Finder:
         return out
 
     def plausible(self, text: str, lo: int, hi: int) -> bool:
-        """A name begins with a known given name or follows a title; one without a capital has no more words than two."""
+        """Words of a name have capitals, but for particles; one without any has two words and begins with a known given name or follows a title."""
         name = text[lo:hi]
+        if not name.islower() and any(w.islower() and w not in PARTICLES for w in name.split()):
+            return False
         if name.islower() and len([w for w in name.split() if len(w) > 2 and w not in PARTICLES]) > 2:
             return False
-        known = re.split(r"[-\s]", name)[0].lower() in self.given if self.given else not name.islower()
-        return known or bool(_TITLE.search(text[max(0, lo - 8) : lo]))
+        known = not name.islower() or re.split(r"[-\s]", name)[0] in self.given
+        return known or bool(_TITLE.search(text[max(0, lo - 12) : lo]))
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -293,6 +311,8 @@ _LEAD = re.compile(r"^[\s<(\[\"“'‘:;,.|/-]+")
 _TRAIL = re.compile(r"[\s>\"”'’:;,.!?|/\])-]+$")
 _MAIL = re.compile(r"[\w.+-]*\w(?:@|\s?[(\[{]\s?at\s?[)\]}]\s?)[\w-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)[\w-]+)+", re.I)
 _SENTENCE_END = re.compile(r"[!?;:,\n]|(?<=[^\W\d_]{3})\.")
+_SMALL_END = re.compile(r"\s+([a-zß-öø-ÿ]+)$")
+_INITIALS = re.compile(r"(?:[^\W\d_]\.)+")
 _BOOK = re.compile(r"\bISBN\W*[\d-]*$", re.I)
 _MORE_STREET = re.compile(r"\.(?=\s+[a-z]|,|\s*[|/\n]|\s*$)")
 
@@ -318,6 +338,8 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
     if kind == "name":
         m = _SENTENCE_END.search(text[lo:hi])
         hi = lo + m.start() if m else hi
+        while not text[lo:hi].islower() and (m := _SMALL_END.search(text[lo:hi])) and m[1] not in PARTICLES:
+            hi = lo + m.start()
     s = text[lo:hi]
     digits = sum(c.isdigit() for c in s)
     if kind == "phone":
@@ -328,15 +350,17 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
         ok = digits and re.search(r"[^\W\d_]{2,}", s) and len(s.split()) <= 9
     else:
         parts = s.split()
-        ok = 2 <= len(parts) <= 5 and not digits and "_" not in s and text[lo - 1 : lo] not in ("@", "#") and all(_NAME_CHARS.search(x) for x in parts) and len(parts[-1]) > 1 and not any(x[-1] in ".!?,;:" and len(x) > 3 for x in parts[:-1])
+        ok = 2 <= len(parts) <= 5 and not digits and "_" not in s and text[lo - 1 : lo] not in ("@", "#") and all(_NAME_CHARS.search(x) for x in parts) and len(parts[-1]) > 1 and not any(x[-1] in ".!?,;:" and len(x) > 3 and not _INITIALS.fullmatch(x) for x in parts[:-1])
     return [(lo, hi, kind)] if ok else []
 
 
-def given_names(docs: DataFrame, most: int = MOST_NAMES, column: str = "author") -> frozenset[str]:
-    """The first words of author names, in lower case, the `most` most frequent ones that occur twice."""
+def given_names(docs: DataFrame, most: int | None = None, column: str = "author") -> frozenset[str]:
+    """The first words of author names, in lower case; with `most`, that many of the most frequent ones."""
     first = F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^\s*(\p{L}+)\s+\S", 1))
-    top = docs.select(first.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most)
-    return frozenset(r["w"] for r in top.collect())  # bounded by `most`
+    top = docs.select(first.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    if most is not None:
+        top = top.orderBy(F.desc("n"), "w").limit(most)
+    return frozenset(r["w"] for r in top.collect())  # distinct words
 
 
 def _find(model, masked: bool):
@@ -367,18 +391,18 @@ def mask(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _model(docs: DataFrame, most: int):
-    """The fitted model and the given names, sent to the executors: weights of some 600 features, and at most `most` words."""
+def _model(docs: DataFrame, most: int | None):
+    """The fitted model and the given names, sent to the executors: weights of some 600 features, and the distinct first words."""
     names = given_names(docs, most) if "author" in docs.columns else frozenset()
     return docs.sparkSession.sparkContext.broadcast((trained(), names))
 
 
-def personal_items(docs: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+def personal_items(docs: DataFrame, most_names: int | None = None) -> DataFrame:
     """(id, kind, found_text), distinct: every detail in the texts, as written. NULL and blank texts have none."""
     rows = spread(docs.select("id", "text").where("text IS NOT NULL"))
     return rows.mapInPandas(_find(_model(docs, most_names), False), "id bigint, kind string, found_text string").distinct()
 
 
-def masked_texts(docs: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+def masked_texts(docs: DataFrame, most_names: int | None = None) -> DataFrame:
     """(id, masked, n_items): each row's text with placeholders for details; rows are kept as they are, NULL stays NULL."""
     return spread(docs.select("id", "text")).mapInPandas(_find(_model(docs, most_names), True), "id bigint, masked string, n_items int")

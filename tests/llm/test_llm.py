@@ -328,6 +328,15 @@ def test_personal_data(spark):
     assert P.masked_texts(docs).count() == 5 and P.personal_items(docs.limit(0)).count() == 0
 
 
+def test_names_that_no_author_bears(spark):
+    texts = ["Police later spoke to Zbigniew Harrowell and two others.", "a message from J. R. Whitmore arrived late.", "The complaint names Oyelaran Fennick as the tenant.", "The nurse, Captain Quillon Marsh, agreed.", "Critics in Upper Tarnmere met the Hollow Vale Council."]
+    docs = spark.createDataFrame([(i, "Grace Hill", t) for i, t in enumerate(texts)], "id BIGINT, author STRING, text STRING")
+    items = {(r["id"], r["kind"], r["found_text"].removeprefix("Captain ")) for r in P.personal_items(docs).collect()}
+    assert items == {(0, "name", "Zbigniew Harrowell"), (1, "name", "J. R. Whitmore"), (2, "name", "Oyelaran Fennick"), (3, "name", "Quillon Marsh")}
+    many = spark.createDataFrame([(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} x",) for i in range(6000)], "author STRING")
+    assert len(P.given_names(many)) == 6000
+
+
 def test_viterbi_is_the_best_path():
     m = crf.Crf(crf.Base([], []))
     g = np.random.default_rng(1)
