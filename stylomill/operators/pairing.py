@@ -84,8 +84,8 @@ def one_use_negatives_at(pos: DataFrame, seed: int = 7) -> DataFrame:
     return placed.join(t, "rt").where("x <> y").select("id0", "id1")
 
 
-def balanced(corpus: DataFrame, mode: str, target: int, cap: int = 100, seed: int = 7) -> DataFrame:
-    """(label, id0, id1, author0, author1, text0, text1): as many same-author as different-author pairs, at most target together.
+def balanced(corpus: DataFrame, mode: str, target: int | None, cap: int = 100, seed: int = 7) -> DataFrame:
+    """(label, id0, id1, author0, author1, text0, text1): as many same-author as different-author pairs, at most target together (None: all).
 
     Same-author pairs are capped per author; different-author pairs are made of the documents of those. Ids must be unique
     (schemas.latest). Too few documents of either kind give fewer pairs, never uneven ones.
@@ -99,7 +99,8 @@ def balanced(corpus: DataFrame, mode: str, target: int, cap: int = 100, seed: in
     both = pos.select(F.lit(1).alias("label"), "id0", "id1").unionByName(neg.select(F.lit(0).alias("label"), "id0", "id1")).withColumn("k", hash_order(seed, "label", "id0", "id1"))
     both = materialize(both, "pairs")
     n = {r["label"]: r["n"] for r in both.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    k = min(n.get(0, 0), n.get(1, 0), target // 2)
+    k = min(n.get(0, 0), n.get(1, 0))
+    k = k if target is None else min(k, target // 2)
     first = lambda lab: numbered(both.where(F.col("label") == lab), "k", "id0", "id1").where(F.col("rn") <= k).drop("rn", "k")
     chosen = first(1).unionByName(first(0))
     docs = corpus.select("id", "author", "text")

@@ -125,7 +125,7 @@ k AS (SELECT least((SELECT count(*) FROM pos), (SELECT count(*) FROM neg), {targ
 SELECT CAST(label AS INT) AS label, id0, id1, x.author AS author0, y.author AS author1, md5(x.text) AS text0_md5, md5(y.text) AS text1_md5 FROM r, k JOIN corpus x ON x.id = id0 JOIN corpus y ON y.id = id1 WHERE rn <= k"""
 
 
-def _balanced(spark, d, mode: str, target: int):
+def _balanced(spark, d, mode: str, target: int | None):
     p = pairing.balanced(corpus(spark, d), mode, target)
     return p.select("label", "id0", "id1", "author0", "author1", F.md5("text0").alias("text0_md5"), F.md5("text1").alias("text1_md5"))
 
@@ -150,6 +150,24 @@ def pairs_at(spark, d):
     return _balanced(spark, d, "AT", 200)
 
 
+_NO_TARGET = 1 << 62  # more than there are pairs
+
+
+@query(_balanced_sql("AA", _NO_TARGET))
+def pairs_aa_all(spark, d):
+    return _balanced(spark, d, "AA", None)
+
+
+@query(_balanced_sql("TT", _NO_TARGET))
+def pairs_tt_all(spark, d):
+    return _balanced(spark, d, "TT", None)
+
+
+@query(_balanced_sql("AT", _NO_TARGET))
+def pairs_at_all(spark, d):
+    return _balanced(spark, d, "AT", None)
+
+
 @query("""SELECT label, id0, id1, split FROM pairs WHERE id0 IS NOT NULL AND id1 IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY least(id0, id1), greatest(id0, id1) ORDER BY split, dataset, mode, label, id0, text0, text1) = 1""")
 def pairs_dedup_unordered(spark, d):

@@ -45,6 +45,13 @@ def test_negatives_and_balance(spark, frame):
     assert P.balanced(frame([]), "AA", 10).count() == 0
 
 
+def test_balanced_without_target(spark, frame):
+    names = {x: 60 for x in "abcdef"}
+    at = corpus(frame, names).unionByName(corpus(frame, names, "Tweet", 1000))
+    b = [r["label"] for r in P.balanced(at, "AT", None).collect()]
+    assert b.count(1) == b.count(0) == 300  # 50 an author
+
+
 def test_split(spark, frame):
     for n, want in ((5, 1), (12, 2)):
         s = P.author_split(corpus(frame, {f"a{i}": 2 for i in range(n)})).collect()
