@@ -119,3 +119,25 @@ def split_by_author(pairs: DataFrame, docs: DataFrame, shares: tuple[float, floa
         done = done.unionByName(run(comp.where(~big), F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(shards)).cast("int"), left if left.sum() else want))
     name = F.element_at(F.array(*map(F.lit, SPLITS)), F.col("s") + 1)
     return authors.join(done.withColumn("split", name), "component").select("author", "component", "split", "n_rows")
+
+
+def split_rows(pairs: DataFrame, docs: DataFrame, shares: tuple[float, float, float] = (0.7, 0.1, 0.2), seed: int = 11) -> DataFrame:
+    """(source, id, other_id, author, split): every row of both tables, source 'pairs' or 'docs'; docs have no other_id.
+
+    Rows with an author have its split. The others are placed by their hashed id (or text), in shares that fill what those lack.
+    """
+    none = F.lit(None).cast("bigint")
+    in_pairs = pairs.select(F.lit("pairs").alias("source"), F.col("id0").alias("id"), F.col("id1").alias("other_id"), F.coalesce(name_key("author0"), name_key("author1")).alias("author"), F.coalesce("text0", "text1").alias("text"))
+    rows = in_pairs.unionByName(docs.select(F.lit("docs").alias("source"), "id", none.alias("other_id"), name_key("author").alias("author"), "text"))
+    authors = materialize(split_by_author(pairs, docs, shares, seed=seed), "split")
+    have = {r["split"]: r["n"] for r in authors.groupBy("split").agg(F.sum("n_rows").alias("n")).collect()}  # three rows
+    free = rows.where("author IS NULL")
+    want = np.array(shares, float) / sum(shares)
+    held = np.array([have.get(x, 0) for x in SPLITS], float)
+    left = np.maximum(want * (held.sum() + free.count()) - held, 0)
+    cut = np.cumsum(left) / left.sum() if left.sum() else np.cumsum(want)
+    key = F.coalesce(F.col("id").cast("string"), F.col("other_id").cast("string"), "text", F.lit(""))
+    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    placed = free.withColumn("split", F.when(u < float(cut[0]), SPLITS[0]).when(u < float(cut[1]), SPLITS[1]).otherwise(SPLITS[2]))
+    bound = rows.where("author IS NOT NULL").join(authors.select("author", "split"), "author")
+    return bound.select("source", "id", "other_id", "author", "split").unionByName(placed.select("source", "id", "other_id", "author", "split"))

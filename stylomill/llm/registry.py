@@ -68,6 +68,12 @@ def p5_author_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_by_author(_table(spark, sf_dir, "pairs"), _table(spark, sf_dir, "docs"))
 
 
+def p5_row_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stylomill.llm.group_split import split_rows
+
+    return split_rows(_table(spark, sf_dir, "pairs"), _table(spark, sf_dir, "docs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.packing import pack_segments
 
@@ -124,7 +130,7 @@ def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p3_found, p3_masked_texts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
+QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p3_found, p3_masked_texts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p5_row_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
 
 
 def queries() -> dict:

@@ -235,6 +235,16 @@ def test_author_splits(spark):
     assert group_split.linked_pairs(pairs.limit(0)).count() == 0 and group_split.split_by_author(pairs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_rows_without_author_have_a_split(spark):
+    g = random.Random(4)
+    docs = spark.createDataFrame([(i, f"a{i % 40}" if i % 3 else g.choice([None, " "]), f"t{i}") for i in range(1500)], "id BIGINT, author STRING, text STRING")
+    pairs = pairs_frame(spark, [(1, "x", "y", *(("A1", None) if i % 2 else (None, " ")), 2000 + i, 3000 + i, "gold", "AA", "train", None) for i in range(40)])
+    rows = group_split.split_rows(pairs, docs).collect()
+    assert len(rows) == 1540 and {r["split"] for r in rows} == set(group_split.SPLITS)
+    assert len({r["split"] for r in rows if r["author"] == "a1"}) == 1
+    assert all(abs(sum(r["split"] == x for r in rows) / 1540 - w) < 0.05 for x, w in zip(group_split.SPLITS, (0.7, 0.1, 0.2)))
+
+
 def test_packing(spark):
     g = random.Random(8)
     size = np.array([g.randint(0, 420) for _ in range(500)])
