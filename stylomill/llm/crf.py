@@ -1,4 +1,9 @@
-"""A linear-chain conditional random field in numpy: features of token shapes, training by gradient, Viterbi in batches."""
+"""A linear-chain conditional random field in numpy: features of token shapes, training by gradient, Viterbi in batches.
+
+Texts are laid end to end with marks between them, cut into tokens by one regular expression, and each different token is looked
+at once: what it contributes to the scores of labels, at each place around a position, is a row of a table. Scores of a batch are
+sums of rows; the best paths of all its lines are found together.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +14,32 @@ import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-#: Every character is in one token: letters, digits, line ends, other blanks, or a sign by itself.
-TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\S\n]+|[^\w\s]|_")
+#: Blanks before it, and letters, digits, a line end or a sign: every character is in one token, but for blanks at the end.
+TOKEN = re.compile(r"[^\S\n]*(?:[^\W\d_]+|\d+|\n|[^\w\s]|_)")
 REACH, CHUNK_REACH = 4, 2
+_EDGE = "\x00"
+_BETWEEN = " " + f"{_EDGE} " * REACH
 
-# Words that tell the parts of addresses and names.
+# Words that tell the parts of addresses and names, and words that often stand beside details or things alike.
 STREETS = set("street st road rd lane ln avenue ave boulevard blvd drive dr way close court ct terrace place pl square crescent row hill gardens grove walk mews parade highway parkway".split())
 SHORT_STREETS = set("st rd ave blvd ln ct pl dr".split())
 UNITS = set("flat apt apartment unit suite room floor".split())
 TITLES = set("mr mrs ms miss dr prof professor sir dame lady lord rev captain".split())
 PARTICLES = set("van von de der den del della di da la le du bin ibn al ter ten mac o".split())
+WORDS = {
+    "street": STREETS, "short": SHORT_STREETS, "unit": UNITS, "title": TITLES, "particle": PARTICLES,
+    "phone": set("phone telephone tel mobile mob cell fax call calls called calling ring rang rings dial dialled text texted sms whatsapp hotline helpline number line".split()),
+    "mail": set("email mail e inbox mailto cc write contact reply account".split()),
+    "identity": set("id passport identity ssn social security insurance ni national tax taxpayer licence license card document visa nino".split()),
+    "thing": set("order invoice isbn issn serial flight train bus ticket case version build release model part article sku tracking parcel booking ref reference permit plate plot lot batch code pin meter container file catalogue patent route channel chapter volume vol page pages gate platform seat version item track grid form section edition".split()),
+    "body": set("council trust union society chamber board guild institute office association authority agency university college bank party commission ministry federation orchestra company group club committee foundation services partners media ltd limited inc plc bakery sons prize cup trophy award gazette times post ledger herald".split()),
+    "team": set("united rovers city town wanderers athletic rangers fc albion county hotspur".split()),
+    "vessel": set("ferry ship boat trawler tug yacht steamer lifeboat vessel barge freighter tanker ss mv hms storm hurricane horse".split()),
+    "place": set("park bridge hall hospital school library museum stadium market airport bay valley island lake river mount port fort theatre church cathedral station hotel harbour pier abbey castle farm beach forest north south east west upper lower great little new old saint".split()),
+    "say": set("said says told asked added warned wrote named called according met thanked knows spoke replied".split()),
+    "kin": set("mother father brother sister aunt uncle cousin son daughter wife husband neighbour friend driver owner tenant teacher nurse mayor judge coach officer spokesman spokeswoman plumber suspect victim witness patient attn c dear signed regards".split()),
+    "when": set("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()),
+}
 _CHUNK = [
     ("url", re.compile(r"[<(\"“]*(?:https?://|www\.)", re.I)),
     ("handle", re.compile(r"[(\"“.]*@\w")),
@@ -33,15 +54,30 @@ _CHUNK = [
     ("word", re.compile(r"\W*\w")),
 ]
 CHUNK_TYPES = ["edge", "sign", *(n for n, _ in _CHUNK)]
+#: Classes of runs: digits of a run of numbers and the signs in it; capitalised words in a row, and whether a sentence begins so.
+#: The first token of a run has classes of its own.
+N_DIGITS, N_CAPITALS = 34, 24
+_IN_NUMBERS = set("()+-./‐‑–")
+_IN_NAMES = set("-’'.")
 
 
 def chunk_type(chunk: str) -> int:
+    if chunk == _EDGE:
+        return 0
     for name, pattern in _CHUNK:
         if pattern.match(chunk):
             return CHUNK_TYPES.index(name)
     return 1
 
 
+class _Chunks(dict):
+    def __missing__(self, chunk: str) -> int:
+        k = chunk_type(chunk)
+        if len(self) < 200_000:
+            self[chunk] = k
+        return k
+
+
 def shape(tok: str) -> str:
     if tok.isdigit():
         return f"d{min(len(tok), 12)}"
@@ -52,7 +88,7 @@ def shape(tok: str) -> str:
 
 
 class Base:
-    """Base features of a token by itself; known words are those the training table shows more than once as context."""
+    """Base features of a token by itself; known words are those that many sentences of the labelled table have beside details."""
 
     def __init__(self, known: Iterable[str], given: Iterable[str]):
         self.known, self.given = {w: None for w in known}, frozenset(given)
@@ -60,17 +96,19 @@ class Base:
         self.fixed = False
 
     def names(self, tok: str) -> list[str]:
-        if tok == "":
+        if tok == _EDGE:
             return ["edge"]
         w = tok.lower()
         out = ["shape=" + shape(tok)]
         if tok[0].isalpha():
             out.append("letters")
-            for what, group in (("street", STREETS), ("short", SHORT_STREETS), ("unit", UNITS), ("title", TITLES), ("particle", PARTICLES), ("given", self.given)):
-                if w in group:
-                    out.append(what)
-            if w in self.given and w in self.known:
-                out.append("given&known")
+            out += [what for what, group in WORDS.items() if w in group]
+            if w in self.given:
+                out.append("given")
+                if w in self.known:
+                    out.append("given&known")
+            if len(tok) > 1 and tok.isupper():
+                out.append("capitals")
         elif tok.isdigit():
             out.append("digits")
             if tok[0] == "0":
@@ -83,63 +121,98 @@ class Base:
             out.append("new" + ("&title" if tok[0].isupper() else ""))
         return out
 
-    def ids(self, tok: str) -> list[int]:
+    def ids(self, tok: str) -> tuple[int, ...]:
         if self.fixed:
-            return [self.index[n] for n in self.names(tok) if n in self.index]
-        return [self.index.setdefault(n, len(self.index)) for n in self.names(tok)]
+            return tuple(self.index[n] for n in self.names(tok) if n in self.index)
+        return tuple(self.index.setdefault(n, len(self.index)) for n in self.names(tok))
+
+
+class Lexicon(dict):
+    """Number of each different token (blanks before it included), and in columns what is known of it."""
+
+    COLUMNS = ("length", "lead", "group", "edge", "line", "digits", "in_number", "capital", "in_name", "stop")
+
+    def __init__(self, base: Base):
+        super().__init__()
+        self.base = base
+        self.groups: dict[tuple[int, ...], int] = {}
+        self.rows: list[tuple[int, ...]] = []
+        self.table = np.zeros((0, len(self.COLUMNS)), np.int32)
+
+    def __missing__(self, part: str) -> int:
+        tok = part.lstrip() or "\n"
+        group = self.groups.setdefault(self.base.ids(tok), len(self.groups))
+        letters = tok[0].isalpha()
+        digits = len(tok) if tok.isdigit() else 0
+        self.rows.append((
+            len(part), len(part) - len(tok), group, tok == _EDGE, tok == "\n", digits, digits > 0 or tok in _IN_NUMBERS,
+            letters and not tok[0].islower() and tok[0].lower() != tok[0], tok in _IN_NAMES or letters and tok.lower() in PARTICLES, tok in ".!?:;\n" or tok == _EDGE,
+        ))
+        self[part] = k = len(self.rows) - 1
+        return k
+
+    def columns(self) -> dict[str, np.ndarray]:
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.int32)])
+        return {c: self.table[:, k] for k, c in enumerate(self.COLUMNS)}
+
+
+def _runs(on: np.ndarray, breaks: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place inside a run of `on` (which also ends before a break): the sum of `value` over it, and its first place."""
+    first = on.copy()
+    first[1:] &= ~on[:-1] | breaks[1:]
+    at = np.flatnonzero(first)
+    if not len(at):
+        return np.zeros(len(on), np.int64), np.zeros(len(on), np.int64)
+    total = np.add.reduceat(np.where(on, value, 0), at)
+    run = np.maximum(np.cumsum(first) - 1, 0)
+    return np.where(on, total[run], 0), np.where(on, at[run], 0)
 
 
 class Tokens:
-    """The tokens of some texts without blanks: strings, text offsets, chunk types, spacing; edges around each text."""
-
-    def __init__(self, texts: list[str], chunks: dict[str, int]):
-        self.tok: list[str] = [""] * REACH
-        begin, text_of, ctype, cid, space = [-1] * REACH, [-1] * REACH, [], [-1] * REACH, [0] * REACH
-        c = 0
-        types = [0] * CHUNK_REACH
-        cid = [0] * REACH
-        for k, t in enumerate(texts):
-            at, glued = 0, False
-            parts = TOKEN.findall(t)
-            words = t.split()
-            w = -1
-            for p in parts:
-                n = len(p)
-                if p.isspace():
-                    if p == "\n":
-                        self.tok.append(p)
-                        begin.append(at)
-                        text_of.append(k)
-                        cid.append(len(types) - 1)
-                        space.append(0)
-                    glued = False
-                else:
-                    if not glued:
-                        w += 1
-                        word = words[w] if w < len(words) else p
-                        ct = chunks.get(word)
-                        if ct is None:
-                            ct = chunk_type(word)
-                            if len(chunks) < 200_000:
-                                chunks[word] = ct
-                        types.append(ct)
-                    self.tok.append(p)
-                    begin.append(at)
-                    text_of.append(k)
-                    cid.append(len(types) - 1)
-                    space.append(0 if glued else 1)
-                    glued = True
-                at += n
-            self.tok += [""] * REACH
-            begin += [-1] * REACH
-            text_of += [-1] * REACH
-            types += [0] * CHUNK_REACH
-            cid += [len(types) - 1] * REACH
-            space += [1] * REACH
-        self.begin, self.text, self.cid = np.array(begin), np.array(text_of), np.array(cid)
-        self.types = np.array([*types, *[0] * CHUNK_REACH])
-        s = np.array([*space, 1])
-        self.space = s[:-1] + 2 * s[1:]
+    """The tokens of some texts: their places, groups and surroundings as arrays; `real` are those that aren't edges."""
+
+    def __init__(self, texts: list[str], lexicon: Lexicon, chunks: _Chunks):
+        clean = [t.replace(_EDGE, " ") for t in texts]
+        joined = _BETWEEN + "".join(t + _BETWEEN for t in clean)
+        parts = TOKEN.findall(joined)
+        pid = np.fromiter(map(lexicon.__getitem__, parts), np.int64, len(parts))
+        c = {k: v[pid] for k, v in lexicon.columns().items()}
+        edge, line = c["edge"] > 0, c["line"] > 0
+        end = np.cumsum(c["length"], dtype=np.int64)
+        size = np.fromiter(map(len, clean), np.int64, len(clean))
+        start = len(_BETWEEN) + np.concatenate(([0], np.cumsum(size + len(_BETWEEN))))[:-1]
+        self.text = (np.cumsum(edge) // REACH - 1).astype(np.int64)
+        self.real = np.flatnonzero(~edge)
+        self.end = end - start[np.clip(self.text, 0, max(0, len(start) - 1))] if len(start) else end
+        self.begin = self.end - (c["length"] - c["lead"])
+        spaced = c["lead"] > 0
+        spaced[1:] |= line[:-1]
+        spaced[0] = True
+        after = np.concatenate((spaced[1:], [True]))
+        self.space = spaced + 2 * after
+        self.group = c["group"]
+        opens = spaced & ~line
+        types = np.fromiter(map(chunks.__getitem__, joined.split()), np.int64)
+        self.chunk = np.cumsum(opens) - 1
+        self.types = np.concatenate((np.zeros(CHUNK_REACH, np.int64), types, np.zeros(CHUNK_REACH, np.int64)))
+        place = np.arange(len(pid))
+        number, first = _runs(c["in_number"] > 0, line | edge | (c["lead"] > 1), c["digits"])
+        self.digits = np.minimum(number, N_DIGITS // 2 - 1) * 2 + ((first == place) & (number > 0))
+        capital = c["capital"] > 0
+        inside = capital | (c["in_name"] > 0)
+        words, first = _runs(inside, line | edge, capital.astype(np.int64))
+        before = np.concatenate(([True], c["stop"][:-1] > 0))
+        self.capitals = np.where(inside, (np.minimum(words, N_CAPITALS // 4 - 1) * 2 + before[first]) * 2 + (first == place), 0)
+        self.line = line
+
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where sequences begin among the real tokens, and their sizes: the lines of each text."""
+        if not len(self.real):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        t, line = self.text[self.real], self.line[self.real]
+        cut = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | line[:-1])))
+        return cut, np.diff(np.concatenate((cut, [len(self.real)])))
 
 
 def _sums(k: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -150,6 +223,9 @@ def _sums(k: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 class Crf:
     """Weights; scores of labels for tokens; training on labelled sequences; decoding."""
 
+    #: Different tokens that are remembered.
+    MOST = 300_000
+
     def __init__(self, base: Base):
         self.base = base
         self.n = len(LABELS)
@@ -157,73 +233,75 @@ class Crf:
 
     def forget(self) -> None:
         """Drop what is remembered of tokens, as when the list of given names changes."""
-        self.cache: dict[str, int] = {}
-        self.alike: dict[tuple[int, ...], int] = {}
-        self.rows = np.zeros((1024, 2 * REACH + 1, self.n), np.float32)
+        self.lexicon, self.chunks, self.rows = Lexicon(self.base), _Chunks(), np.zeros((2 * REACH + 1, 0, self.n), np.float32)
 
-    # decoding
+    def tokens(self, texts: list[str]) -> Tokens:
+        if len(self.lexicon) > self.MOST:
+            self.forget()
+        return Tokens(texts, self.lexicon, self.chunks)
 
-    def row(self, tok: str) -> int:
-        k = self.cache.get(tok)
-        if k is None:
-            if len(self.cache) >= 200_000:
-                self.cache.clear()
-            f = tuple(self.base.ids(tok))
-            k = self.alike.get(f)
-            if k is None:
-                k = self.alike[f] = len(self.alike)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = self.w_tok[:, list(f)].sum(1)
-            self.cache[tok] = k
-        return k
+    # decoding
 
-    def emissions(self, t: Tokens, tok: np.ndarray, idx: np.ndarray) -> np.ndarray:
-        e = self.w_space[t.space[idx]].copy()
+    def emissions(self, t: Tokens, idx: np.ndarray) -> np.ndarray:
+        have = self.rows.shape[1]
+        new = list(self.lexicon.groups)[have:]
+        if new:
+            more = np.stack([self.w_tok[:, list(f)].sum(1) for f in new], 1)
+            self.rows = np.ascontiguousarray(np.concatenate([self.rows, more], 1))
+        e = self.w_space.take(t.space[idx], 0)
+        e += self.w_digits.take(t.digits[idx], 0)
+        e += self.w_capitals.take(t.capitals[idx], 0)
         for o in range(2 * REACH + 1):
-            e += self.rows[tok[idx + o - REACH], o]
+            e += self.rows[o].take(t.group[idx + (o - REACH)], 0)
         for o in range(2 * CHUNK_REACH + 1):
-            e += self.w_chunk[o, t.types[t.cid[idx] + o - CHUNK_REACH]]
+            e += self.w_chunk[o].take(t.types[t.chunk[idx] + o], 0)
         return e
 
-    def viterbi(self, e: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Best label of each row of e; sequences lie at begin[i]:begin[i] + size[i]. Batched over sequences of like length."""
-        out = np.zeros(len(e), np.int8)
-        order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), 512):
-            s = order[at : at + 512]
-            b, n = begin[s], size[s]
-            steps = int(n[0])
-            score = e[b] + self.start
-            back = np.zeros((steps, len(s), self.n), np.int8)
-            live = len(s)
-            for t in range(1, steps):
-                live = int(np.searchsorted(-n, -t, side="left"))
-                v = score[:live, :, None] + self.trans
-                back[t, :live] = v.argmax(1)
-                score[:live] = v.max(1) + e[b[:live] + t]
-            label = score.argmax(1)
-            for t in range(steps - 1, -1, -1):
-                live = int(np.searchsorted(-n, -t, side="left"))
-                out[b[:live] + t] = label[:live]
-                label[:live] = back[t, np.arange(live), label[:live]]
+    def labels(self, t: Tokens) -> np.ndarray:
+        """The best label of each real token."""
+        begin, size = t.sequences()
+        order, begin, size, steps = _by_step(begin, size)
+        if not len(order):
+            return np.empty(0, np.int8)
+        out = np.empty(len(order), np.int8)
+        out[order] = self.viterbi(self.emissions(t, t.real[order]), steps)
         return out
 
+    def viterbi(self, e: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Best labels of sequences whose rows of scores lie step by step: first those of all first tokens, then all second ones.
+
+        steps: where each step begins, and the end. Sequences are in descending order of length.
+        """
+        best = np.ascontiguousarray(e.T)
+        best[:, : steps[1]] += self.start[:, None]
+        trans = np.ascontiguousarray(self.trans[:, :, None])
+        for s in range(1, len(steps) - 1):
+            lo, hi = steps[s], steps[s + 1]
+            before = best[:, steps[s - 1] : steps[s - 1] + hi - lo]
+            best[:, lo:hi] += (before[:, None, :] + trans).max(0)
+        rows = np.ascontiguousarray(best.T)
+        back = np.ascontiguousarray(self.trans.T)
+        out = rows.argmax(1)  # right where a sequence ends
+        for s in range(len(steps) - 3, -1, -1):
+            n = steps[s + 2] - steps[s + 1]  # sequences that go on
+            lo = steps[s]
+            out[lo : lo + n] = (rows[lo : lo + n] + back[out[steps[s + 1] : steps[s + 2]]]).argmax(1)
+        return out.astype(np.int8)
+
     # training
 
-    def fit(self, texts: list[str], labels: list[np.ndarray], epochs: int = 18, batch: int = 256, rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Crf:
-        """Maximise the conditional likelihood by Adam; labels: of each text, one number for each of its tokens."""
-        t = Tokens(texts, {})
-        alike: dict[tuple[int, ...], int] = {}  # tokens with the same base features are one
-        of = {x: alike.setdefault(tuple(self.base.ids(x)), len(alike)) for x in dict.fromkeys(t.tok)}
-        tok = np.array([of[x] for x in t.tok])
+    def fit(self, texts: list[str], labels: list[list[tuple[int, int, str]]], epochs: int = 16, batch: int = 256, rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Crf:
+        """Maximise the conditional likelihood by Adam; labels: of each text, the spans (begin, end, kind)."""
+        t = Tokens(texts, self.lexicon, self.chunks)
+        y_all = spans_to_labels(t, labels)
         self.base.fixed = True
-        nb = len(self.base.index)
-        many = len(alike)
-        of_class = np.repeat(np.arange(many), [len(f) for f in alike])  # feature of_feature[k] belongs to class of_class[k]
-        of_feature = np.array([k for f in alike for k in f])
+        nb, groups = len(self.base.index), list(self.lexicon.groups)
+        many = len(groups)
+        of_class = np.repeat(np.arange(many), [len(f) for f in groups])  # feature of_feature[k] belongs to class of_class[k]
+        of_feature = np.array([k for f in groups for k in f])
         n, no, nc = self.n, 2 * REACH + 1, 2 * CHUNK_REACH + 1
-        p = {"tok": np.zeros((no, nb, n), np.float32), "chunk": np.zeros((nc, len(CHUNK_TYPES), n), np.float32), "space": np.zeros((4, n), np.float32), "trans": np.zeros((n, n), np.float32), "start": np.zeros(n, np.float32)}
+        sizes = {"tok": (no, nb, n), "chunk": (nc, len(CHUNK_TYPES), n), "space": (4, n), "digits": (N_DIGITS, n), "capitals": (N_CAPITALS, n), "trans": (n, n), "start": (n,)}
+        p, m, v = ({k: np.zeros(s, np.float32) for k, s in sizes.items()} for _ in range(3))
         forbid = np.zeros((n, n), np.float32)
         for j, lab in enumerate(LABELS):
             if lab[0] == "I":
@@ -231,28 +309,24 @@ class Crf:
                     if prev[2:] != lab[2:]:
                         forbid[i, j] = -30
         first = np.array([-30 if lab[0] == "I" else 0 for lab in LABELS], np.float32)
-        m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-        where = [np.flatnonzero(t.text == k) for k in range(len(texts))]
-        keep = [k for k in range(len(texts)) if len(where[k])]
+        begin, size_of = t.sequences()
         g = np.random.default_rng(seed)
         step = 0
         for epoch in range(epochs):
-            for part in np.array_split(g.permutation(keep), max(1, len(keep) // batch)):
-                part = part[np.argsort([-len(where[k]) for k in part], kind="stable")]
-                size = np.array([len(where[k]) for k in part])
-                most = size[0]
-                idx = np.zeros((len(part), most), np.int64)
-                y = np.zeros((len(part), most), np.int64)
+            for part in np.array_split(g.permutation(len(begin)), max(1, len(begin) // batch)):
+                part = part[np.argsort(-size_of[part], kind="stable")]
+                size = size_of[part]
+                most = int(size[0])
+                at = begin[part][:, None] + np.arange(most)
                 on = np.arange(most) < size[:, None]
-                for r, k in enumerate(part):
-                    idx[r, : size[r]], y[r, : size[r]] = where[k], labels[k]
-                flat = idx[on]
-                e = p["space"][t.space[flat]].copy()
+                at = np.where(on, at, 0)
+                y, flat = y_all[at], t.real[at[on]]
+                e = p["space"][t.space[flat]] + p["digits"][t.digits[flat]] + p["capitals"][t.capitals[flat]]
                 rows = [_sums(of_class, p["tok"][o][of_feature], many) for o in range(no)]
                 for o in range(no):
-                    e += rows[o][tok[flat + o - REACH]]
+                    e += rows[o][t.group[flat + o - REACH]]
                 for o in range(nc):
-                    e += p["chunk"][o][t.types[t.cid[flat] + o - CHUNK_REACH]]
+                    e += p["chunk"][o][t.types[t.chunk[flat] + o]]
                 full = np.zeros((len(part), most, n), np.float32)
                 full[on] = e
                 tr, st = p["trans"] + forbid, p["start"] + first
@@ -282,20 +356,42 @@ class Crf:
                     gt -= (a.T @ bb) * et
                     np.add.at(gt, (y[ok, i - 1], y[ok, i]), 1)
                 df = d[on]
-                grad = {"trans": gt, "start": d[:, 0].sum(0), "space": np.stack([df[t.space[flat] == s].sum(0) for s in range(4)])}
-                gtok = []
-                for o in range(no):
-                    gtok.append(_sums(of_feature, _sums(tok[flat + o - REACH], df, many)[of_class], nb))
-                grad["tok"] = np.stack(gtok)
-                gc = np.zeros_like(p["chunk"])
-                for o in range(nc):
-                    gc[o] = _sums(t.types[t.cid[flat] + o - CHUNK_REACH], df, len(CHUNK_TYPES))
-                grad["chunk"] = gc
+                grad = {"trans": gt, "start": d[:, 0].sum(0), "space": _sums(t.space[flat], df, 4), "digits": _sums(t.digits[flat], df, N_DIGITS), "capitals": _sums(t.capitals[flat], df, N_CAPITALS)}
+                grad["tok"] = np.stack([_sums(of_feature, _sums(t.group[flat + o - REACH], df, many)[of_class], nb) for o in range(no)])
+                grad["chunk"] = np.stack([_sums(t.types[t.chunk[flat] + o], df, len(CHUNK_TYPES)) for o in range(nc)])
                 step += 1
                 for k in p:
                     q = grad[k] / len(part) - decay * p[k] * 10
                     m[k] = 0.9 * m[k] + 0.1 * q
                     v[k] = 0.99 * v[k] + 0.01 * q * q
                     p[k] += rate * (1 - 0.8 * epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-        self.w_tok, self.w_chunk, self.w_space, self.trans, self.start = p["tok"], p["chunk"], p["space"], p["trans"] + forbid, p["start"] + first
+        self.w_tok, self.w_chunk, self.w_space, self.w_digits, self.w_capitals = (p[k] for k in ("tok", "chunk", "space", "digits", "capitals"))
+        self.trans, self.start = p["trans"] + forbid, p["start"] + first
+        self.forget()
         return self
+
+
+def _by_step(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of sequences step by step, longest sequences first: their places, the sequences, and where each step begins."""
+    longest = np.argsort(-size, kind="stable")
+    begin, size = begin[longest], size[longest]
+    most = int(size[0]) if len(size) else 0
+    live = np.searchsorted(-size, -np.arange(1, most + 1), side="right")
+    steps = np.concatenate(([0], np.cumsum(live)))
+    step = np.repeat(np.arange(most), live)
+    order = begin[np.arange(len(step)) - steps[step]] + step if most else np.empty(0, np.int64)
+    return order, begin, size, steps
+
+
+def spans_to_labels(t: Tokens, spans: list[list[tuple[int, int, str]]]) -> np.ndarray:
+    """A label for each real token."""
+    y = np.zeros(len(t.real), np.int64)
+    text, begin = t.text[t.real], t.begin[t.real]
+    edges = np.searchsorted(text, np.arange(len(spans) + 1))
+    for k, own in enumerate(spans):
+        b = begin[edges[k] : edges[k + 1]]
+        for lo, hi, kind in own:
+            i, j = edges[k] + np.searchsorted(b, [lo, hi])
+            y[i:j] = LABELS.index("I-" + kind)
+            y[i : min(i + 1, j)] = LABELS.index("B-" + kind)
+    return y

@@ -1,8 +1,8 @@
 """Personal details in free text: found by a conditional random field over word-shape features and masked.
 
-The labelled table is small and made here: sentences with places for details, filled with invented values. Given names are a
-word list taken from the corpus's own author column, as one feature among others; the rest are shapes and cues. Whatever has
-capitals is decoded, and the model decides whether it is a name, also of people whose given name no author bears.
+The labelled table is small and made here (carriers.py): sentences with places for details, filled with invented values. Every
+token of every text is decoded, and the model decides what is a detail. Given names taken from the corpus's own author column
+are one feature among others; no list lets a name in or keeps it out.
 """
 
 from __future__ import annotations
@@ -14,299 +14,227 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from stylomill.llm.crf import KINDS, LABELS, PARTICLES, SHORT_STREETS, STREETS, TITLES, Base, Crf, Tokens
+from stylomill.llm import carriers as C
+from stylomill.llm.crf import KINDS, PARTICLES, SHORT_STREETS, Base, Crf
 from stylomill.session import spread
 
-_O = LABELS.index("O")
-
-# The labelled table's sentences: {E} email, {P} phone, {I} identity number, {A} address, {N} name, {T} town, {G} organisation.
-POSITIVE = """
-Corrections go to {E}, as ever.|The form went to <{E}>, not the desk.|mailto:{E} works too.|Write to {E} with tips.|Contact: {E}.|Tickets are gone, but {E} still answers.
-{E} never replied.|E: {E}|mail {E}|Email {E} for details.|Send it to {E} today!|Questions? {E}|(mail: {E})|His address, {E}, bounced.|Reach us at {E}, please.|{E} is the one to use.
-tel: {P}|WhatsApp {P} if you saw it.|The hotline ({P}) rang out.|My mobile is {P}, text me.|Call {P} before six.|Nobody picked up at {P}.|Witnesses should phone {P}.|Ring the box office on {P} today.
-M: {P}|Tel. {P}|phone {P}|Text {P} now!|Fax: {P}|Dial {P}; ask for the desk.|Her number, {P}, is dead.|You can reach them on {P}.|{P} was engaged all day.|Mobile: {P}.
-The identity number on the badge, {I}, was never blurred.|The leaked sheet gave the tax ID {I}.|An ID card numbered {I} lay on the counter.|The passport number {I} was readable on the photo.
-His social security number is {I}, the file shows.|Her national insurance no. {I} was on the form.|{I} was on the form.|ID no. {I}|NI: {I}|Passport: {I}|National ID {I} was printed twice.|Her passport, {I}, was copied.|Tax no. {I}.|He gave the tax ID {I}. It was wrong.|The tax ID {I} was leaked.|They asked for ID {I}.
-The van stopped near {A}, {T}.|Letters for {A} piled up.|She has lived at {A} since spring.|Meet outside {A} at noon!|The house at {A} in {T} was searched.|Parcels went to {A} by mistake.|Post: {A}|{A}
-He moved to {A} last year.|The flat at {A} is for rent.|Deliver to {A}, {T}.|Police were called to {A} on Monday.|Address: {A}|They met at {A}.|He parked at {A}, {T}.|It stood near {A}, {T}. A nurse saw it.
-“It was my job,” said {N}, who left in June.|The driver, {N}, was not hurt.|a message from {N} arrived late.|{N} signed the form twice.|Mrs {N} declined to comment.|Police later spoke to {N} and two others.
-The complaint names {N} as the tenant.|Thanks to {N} for the photo.|Happy birthday {N}!|Neighbours knew Dr {N} well.|Attn: {N}|c/o {N}|{N}|Mr {N} was there.|Call {N} about it.|My cousin {N} lives here.
-A letter from {N} came.|Ask {N} for the key.|{N} told us so.|Ms {N} paid the fine.|The nurse, {N}, agreed.|According to {N}, it rained.|“No,” said {N}.|The victim was named as {N}, aged 40.|Congratulations {N}!|{N} and {N} were there.
-"""
-BLOCKS = ["{N}", "Attn: {N}", "c/o {N}", "{A}", "Post: {A}", "NI: {I}", "Passport: {I}", "ID no. {I}", "M: {P}", "Tel. {P}", "phone {P}", "{P}", "E: {E}", "mail {E}", "{E}"]
-NEGATIVE = """
-Flight {X}{d4} left on time.|Order ref. {X}-{d4}-{d2} was refunded.|ISBN 978-{d1}-{d4}-{d2}-{d1} is out of print.|Version {d2}.{d1}.{d4} fixes the app.|Parking permit {d4}-{d4} has lapsed.|Readings of {d4} {d4} {d3} hPa were logged.
-Turnout rose from 2019-2023 by {d2} points.|Serial {X}-{d4} failed inspection.|The lot, no. {d4}, sold fast.|Grid {d2}.{d4}, -{d1}.{d2} marks the spot.|Some {d3} {d3} people signed.|Bus {d2} {R} turns back early.|Call-in ends at {d2}:{d2}, Studio {d1}.
-{R} Street and {R} Lane swap directions.|{R} Lane reopened to traffic.|{R} Road is shut, see map.|The ferry {F} {R} is late.|{F} {R} Rovers drew at home.|The {F} Street Market is back.|Follow @{h} for more.|@{h} Great to see it.|RT @{h}: the match is on.|@{h} Critics saw the plan; the clerk left the tour.|@{h} A trader from {T} quietly saw {k} records.|@{h} {G} shut the {c}.|A teacher from {T} barely saw the {c}.|An inhabitant of {T} met a {c}.|A {c} in {T} was shut.|Critics closed the {c}; the nurse left the {c}.
-According to the {G}, {k} of the phone files were new and briefly discussed.|The {G} has quietly bought the gallery, the pier and the old farm.|Documents seen on Monday show the teacher tested {k} costly forms.|In {T}, the {G} openly opened a {c} that many people thought odd.
-A nurse from {T} briefly viewed {k} records without a sturdy audience.|The calm goal of {T} was missed {k} times during the rumour.|There was a slow quay at the debt, and {k} supporters firmly sold it.|The estate costs {k} more than the foreign auction.|The plan costs £{d2}.{d1}m more than the road.
-Can anyone in {T} explain why the chef won a large deal in March?|“We backed the share and the common carefully,” the fisherman said at noon.|On Tuesday, the critic and the keeper bought a small farm near {T}.|One driver saw the levy as strong; another left it for {T}.
-See https://{h}.example/{h} for more.|www.{h}.example/{h}{d2}|Honestly, this bank is fresh and the critic has rarely closed it! #{w}|Still thinking about the fair the clerk closed in late June. 🔥😀|Its bench remains old, yet the analyst met it in {T}.|The {c} of {T} won {d1}-{d1} on Friday.
-The score was {d2}-{d2} after {d2} minutes.|Room {d3} was empty at {d2}.{d2}.|On {d2}/{d2}/20{d2} it rained.|Invoice {d8} was paid.|Track {d4}{d4}{d4} was lost.|It sold {d2} million copies in 20{d2}.|Chapter {d2}, page {d3}.|Item no. {d4}{d3} is out of stock.|Model {X}{d3} sells well.|Gate {d2}, seat {d2}A.
-Das Haus bleibt heute offen und wurde {d2} mal verkauft.|La ciudad busca siempre un puente de {d3} metros.|Una plaza muestra hoy un mercado pero una calle olvidado.|Una orilla pide quizás otro puerto entre una obra vendido.|La obra busca ayer sin grande debate perdido. Una huelga sigue por fin contra el juicio.|El partido está casi sobre una ciudad ganado.|Une ville cherche encore un port malgré une rivière perdu.|The lottery drew {d2}, {d2}, {d2}, {d2}, {d2}.|Новая школа давно закрыта, {d2} раз.|Great to see the {c} in {T} tested by the {G}.|Why was the {c} closed while the {c} in {T} was not?
-The {c} (a small {c} by training) shut the {c} in {T}.|For every {c} that the {G} saw, {k} {c} requests remain calm.|After the {c}, the {G} met both the {c} and a loud {c} last week.|<p>Nobody in {T} saw the {c} before the {c} spoke about it.</p>|{T} has cut its {c} again, which means the {c} still needs a {c}.
-The {c} knew the {c} – and {T} {y} moved on.|A {c} from {T} {y} won {k} {c} records.|A {c} from {T} saw {k} {c} forms.|{T} {y} closed the {c}.|A {c} {y} left {T}. {G} {y} shut the {c}.|Nobody in {T} or {T} {y} saw it.|A {c}.|{G} sold the {c} to {T}.|In {T}, {G} met {G}.|What will {T} do? {T} will have to wait.
-"""
-# Invented values. Given names of the table only teach what the flag of a given name means.
-_GIVEN = "alice bruno carla derek edith felix grace hugo irene jonas karin leo maria nora oscar paula rita simon tessa victor wendy yara mara petra nadia una ida".split()
-# First names that the list doesn't have, so that the model learns to do without it.
-_RARE_A = "mal tho zel bri ros quen yor fa lud ber osw ky ing aur dag tam vel sho".split()
-_RARE_B = "in as ette mund wyn ko rik ya ora ald ena iel oun".split()
-_FAMILY_A = "whit brad car dun el fair gold hart kel lang mar nor old pem quin rad sand tor up wald brook cray fenn grim holl".split()
-_FAMILY_B = "more ley ford er ington ard ock ell eth wick by man s son low ane gough ander".split()
-_STREET_A = "Maple,Orchard,Granary,Mill,Station,Church,Harbour,Victoria,Long Acre,Old Bridge,Lower Field,St Anne’s,King’s,Third,Elm,High,Copper Beech,Chapel,Rose Hill,Upper Weir,River,Park View".split(",")
-_STREET_T = "Street Road Lane Avenue Way Close Drive Terrace Blvd Rd Ave St. Court Place Square Hill Row".split()
-_ORG = "Council,Water Trust,Housing Union,Film Society,Chamber of Trade,Transit Board,Growers Guild,Rovers,Institute,Harbour Office,United,School Board".split(",")
-_ADVERBS = "quietly largely formally openly privately seemingly mostly cautiously officially frequently".split()
-_COMMON = "bank plan clinic statute bridge doctor nurse record festival village tenant levy pilot gallery vote ticket phone passport number house street mobile".split()
+#: Characters of texts that are decoded together.
+BATCH = 400_000
 
 
 class _Maker:
+    """Fills carriers with invented values."""
+
+    SLOT = re.compile(r"\{(\w+)\}")
+
     def __init__(self, seed: int):
         self.g = np.random.default_rng(seed)
+        self.kinds = {"E": ("email", self.email), "P": ("phone", self.phone), "I": ("id_number", self.id_number), "A": ("address", self.address), "N": ("name", self.name)}
+        self.others = {
+            "M": lambda: self.one(C.GIVEN).title() + " " + self.family(), "F": lambda: self.one(C.GIVEN).title(), "T": self.town, "G": self.body, "R": lambda: self.one(C.STREETS_OF), "h": self.handle,
+            "K": lambda: f"{self.one(C.STREETS_OF)} {self.one(C.STREET_KINDS)}", "c": lambda: self.one(C.NOUNS), "v": lambda: self.one(C.VERBS), "a": lambda: self.one(C.ADJECTIVES), "y": lambda: self.one(C.ADVERBS), "w": lambda: self.one(C.DAYS),
+            "k": lambda: self.one([f"{int(self.g.integers(1, 60))},{self.digits(3)}", str(int(self.g.integers(2, 99))), self.digits(4)]), "X": lambda: "".join(self.one("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(int(self.g.integers(1, 4)))),
+        }
 
     def one(self, x):
         return x[int(self.g.integers(len(x)))]
 
+    def chance(self, p: float) -> bool:
+        return self.g.random() < p
+
     def digits(self, n: int) -> str:
         return "".join(map(str, self.g.integers(0, 10, n)))
 
     def family(self) -> str:
-        f = (self.one(_FAMILY_A) + self.one(_FAMILY_B)).title()
-        return f + ("-" + (self.one(_FAMILY_A) + self.one(_FAMILY_B)).title() if self.g.random() < 0.12 else "")
+        f = (self.one(C.FAMILY_A) + self.one(C.FAMILY_B)).title()
+        f = f"Mc{f}" if self.chance(0.03) else f"O’{f}" if self.chance(0.03) else f"O'{f}" if self.chance(0.02) else f
+        return f + ("-" + (self.one(C.FAMILY_A) + self.one(C.FAMILY_B)).title() if self.chance(0.1) else "")
 
     def name(self) -> str:
-        first = self.one(_GIVEN).title() + ("-" + self.one(_GIVEN).title() if self.g.random() < 0.12 else "")
-        rare = self.g.random()
-        if rare < 0.25:
-            first = (self.one(_RARE_A) + self.one(_RARE_B)).title()
-        elif rare < 0.33:
-            first = self.one("BCDEFGHJKLMNPRSTUVWXZ") + "."
+        first = self.one(C.GIVEN).title() + ("-" + self.one(C.GIVEN).title() if self.chance(0.1) else "")
+        known = not self.chance(0.3)
+        if not known:
+            first = (self.one(C.FIRST_A) + self.one(C.FIRST_B)).title() if self.chance(0.75) else self.one("ABCDEFGHJKLMNPRSTUVWXZ") + "."
         mid = self.g.random()
-        mid = f" {self.one('ABCDEFGHJKLMNPRSTUVWXZ')}." if mid < 0.22 else f" {self.one(['van', 'de', 'von', 'O’'])}" if mid < 0.3 else ""
-        n = first + mid + (" " if self.g.random() < 0.95 else "  ") + self.family()
-        n = n.replace("’ ", "’")
+        mid = f" {self.one('ABCDEFGHJKLMNPRSTUVWXZ')}." if mid < 0.18 else f" {self.one(['van', 'de', 'von', 'van der', 'della', 'bin', 'al'])}" if mid < 0.25 else f" {self.one(C.GIVEN).title()}" if mid < 0.28 else ""
+        n = first + mid + (" " if self.chance(0.95) else "  ") + self.family()
         c = self.g.random()
-        return n.upper() if c < 0.12 else n.lower() if c < 0.32 and rare >= 0.33 else n
+        return n.upper() if c < 0.1 else n.lower() if c < 0.25 and known else n
 
     def email(self) -> str:
-        a, b = self.one(_GIVEN), (self.one(_FAMILY_A) + self.one(_FAMILY_B))
-        local = a + self.one([".", "_", "-", "", "x"]) + b + (self.digits(2) if self.g.random() < 0.35 else "") + ("+tips" if self.g.random() < 0.15 else "")
-        host = self.one(["mail.tarn", "post.hollow", "kelby", "dun-ledger", "quarry", "fairpost"]) + "." + self.one(["example", "test", "invalid", "org", "com", "co.uk"])
-        c = self.g.random()
-        if c < 0.22:
-            k = self.one(["()", "[]"])
-            host = host.replace(".", f" {k[0]}dot{k[1]} ") if self.g.random() < 0.6 else host
-            e = f"{local} {k[0]}at{k[1]} {host}"
+        a, b = self.one(C.GIVEN), self.one(C.FAMILY_A) + self.one(C.FAMILY_B)
+        local = self.one([a + self.one([".", "_", "-", ""]) + b, a[0] + b, b + "." + a[0], a + self.digits(2), self.one(C.NOUNS), self.one(["info", "desk", "news", "office", "hello"])])
+        local += (self.digits(2) if self.chance(0.25) else "") + ("+" + self.one(C.NOUNS) if self.chance(0.12) else "")
+        host = self.one([self.one(C.NOUNS), f"{self.one(C.NOUNS)}-{self.one(C.NOUNS)}", f"mail.{self.one(C.FAMILY_A)}{self.one(C.FAMILY_B)}", self.one(C.FIRST_A) + self.one(C.FIRST_B)])
+        host += "." + self.one(["example", "test", "invalid", "org", "com", "net", "co.uk", "de"])
+        if self.chance(0.22):
+            l, r = self.one(["()", "[]", "()", "{}"])
+            host = host.replace(".", f" {l}dot{r} ") if self.chance(0.6) else host
+            e = f"{local} {l}at{r} {host}"
         else:
             e = f"{local}@{host}"
-        return e.upper() if self.g.random() < 0.12 else e
+        return e.upper() if self.chance(0.1) else e
 
     def phone(self) -> str:
         d = self.digits
         return self.one([
-            lambda: f"0{d(4)} {d(6)}", lambda: f"(0{d(4)}) {d(3)} {d(3)}", lambda: f"020 7{d(3)} {d(4)}", lambda: f"020-7{d(3)}-{d(4)}", lambda: f"+44 (0)20 7{d(3)} {d(4)}", lambda: f"+44 20 7{d(3)} {d(4)}",
-            lambda: f"+447{d(9)}", lambda: f"07{d(3)} {d(6)}", lambda: f"0044 7{d(3)} {d(3)} {d(3)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}",
-            lambda: f"+1 {d(3)} {d(3)} {d(4)}", lambda: f"+49 30 {d(5)} {d(3)}", lambda: f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"+{d(2)} {d(3)} {d(6)}", lambda: f"+1-{d(3)}-{d(3)}-{d(4)}",
+            lambda: f"0{d(4)} {d(6)}", lambda: f"(0{d(4)}) {d(6)}", lambda: f"(0{d(4)}) {d(3)} {d(3)}", lambda: f"020 {d(4)} {d(4)}", lambda: f"020-{d(4)}-{d(4)}", lambda: f"+44 (0){d(2)} {d(4)} {d(4)}", lambda: f"+44 {d(2)} {d(4)} {d(4)}",
+            lambda: f"+447{d(9)}", lambda: f"07{d(3)} {d(6)}", lambda: f"07{d(9)}", lambda: f"0044 {d(4)} {d(3)} {d(3)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}",
+            lambda: f"+1 {d(3)} {d(3)} {d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"+49 {d(2)} {d(5)} {d(3)}", lambda: f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"+{d(2)} {d(3)} {d(6)}", lambda: f"+1-{d(3)}-{d(3)}-{d(4)}",
+            lambda: f"0{d(2)}/{d(7)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
         ])()
 
     def id_number(self) -> str:
-        d, x = self.digits, lambda: self.one("ABCKLMPRSTXYZ")
+        d, x = self.digits, lambda: self.one("ABCEGHJKLMNPRSTWXYZ")
         return self.one([
-            lambda: f"QQ {d(2)} {d(2)} {d(2)} {self.one('ABCD')}", lambda: f"QQ{d(6)}{self.one('ABCD')}", lambda: f"{x()}{x()}{d(6)}{x()}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(3)} {d(2)} {d(4)}",
-            lambda: f"{x()}{d(8)}", lambda: f"{x()}{d(7)}{x()}", lambda: f"{x()}{x()} {d(2)} {d(2)} {d(2)} {x()}",
+            lambda: f"{x()}{x()} {d(2)} {d(2)} {d(2)} {self.one('ABCD')}", lambda: f"{x()}{x()}{d(6)}{self.one('ABCD')}", lambda: f"QQ {d(2)} {d(2)} {d(2)} {self.one('ABCD')}", lambda: f"QQ{d(6)}{self.one('ABCD')}",
+            lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(3)} {d(2)} {d(4)}", lambda: f"{x()}{d(8)}", lambda: f"{x()}{d(7)}{x()}", lambda: f"{x()}{x()}{d(7)}", lambda: f"{d(9)}",
         ])()
 
     def address(self) -> str:
-        n = str(int(self.g.integers(1, self.one([10, 100, 450, 450])))) + (self.one("abB") if self.g.random() < 0.25 else "")
-        unit = f"{self.one(['Flat', 'Apt', 'Unit', 'Suite'])} {int(self.g.integers(1, 45))}"
-        a = f"{n} {self.one(_STREET_A)} {self.one(_STREET_T)}"
+        n = str(int(self.g.integers(1, self.one([10, 100, 450, 450])))) + (self.one("abcABC") if self.chance(0.2) else "")
+        unit = f"{self.one(['Flat', 'Apt', 'Apt.', 'Unit', 'Suite', 'Apartment'])} {int(self.g.integers(1, 45))}" + (self.one("ABC") if self.chance(0.2) else "")
+        a = f"{n} {self.one(C.STREETS_OF)} {self.one(C.STREET_KINDS)}"
         c = self.g.random()
-        a = f"{unit}, {a}" if c < 0.15 else f"{a}, {unit}" if c < 0.4 else a
-        return a.lower() if self.g.random() < 0.25 else a
+        a = f"{unit}, {a}" if c < 0.17 else f"{a}, {unit}" if c < 0.38 else f"{a} {unit}" if c < 0.41 else a
+        return a.lower() if self.chance(0.2) else a.upper() if self.chance(0.04) else a
 
     def town(self) -> str:
-        return self.one(["", "", "", "Upper ", "Saint ", "Port ", "East ", "Little ", "Lower ", "Great ", "North ", "New "]) + (self.one(_FAMILY_A) + self.one(["mere", "bury", "ford", "wick", "gate", "minster", "haven", "den"])).title()
+        return self.one(C.PLACE_FIRST) + (self.one(C.FAMILY_A) + self.one(C.PLACE_END)).title()
 
-    def fill(self, template: str) -> tuple[str, list[tuple[int, int, str]]]:
-        kinds = {"E": ("email", self.email), "P": ("phone", self.phone), "I": ("id_number", self.id_number), "A": ("address", self.address), "N": ("name", self.name)}
-        text, spans = "", []
-        for part in re.split(r"(\{\w+\})", template):
-            m = re.fullmatch(r"\{(\w+)\}", part)
-            if not m:
-                text += part
-                continue
-            k = m[1]
-            if k in kinds:
-                kind, make = kinds[k]
+    def body(self) -> str:
+        first = self.one([lambda: self.one(C.ORG_FIRST), self.town, lambda: f"{self.town()} {self.one(C.ORG_FIRST)}", lambda: self.one(C.NOUNS).title()])()
+        return f"{first} {self.one(C.ORGS)}"
+
+    def handle(self) -> str:
+        return self.one(C.GIVEN) + self.one(["_", "_", "", "."]).replace(".", "x") + self.one([*C.FAMILY_A, *C.NOUNS]) + self.one(["", "", self.digits(2)])
+
+    def fill(self, carrier: str) -> tuple[str, list[tuple[int, int, str]]]:
+        text, spans, at = "", [], 0
+        for m in self.SLOT.finditer(carrier):
+            text, at, k = text + carrier[at : m.start()], m.end(), m[1]
+            if k[0] == "d" and len(k) > 1:
+                text += self.digits(int(k[1:]))
+            elif k in self.others:
+                text += self.others[k]()
+            else:
+                kind, make = self.kinds[k]
                 v = make()
-                if kind == "address" and v.endswith(".") and template[template.find("{A}") + 3 :][:1] == ".":
+                if v.endswith(".") and carrier[at : at + 1] == ".":
                     v = v[:-1]
                 spans.append((len(text), len(text) + len(v), kind))
                 text += v
-            elif k[0] == "d":
-                text += self.digits(int(k[1:]))
-            else:
-                text += {
-                    "X": lambda: self.one("ABHKST") + self.one("ASVXZ"), "R": lambda: self.one(_STREET_A), "F": lambda: self.one(_GIVEN).title(), "h": lambda: self.one(_GIVEN) + self.one(["_", "_", "x", ""]) + self.one(_FAMILY_A) + self.one(["", "", self.digits(2)]),
-                    "G": lambda: self.one(["Hollow Vale ", "Tarn ", "Kelby Bay ", "Oldham "]) + self.one(_ORG), "T": self.town, "k": lambda: self.one([f"{int(self.g.integers(1, 60))},{self.digits(3)}", str(int(self.g.integers(2, 99)))]),
-                    "c": lambda: self.one(_COMMON), "y": lambda: self.one(_ADVERBS), "w": lambda: self.one(_COMMON).title(),
-                }[k]()
+        text += carrier[at:]
+        if self.chance(0.4) and text[:1].islower() and not (spans and spans[0][0] == 0):
+            text = text[0].upper() + text[1:]
+        elif self.chance(0.06):
+            text = text.lower()
         return text, spans
 
 
-def labelled_table(seed: int = 17, copies: int = 26) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, spans with kinds): every sentence of the table filled several times, some joined, some as blocks of lines."""
+def _lines(block: str) -> list[str]:
+    return [x for x in block.split("\n") if x.strip()]
+
+
+def labelled_table(seed: int = 17, copies: int = 20, keep=lambda k: True) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, spans with kinds): carriers filled several times, some joined, some as cells of a line or a block.
+
+    `keep` says by its number whether a carrier with details is used, so that tests can hold some out.
+    """
     mk = _Maker(seed)
-    positive = [x for x in re.split(r"[|\n]", POSITIVE) if x.strip()]
-    negative = [x for x in re.split(r"[|\n]", NEGATIVE) if x.strip()]
+    kinds = [[x for k, x in enumerate(_lines(b)) if keep(k)] for b in (C.EMAIL, C.PHONE, C.ID, C.ADDRESS, C.NAME)]
+    plain = [*_lines(C.NUMBERS), *_lines(C.NOT_PEOPLE)]
     rows = []
+
+    def join(parts: list[tuple[str, str]]) -> None:
+        text, spans = "", []
+        for gap, carrier in parts:
+            t, sp = mk.fill(carrier)
+            gap = gap if text else ""
+            spans += [(a + len(text) + len(gap), b + len(text) + len(gap), k) for a, b, k in sp]
+            text += gap + t
+        rows.append((text, spans))
+
     for _ in range(copies):
-        every = [*positive, *negative, *negative]
+        every = [*sum(kinds, []), *plain, *plain, *_lines(C.NOT_PEOPLE)]
         every = [every[i] for i in mk.g.permutation(len(every))]
         at = 0
         while at < len(every):
             n = int(mk.g.integers(1, 5))
-            text, spans = "", []
-            for s in every[at : at + n]:
-                t, sp = mk.fill(s)
-                gap = "" if not text else mk.one([" ", " ", " ", "\n", "\n\n"])
-                spans += [(a + len(text) + len(gap), b + len(text) + len(gap), k) for a, b, k in sp]
-                text += gap + t
+            join([(mk.one([" ", " ", " ", " ", "\n", "\n\n", " – "]), x) for x in every[at : at + n]])
             at += n
-            rows.append((text, spans))
-        for _ in range(25):
-            parts = [BLOCKS[i] for i in mk.g.choice(len(BLOCKS), int(mk.g.integers(2, 5)), replace=False)]
-            text, spans, sep = mk.fill(mk.one(negative))[0] + mk.one(["\n\n", "\n", " "]), [], mk.one(["\n", " | ", " / "])
-            for i, s in enumerate(parts):
-                t, sp = mk.fill(s)
-                gap = sep if i else ""
-                spans += [(a + len(text) + len(gap), b + len(text) + len(gap), k) for a, b, k in sp]
-                text += gap + t
-            rows.append((text, spans))
+        for _ in range(60):
+            sep = mk.one(["\n", "\n", " | ", " / ", ", ", "; ", " · "])
+            cells = [C.CELLS[i] for i in mk.g.choice(len(C.CELLS), int(mk.g.integers(2, 5)), replace=False)]
+            join([("", mk.one(plain)), (mk.one(["\n\n", "\n", " "]), cells[0]), *((sep, x) for x in cells[1:])])
     return rows
 
 
-def _labels(t: Tokens, rows: list) -> list[np.ndarray]:
-    out = []
-    for k, (_, spans) in enumerate(rows):
-        where = np.flatnonzero(t.text == k)
-        y = np.zeros(len(where), np.int64)
-        for a, b, kind in spans:
-            inside = np.flatnonzero((t.begin[where] >= a) & (t.begin[where] < b))
-            if len(inside):
-                y[inside] = LABELS.index("I-" + kind)
-                y[inside[0]] = LABELS.index("B-" + kind)
-        out.append(y)
-    return out
-
-
-@lru_cache(2)
-def trained() -> Crf:
-    """The model, fitted once in a process; the same on every machine. Its list of given names is replaced for decoding."""
-    rows = labelled_table()
-    texts = [t for t, _ in rows]
-    tok = Tokens(texts, {})
-    y = _labels(tok, rows)
+def context_words(least: int = 3) -> list[str]:
+    """Words that at least so many carriers have beside their slots."""
     seen: Counter = Counter()
-    for k, labels in enumerate(y):
-        where = np.flatnonzero(tok.text == k)
-        for i, lab in zip(where, labels):
-            w = tok.tok[i].lower()
-            if lab == _O and w.isalpha() and len(w) > 1:
-                seen[w] += 1
-    values = {*_GIVEN, *(a + b for a in _FAMILY_A for b in _FAMILY_B), *(w.lower() for s in _STREET_A for w in re.findall(r"\w+", s))}
-    known = [w for w, n in seen.items() if n >= (30 if w in values else 4)]
-    return Crf(Base([*known, "at", "dot", "qq", "tips"], _GIVEN)).fit(texts, y)
-
-
-_STREET_WORDS = "|".join(sorted(STREETS))
-#: What a detail cannot do without, besides names: long numbers, codes, house numbers before a street word, mail signs, titles.
-_HOT = re.compile(
-    r"\d[\d().\s\u2010-\u2015-]{4,}\d|[A-Za-z]\s?\d{5,}|\d{6,}|\w@\w|[(\[{]\s*at\s*[)\]}]|\b(?:mr|mrs|ms|dr|miss|prof|attn|c/o)\b"
-    r"|\d[A-Za-z]?,?\s+(?:[^\W\d_][\w’'-]*\.?\s+){1,3}(?:" + _STREET_WORDS + r")\b",
-    re.I,
-)
-_TITLE = re.compile(r"(?:\b(?:attn|" + "|".join(sorted(TITLES)) + r")\b[.:]?|c/o)\s*$", re.I)
-#: Two capitalised words or initials in a row, particles between them or not.
-_CAPITALS = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*[.’'-]?\s*)(?:(?:" + "|".join(sorted(PARTICLES)) + r")[\s’']\s*){0,3}[^\W\d_a-zß-öø-ÿ][^\W\d_]"
-)
-_LETTERS = re.compile(r"[^\W\d_]+")
-_NAME_CHARS = re.compile(r"[^\W\d_]")
+    for block in (C.EMAIL, C.PHONE, C.ID, C.ADDRESS, C.NAME, C.NUMBERS, C.NOT_PEOPLE):
+        for x in _lines(block):
+            seen.update({w.lower() for w in re.findall(r"[^\W\d_]+", _Maker.SLOT.sub(" ", x))})
+    return [w for w, n in seen.items() if n >= least]
 
 
-class Finder:
-    """Details in batches of texts. Whole texts are searched for what a detail must have; only the stretches around are decoded."""
+@lru_cache(4)
+def trained(seed: int = 17, held_out: int | None = None) -> Crf:
+    """The model, fitted once in a process; the same on every machine. Its given names are replaced for decoding.
 
-    #: Characters on either side that are decoded too; around capitals, what the features of a token reach (four tokens) and some more.
-    AROUND, AROUND_CAPITALS = 110, 50
+    With `held_out`, every fifth carrier with details, from that one on, is left out of the training.
+    """
+    rows = labelled_table(seed, keep=lambda k: held_out is None or k % 5 != held_out)
+    return Crf(Base([*context_words(), "at", "dot"], C.GIVEN)).fit([t for t, _ in rows], [s for _, s in rows])
 
-    def __init__(self, crf: Crf, given: frozenset[str]):
-        self.crf, self.given = crf, given
-        crf.base.given = given
-        crf.forget()
-        self.chunks: dict[str, int] = {}
-
-    def stretches(self, text: str) -> list[tuple[int, int]]:
-        at = [m.span() for m in _HOT.finditer(text)]
-        less = self.AROUND - self.AROUND_CAPITALS
-        at += [(m.start() + less, m.end() - less) for m in _CAPITALS.finditer(text)]
-        low = text.lower()
-        if len(low) == len(text):
-            names = self.given.intersection(_LETTERS.findall(low))
-            if names:
-                at += [m.span() for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(sorted(names)) + r")(?![^\W_])", low)]
-        elif not self.given.isdisjoint(_LETTERS.findall(low)):
-            at.append((0, len(text)))
-        out: list[tuple[int, int]] = []
-        for lo, hi in sorted(at):
-            lo, hi = max(0, lo - self.AROUND), min(len(text), hi + self.AROUND)
-            while lo and not text[lo - 1].isspace():
-                lo -= 1
-            while hi < len(text) and not text[hi].isspace():
-                hi += 1
-            if out and lo <= out[-1][1]:
-                out[-1] = (out[-1][0], max(hi, out[-1][1]))
-            else:
-                out.append((lo, hi))
-        return out
 
-    def plausible(self, text: str, lo: int, hi: int) -> bool:
-        """Words of a name have capitals, but for particles; one without any has two words and begins with a known given name or follows a title."""
-        name = text[lo:hi]
-        if not name.islower() and any(w.islower() and w not in PARTICLES for w in name.split()):
-            return False
-        if name.islower() and len([w for w in name.split() if len(w) > 2 and w not in PARTICLES]) > 2:
+class NameTable:
+    """Hashed words in a bitmap of fixed size: which first words author names have. Another word is in it by chance only."""
+
+    BITS = 1 << 22
+    _PART = 1 << 15
+
+    def __init__(self, parts: dict[int, bytes] | None = None, words: frozenset[str] = frozenset()):
+        self.parts, self.words = parts or {}, words
+
+    def __contains__(self, word: str) -> bool:
+        if word in self.words:
+            return True
+        if not self.parts:
             return False
-        known = not name.islower() or re.split(r"[-\s]", name)[0] in self.given
-        return known or bool(_TITLE.search(text[max(0, lo - 12) : lo]))
+        slot = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) % self.BITS
+        part = self.parts.get(slot // self._PART)
+        return bool(part and part[slot % self._PART // 8] >> (slot % 8) & 1)
+
+
+class Finder:
+    """Details in batches of texts; every token is decoded."""
+
+    def __init__(self, crf: Crf, given: NameTable | frozenset[str]):
+        self.crf = crf
+        crf.base.given = given
+        crf.forget()
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        parts = [(k, lo, hi) for k, x in enumerate(texts) for lo, hi in self.stretches(x)]
-        for at in range(0, len(parts), 1024):
-            some = parts[at : at + 1024]
-            t = Tokens([texts[k][lo:hi] for k, lo, hi in some], self.chunks)
-            idx = np.flatnonzero(t.text >= 0)
-            if not len(idx):
-                continue
-            cut = np.flatnonzero(np.concatenate(([True], t.text[idx[1:]] != t.text[idx[:-1]])))
-            tok = np.fromiter(map(self.crf.row, t.tok), np.int64, len(t.tok))
-            label = self.crf.viterbi(self.crf.emissions(t, tok, idx), cut, np.diff(np.concatenate((cut, [len(idx)]))))
-            for b in np.flatnonzero((label > 0) & (label % 2 == 1)):
-                e = b
-                while e + 1 < len(label) and label[e + 1] == label[b] + 1 and t.text[idx[e + 1]] == t.text[idx[b]]:
-                    e += 1
-                k, base, _ = some[int(t.text[idx[b]])]
-                lo, hi = base + int(t.begin[idx[b]]), base + int(t.begin[idx[e]]) + len(t.tok[idx[e]])
-                items = tidy(texts[k], lo, hi, KINDS[(label[b] - 1) // 2])
-                out[k] += [x for x in items if x[2] != "name" or self.plausible(texts[k], x[0], x[1])]
+        t = self.crf.tokens(texts)
+        label = self.crf.labels(t)
+        text, begin, end = (x[t.real] for x in (t.text, t.begin, t.end))
+        first = np.flatnonzero((label > 0) & (label % 2 == 1))
+        goes_on = (label > 0) & (label % 2 == 0)  # I labels follow only their own kind
+        stop = np.flatnonzero(np.concatenate((~goes_on, [True])))
+        last = stop[np.searchsorted(stop, first, side="right")] - 1 if len(first) else first
+        for b, e in zip(first, last):
+            k = int(text[b])
+            out[k] += tidy(texts[k], int(begin[b]), int(end[e]), KINDS[(int(label[b]) - 1) // 2])
         return out
 
 
+_NAME_CHARS = re.compile(r"[^\W\d_]")
 _LEAD = re.compile(r"^[\s<(\[\"“'‘:;,.|/-]+")
 _TRAIL = re.compile(r"[\s>\"”'’:;,.!?|/\])-]+$")
 _MAIL = re.compile(r"[\w.+-]*\w(?:@|\s?[(\[{]\s?at\s?[)\]}]\s?)[\w-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)[\w-]+)+", re.I)
@@ -354,13 +282,13 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
     return [(lo, hi, kind)] if ok else []
 
 
-def given_names(docs: DataFrame, most: int | None = None, column: str = "author") -> frozenset[str]:
-    """The first words of author names, in lower case; with `most`, that many of the most frequent ones."""
+def given_names(docs: DataFrame, column: str = "author") -> NameTable:
+    """The first words of all author names of two words or more, in lower case, in a bitmap of 512 KB."""
     first = F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^\s*(\p{L}+)\s+\S", 1))
-    top = docs.select(first.alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
-    if most is not None:
-        top = top.orderBy(F.desc("n"), "w").limit(most)
-    return frozenset(r["w"] for r in top.collect())  # distinct words
+    slot = F.pmod(F.xxhash64("w"), F.lit(NameTable.BITS))
+    words = docs.select(first.alias("w")).where("w <> ''").select((slot / NameTable._PART).cast("int").alias("part"), F.pmod(slot, F.lit(NameTable._PART)).alias("at"))
+    rows = words.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # at most 128 rows of 4 KB
+    return NameTable({r["part"]: bytes(r["bits"]) for r in rows})
 
 
 def _find(model, masked: bool):
@@ -368,15 +296,19 @@ def _find(model, masked: bool):
         finder = Finder(*model.value)
         for pdf in batches:
             every, ids = pdf["text"].tolist(), pdf["id"].tolist()
-            for at in range(0, len(every), 256):
-                part = every[at : at + 256]
+            size = np.cumsum([len(x or "") + 50 for x in every])
+            lo = 0
+            while lo < len(every):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BATCH)))
+                part = every[lo:hi]
                 found = finder([x or "" for x in part])
                 if masked:
-                    yield pd.DataFrame({"id": ids[at : at + 256], "masked": [x if x is None else mask(x, f) for x, f in zip(part, found)], "n_items": [len(f) for f in found]})
+                    yield pd.DataFrame({"id": ids[lo:hi], "masked": [x if x is None else mask(x, f) for x, f in zip(part, found)], "n_items": [len(f) for f in found]})
                 else:
-                    rows = [(i, k, x[lo:hi]) for i, x, f in zip(ids[at : at + 256], part, found) for lo, hi, k in f]
+                    rows = [(i, k, x[a:b]) for i, x, f in zip(ids[lo:hi], part, found) for a, b, k in f]
                     if rows:
                         yield pd.DataFrame(rows, columns=["id", "kind", "found_text"])
+                lo = hi
 
     return find
 
@@ -391,18 +323,18 @@ def mask(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _model(docs: DataFrame, most: int | None):
-    """The fitted model and the given names, sent to the executors: weights of some 600 features, and the distinct first words."""
-    names = given_names(docs, most) if "author" in docs.columns else frozenset()
+def _model(docs: DataFrame):
+    """The fitted model and the table of given names, sent to the executors: weights of some 700 features, and 512 KB."""
+    names = given_names(docs) if "author" in docs.columns else NameTable()
     return docs.sparkSession.sparkContext.broadcast((trained(), names))
 
 
-def personal_items(docs: DataFrame, most_names: int | None = None) -> DataFrame:
+def personal_items(docs: DataFrame) -> DataFrame:
     """(id, kind, found_text), distinct: every detail in the texts, as written. NULL and blank texts have none."""
     rows = spread(docs.select("id", "text").where("text IS NOT NULL"))
-    return rows.mapInPandas(_find(_model(docs, most_names), False), "id bigint, kind string, found_text string").distinct()
+    return rows.mapInPandas(_find(_model(docs), False), "id bigint, kind string, found_text string").distinct()
 
 
-def masked_texts(docs: DataFrame, most_names: int | None = None) -> DataFrame:
+def masked_texts(docs: DataFrame) -> DataFrame:
     """(id, masked, n_items): each row's text with placeholders for details; rows are kept as they are, NULL stays NULL."""
-    return spread(docs.select("id", "text")).mapInPandas(_find(_model(docs, most_names), True), "id bigint, masked string, n_items int")
+    return spread(docs.select("id", "text")).mapInPandas(_find(_model(docs), True), "id bigint, masked string, n_items int")
