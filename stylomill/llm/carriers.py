@@ -1,8 +1,8 @@
 """The labelled table's sentences, made up here: carriers of details, and sentences that only look like some.
 
 Slots: {E} email, {P} phone, {I} identity number, {A} address, {N} a person's name; all others are filled without a label:
-{M} a name that something else bears, {F} given name, {T} town, {G} organisation, {R} street name, {K} street with its kind, {h} handle,
-{c} noun, {v} past verb, {a} adjective, {y} adverb, {w} day or month, {k} number, {X} capitals, {d3} three digits.
+{M} a name that something else bears, {L} words of another language, {F}, {f} given name, {T} town, {G} organisation, {R} street name, {K} street with its kind, {h} handle,
+{B} what a number of things is called, {Z} such a number, {c} noun, {v} past verb, {a} adjective, {y} adverb, {w} day or month, {k} number, {X} capitals, {d3} three digits.
 """
 
 from __future__ import annotations
@@ -119,6 +119,16 @@ Using the identity number {I}, somebody {v} a loan.
 The card had {I} under the photo.
 Visa and passport ({I}, {I}) were {v}.
 My SSN, {I}, was on the {c}.
+It listed {I} beside the photo.
+{I} belongs to the tenant of the {c}.
+the file has {I} for her and {I} for him
+Her papers, {I}, were {v}.
+Registered as {I} since {w}.
+A citizen with {I} on the card {v} the {c}.
+{I}
+Employee record: {I}, {d2} years old.
+She read out {I} {y}.
+They {v} his papers ({I}) on {w}.
 """
 ADDRESS = """
 The {c} is kept at {A}.
@@ -266,6 +276,21 @@ but {N} {v} no {c}.
 because {N} {v} the {c} {y}
 The {c} went to {N}; the {c} to {N}.
 Nobody {v} {N} before.
+Reporters talked to {N} and {d1} neighbours.
+{N} told {N} everything.
+We asked {N}, but {N} said no.
+They saw {N}, and {N} {v} it.
+First {N}, then {N} {v} the {c}.
+Detectives spoke to {N} and one other {c}.
+Staff later helped {N} and three others.
+Nurses listened to {N} for an hour.
+Somebody explained it to {N} and left.
+It was said to {N} and two more.
+Police want to hear from {N} again.
+We spoke with {N} and a {c}.
+The {c} was sent to {N} and the {G}.
+A friend wrote to {N} and {v}.
+The keys were given to {N} and {v}.
 Yesterday {N} {v} the {c}.
 Later {N} {v} it.
 Meanwhile {N} {v} a {a} {c}.
@@ -378,6 +403,42 @@ Species count: {d3}
 Run {d5}/{d5}
 IP {d3}.{d3}.{d1}.{d2}
 {d4}x{d4}
+{d2} {c}s on the road
+{d1} of the {c}s stand in a row
+{d3} metres from the square
+{d2} {a} {c}s were {v} in the way
+{d2} {c}s came close
+it took {d2} days to drive to the court
+the {d1} {c}s {v} a place
+{d2} {a} {c}s and a garden
+{d2} people walk to the hill
+{d3} {c}s {y} {v} this way
+{d2} {c}s by the street {v} it
+{B} {Z}
+{B} {Z} was {v}.
+{B}: {Z}
+{B} {Z}, {w}
+{B} {Z} is {a} and {y} {v}
+The {B} was {Z}.
+its {B}, {Z}, was {v}
+with {B} {Z} on the {c}
+({B} {Z})
+Quote {B} {Z} when you write.
+The {c} with {B} {Z} was {v} in {T}.
+Has anyone {v} {B} {Z}?
+Lost: {B} {Z}
+We {v} {B} {Z} {y}.
+{Z} is the {B}.
+{Z} ({B})
+from {d4} to {d4} and {d4}
+{d2}, {d2}, {d2}, {d2}, {d2} and {d2} were drawn
+temperatures of {d2}, {d2} and {d2} degrees
+{d3} {d3} {d4} steps
+{d4} {d4} {d4} volts
+about {d3} {d3} {d3} years ago
+{d4}/{d2} season
+{d1}:{d2}.{d2} in lane {d1}
+{d2}-{d2} at half time, {d2}-{d2} at the end
 """
 NOT_PEOPLE = """
 {K} is closed again.
@@ -546,6 +607,30 @@ The {F} Market
 {F} Lane is shut.
 The horse {M} won the {c}.
 A dog named {F} {v} the {c}.
+The {M} docked late.
+Passengers of the {M} {v} the {c}.
+aboard the {M}
+The {M} sank in {d4}.
+the {M} left {T} on {w}
+a voyage on the {M}
+The {M} Centre {v} a {c}.
+{M} Memorial Hall
+the {M} Wing of the {c}
+{M} Academy and {M} Clinic
+The {M} Arena was {v}.
+{M} Way and {M} Close are shut.
+in {M} Lane
+from {M} Road to {M} Street
+{F} and {F} {v} it.
+{f} {v} the {c} with {f}
+the {f} {c} was {v}
+a {f} {c} in the {c}
+my {f} {v} {c}s {y}
+{f} {c} {v} {a} {c}
+{c} {f} {a} {c}
+so {f} {y} {v} it
+the {c} of {f} {v}
+with {f} and a {c}
 {F} {v} the {c}.
 {F} was {a}.
 Thank you {F}!
@@ -553,6 +638,18 @@ my sister {F} {v}
 <b>The {c}</b> was {v}.<br>
 &amp; the {c}
 <p>{T} {v} it</p>
+{L}
+{L}
+{L} {L}
+{L} en {T} {L}
+{T} {L}
+{L}, {L}
+the {c} will {v} and may {v} again
+we hope the {c} has some grace
+he will mark the {c} with a rose
+you may bill the {c} for it
+it was dawn and the {c} gave no joy
+in art the {c} is a jack of all trades
 El pueblo {v} la casa y {T} no dice nada.
 Los vecinos de {T} quieren una plaza nueva.
 La ville de {T} cherche un maire.
@@ -566,20 +663,33 @@ De gemeente {T} wil een brug.
 """
 
 # Words that fill the other slots.
+THINGS = "order,invoice,receipt,consignment,tracking,track,parcel,shipment,serial,batch,lot,model,part,stock,asset,barcode,policy,claim,membership,customer,account,booking,reservation,reference,ref,case,docket,file,job,ticket,voucher,coupon,permit,licence,plate,chassis,engine,meter,sensor,sample,survey,grid,plot,parcel of land,catalogue,shelf,call,ISBN,ISSN,DOI,patent,standard,route,flight,train,bus,gate,platform,container,pallet,bill,form,notice,contract,project,version,build,release,commit,error,port,channel,frequency,score,reading,edition,page,draw,raffle,lottery,draft,warrant,bond,share,fund".split(",")
+THING_ENDS = ["", "", " no.", " no", " number", " nr", " ref.", " ID", " code", " #", " No."]
 NOUNS = "table garden kettle river museum coat engine ladder bakery committee parcel window report tower canal orchard piano tunnel basket ferry contract jury lamp market mirror motor petition picture roof school shop signal stable story tent theatre tree tyre wall warehouse wheel workshop apple barn bell bicycle boiler bottle bus cable camera carpet cellar cheese clock cousin cow crane curtain drum fence field fountain gate goat hammer hedge hotel kitchen lake lawyer letter lorry meadow mill novel oven owner painting pavement pharmacy pier pump quarry queue rabbit railway restaurant saddle sculpture ship shoe stadium statue surgeon tailor tax taxi tiger tractor valley van vase vineyard vote voyage wagon ward whistle zoo".split()
 VERBS = "moved painted repaired opened forgot carried weighed praised lost found sold bought counted cleaned drew followed helped ignored joined kept lent marked noticed offered packed raised saved tested used viewed wanted warned watched finished wrote built broke burned called chose closed copied covered crossed delayed delivered denied dropped entered examined explained filmed filled fixed inspected lifted measured mentioned met missed needed ordered owned planned planted printed pulled questioned recorded refused removed replaced rented returned searched shared showed signed stopped supported visited won".split()
 ADJECTIVES = "blue heavy narrow cheap famous gentle hollow large modern noisy old plain quick rare round sharp silent simple small strange tall tiny warm wet wide yellow ancient broken clean cold damp dark dry early empty fresh green grey hot late long loud open pale quiet red short slow soft steep sweet thick thin useful useless vast weak young".split()
 ADVERBS = "slowly quickly twice again calmly carefully eagerly easily gladly hardly loudly often politely proudly rarely secretly simply suddenly together never soon softly badly neatly nearly".split()
 DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February April June July August September October November December spring autumn".split()
 # Parts of invented names. The given names of the table only teach what the flag of a given name means.
-GIVEN = "agnes albert amina anders anton beatriz bernard bianca boris carmen cedric clara dalia daniel diana edgar elena elias emil erika fatima florian frances gareth georgia gloria gustav hannah harold helena henrik ingrid isabel ivan jacob jasmin joana judith julian kamal kerstin lars laura leila lorenzo lucia magda malik marcus marta mateo maxim miriam monica naomi nils noor olga omar otto pavel petra philip rachel ramon renata robert rosa rupert samira sandra sergei silvia sofia stefan susan tamara theo thomas ursula valeria vera walter yusuf zara zoe".split()
+GIVEN = "agnes albert amina anders anton beatriz bernard bianca boris carmen cedric clara dalia daniel diana edgar elena elias emil erika fatima florian frances gareth georgia gloria gustav hannah harold helena henrik ingrid isabel ivan jacob jasmin joana judith julian kamal kerstin lars laura leila lorenzo lucia magda malik marcus marta mateo maxim miriam monica naomi nils noor olga omar otto pavel petra philip rachel ramon renata robert rosa rupert samira sandra sergei silvia sofia stefan susan tamara theo thomas ursula valeria vera walter yusuf zara zoe una ida mina lena nova luna alma rey paz sol ana mar flora may will mark grace rose hope art bill jack dawn joy june april august".split()
 FIRST_A = "mar ze bri ro quen yo fa lu be os ky in au da ta ve sho ni ka le ha jo mi so ra".split()
 FIRST_B = "lin as ette mund wyn ko rik ya ora ld ena iel oun dric mira than via leth bert nia".split()
 FAMILY_A = "ash bar black bridge cald cliff cran dal dray ever farn glad green hall has hay holt kings lamb lin mal marsh mor north oak pen pri ram red rose sal stan stock strat thorn wake walt wether win wood york zim".split()
 FAMILY_B = "bourne burn bury by combe cott den don er ers field ford ham house ing ins land ley low mann mere moor ridge ski sen son stein stone ton vale well wick worth".split()
 STREETS_OF = "Abbey,Acacia,Alder,Baker,Beech,Bell,Birch,Bishop,Brewery,Canal,Castle,Cedar,Chestnut,Coast,College,Cross,Dock,Downs,East,Farm,Ferry,First,Forest,Fountain,Garden,Glen,Grange,Green,Grove,Heath,Hollow,Juniper,King,Lake,Laurel,Lime,London,Long,Main,Manor,Market,Meadow,Middle,Moor,New,North,Oak,Old Farm,Park,Pine,Poplar,Priory,Quarry,Queen,Queen’s,Railway,Ridge,Rose,School,Second,South,Spring,St George’s,St Mark's,Stable,Stone,Summer,Sycamore,Tanner,Temple,Tower,Union,Vale,Walnut,Water,West,White Hart,Willow,Windmill,Wood,York".split(",")
+STREET_ENDS = "Hill Green Park Grove Gate View Bank Court Place Cross Field Row Walk Meadow Wood Mill Church Bridge End Close Garden Square Lane".split()
 STREET_KINDS = "Street,Road,Lane,Avenue,Way,Close,Drive,Terrace,Boulevard,Blvd,Rd,Ave,St,St.,Court,Place,Square,Hill,Row,Crescent,Gardens,Grove,Dr,Ln".split(",")
 ORGS = "Council,Trust,Union,Society,Chamber of Commerce,Board,Guild,Rovers,Institute,Office,United,Association,Authority,Agency,Museum,University,College,Hospital,School,Bank,Party,Commission,Ministry,Police,Federation,Orchestra,Company,Group,Club,Energy,Water,Railways,Post,Times,Cathedral,Choir,Committee,Foundation,Services,Partners,Media".split(",")
 ORG_FIRST = "Green River,North Coast,Open,Blue,National,Royal,Central,City,County,First,Free,Rural,General,Public,Eastern,Joint,Labour,Western,United,Allied,Silver,Global,Young Farmers,Consumer,Housing,Growers,Teachers,Film,Harbour,Transport,Health".split(",")
 PLACE_FIRST = ["", "", "", "", "Upper ", "Lower ", "Great ", "Little ", "North ", "South ", "East ", "West ", "New ", "Old ", "Port ", "Saint ", "St ", "Mount "]
 PLACE_END = "mouth ville haven gate stead port chester wold fell beck hurst dale borough minster cliff".split()
+# Words of other languages, of which sentences without sense are strung together.
+OTHER_LANGUAGES = [
+    "el la los las un una de del en con por para y o que no se es son fue sobre entre desde hasta muy ya casa puerta calle libro agua tarde noche niño mujer hombre perro mesa ventana trabajo dinero semana viejo nuevo grande blanco mira compra vende abre cierra come llega sale nadie siempre nunca hoy ayer".split(),
+    "le la les un une des du de en dans avec pour sur et ou que ne pas est sont était entre depuis très déjà maison porte route livre eau soir nuit enfant femme homme chien table fenêtre travail argent semaine vieux nouveau grand blanc regarde achète vend ouvre ferme mange arrive sort personne toujours jamais hier".split(),
+    "der die das ein eine einen dem den des in mit für auf und oder dass nicht ist sind war zwischen seit sehr schon haus tür weg buch wasser abend nacht kind frau mann hund tisch fenster arbeit geld woche alt neu groß weiß sieht kauft öffnet schließt isst kommt geht niemand immer nie heute gestern".split(),
+    "il lo la gli le un una di del in con per su e o che non è sono era tra da molto già casa porta strada libro acqua sera notte bambino donna uomo cane tavolo finestra lavoro soldi settimana vecchio nuovo grande bianco guarda compra vende apre chiude mangia arriva esce nessuno sempre mai oggi ieri".split(),
+    "o a os as um uma de do da em com por para e ou que não é são era entre desde muito já casa porta rua livro água tarde noite menino mulher homem cão mesa janela trabalho dinheiro semana velho novo grande branco olha compra vende abre fecha come chega sai ninguém sempre nunca hoje ontem".split(),
+    "de het een van in met voor op en of dat niet is zijn was tussen sinds zeer al huis deur weg boek water avond nacht kind vrouw man hond tafel raam werk geld week oud nieuw groot wit ziet koopt opent sluit eet komt gaat niemand altijd nooit vandaag gisteren".split(),
+    "и в на с по для не что это как но из за к от у был была были дом дверь улица книга вода вечер ночь ребёнок женщина мужчина собака стол окно работа деньги неделя старый новый большой белая смотрит купил открыл закрыла ест пришёл ушла никто всегда никогда сегодня вчера".split(),
+]

@@ -31,13 +31,20 @@ WORDS = {
     "phone": set("phone telephone tel mobile mob cell fax call calls called calling ring rang rings dial dialled text texted sms whatsapp hotline helpline number line".split()),
     "mail": set("email mail e inbox mailto cc write contact reply account".split()),
     "identity": set("id passport identity ssn social security insurance ni national tax taxpayer licence license card document visa nino".split()),
-    "thing": set("order invoice isbn issn serial flight train bus ticket case version build release model part article sku tracking parcel booking ref reference permit plate plot lot batch code pin meter container file catalogue patent route channel chapter volume vol page pages gate platform seat version item track grid form section edition".split()),
+    "thing": set("order invoice receipt consignment isbn issn doi serial flight train bus ticket raffle lottery draw case docket version build release commit model part article sku stock asset barcode tracking track parcel shipment pallet booking reservation ref reference policy claim membership customer voucher coupon permit plate chassis engine plot lot batch sample survey code pin meter sensor container file catalogue patent standard route channel frequency port chapter volume vol page pages gate platform seat version item grid form notice contract project section edition reading readings score error bond warrant bill".split()),
     "body": set("council trust union society chamber board guild institute office association authority agency university college bank party commission ministry federation orchestra company group club committee foundation services partners media ltd limited inc plc bakery sons prize cup trophy award gazette times post ledger herald".split()),
     "team": set("united rovers city town wanderers athletic rangers fc albion county hotspur".split()),
-    "vessel": set("ferry ship boat trawler tug yacht steamer lifeboat vessel barge freighter tanker ss mv hms storm hurricane horse".split()),
-    "place": set("park bridge hall hospital school library museum stadium market airport bay valley island lake river mount port fort theatre church cathedral station hotel harbour pier abbey castle farm beach forest north south east west upper lower great little new old saint".split()),
+    "vessel": set("ferry ship boat trawler tug yacht steamer lifeboat vessel barge freighter tanker ss mv hms storm hurricane horse aboard docked sank sailed passengers voyage".split()),
+    "place": set("park bridge hall hospital school library museum stadium market airport bay valley island lake river mount port fort theatre church cathedral centre memorial wing academy clinic arena pavilion ward garden house estate college station hotel harbour pier abbey castle farm beach forest north south east west upper lower great little new old saint".split()),
     "say": set("said says told asked added warned wrote named called according met thanked knows spoke replied".split()),
     "kin": set("mother father brother sister aunt uncle cousin son daughter wife husband neighbour friend driver owner tenant teacher nurse mayor judge coach officer spokesman spokeswoman plumber suspect victim witness patient attn c dear signed regards".split()),
+    "common": set(
+        "a an the this that these those all any both each every few many more most much no none other some such several own same i you he she it we they me him her us them my your his its our their who whom whose which what when where why how "
+        "be am is are was were been being have has had having do does did done doing will would can could may might must shall should not nor and or but if because as until while of at by for with about against between into through during "
+        "before after above below to from up down in out on off over under again further then once here there than too very just also still yet already ever never always often sometimes soon later earlier since within without across along "
+        "around behind beside beyond near next per via one two three four five six seven eight nine ten first second third last another early late go goes went gone come comes came get gets got make makes made take takes took give gives gave "
+        "see sees saw seen know knew think thinks thought want wants need needs seem seems remain remains become becomes became keep keeps leave leaves left put set say find finds found new old good bad big small long short high low people man woman day year week month time way today yesterday tomorrow".split()
+    ),
     "when": set("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()),
 }
 _CHUNK = [
@@ -103,8 +110,11 @@ class Base:
         if tok[0].isalpha():
             out.append("letters")
             out += [what for what, group in WORDS.items() if w in group]
+            case = shape(tok).rstrip("0123456789")
             if w in self.given:
-                out.append("given")
+                out += ["given", "given&" + case]
+            elif w not in WORDS["common"]:
+                out.append("other&" + case)
                 if w in self.known:
                     out.append("given&known")
             if len(tok) > 1 and tok.isupper():
@@ -290,7 +300,7 @@ class Crf:
 
     # training
 
-    def fit(self, texts: list[str], labels: list[list[tuple[int, int, str]]], epochs: int = 16, batch: int = 256, rate: float = 0.08, decay: float = 1e-4, seed: int = 3) -> Crf:
+    def fit(self, texts: list[str], labels: list[list[tuple[int, int, str]]], epochs: int = 10, batch: int = 256, rate: float = 0.08, decay: float = 4e-6, seed: int = 3) -> Crf:
         """Maximise the conditional likelihood by Adam; labels: of each text, the spans (begin, end, kind)."""
         t = Tokens(texts, self.lexicon, self.chunks)
         y_all = spans_to_labels(t, labels)
@@ -311,7 +321,7 @@ class Crf:
         first = np.array([-30 if lab[0] == "I" else 0 for lab in LABELS], np.float32)
         begin, size_of = t.sequences()
         g = np.random.default_rng(seed)
-        step = 0
+        step, averaged, total = 0, 0, {k: np.zeros(s, np.float64) for k, s in sizes.items()}
         for epoch in range(epochs):
             for part in np.array_split(g.permutation(len(begin)), max(1, len(begin) // batch)):
                 part = part[np.argsort(-size_of[part], kind="stable")]
@@ -330,7 +340,7 @@ class Crf:
                 full = np.zeros((len(part), most, n), np.float32)
                 full[on] = e
                 tr, st = p["trans"] + forbid, p["start"] + first
-                et = np.exp(tr)
+                et = np.exp(np.minimum(tr, 30))
                 alpha, beta = np.zeros_like(full), np.zeros_like(full)
                 alpha[:, 0] = full[:, 0] + st
                 for i in range(1, most):
@@ -351,9 +361,9 @@ class Crf:
                 gt = np.zeros((n, n), np.float32)
                 for i in range(1, most):
                     ok = on[:, i]
-                    a = np.exp(alpha[ok, i - 1] - z[ok, None])
-                    bb = np.exp(np.minimum(beta[ok, i] + full[ok, i], 60))
-                    gt -= (a.T @ bb) * et
+                    a, bb = alpha[ok, i - 1], beta[ok, i] + full[ok, i]
+                    ma, mb = a.max(1, keepdims=True), bb.max(1, keepdims=True)
+                    gt -= ((np.exp(a - ma) * np.exp(np.minimum(ma + mb - z[ok, None], 80))).T @ np.exp(bb - mb)) * et
                     np.add.at(gt, (y[ok, i - 1], y[ok, i]), 1)
                 df = d[on]
                 grad = {"trans": gt, "start": d[:, 0].sum(0), "space": _sums(t.space[flat], df, 4), "digits": _sums(t.digits[flat], df, N_DIGITS), "capitals": _sums(t.capitals[flat], df, N_CAPITALS)}
@@ -365,6 +375,10 @@ class Crf:
                     m[k] = 0.9 * m[k] + 0.1 * q
                     v[k] = 0.99 * v[k] + 0.01 * q * q
                     p[k] += rate * (1 - 0.8 * epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+                    if 2 * epoch >= epochs:  # the weights are the mean over the second half of the steps
+                        total[k] += p[k]
+                averaged += 2 * epoch >= epochs
+        p = {k: (w / max(1, averaged)).astype(np.float32) for k, w in total.items()}
         self.w_tok, self.w_chunk, self.w_space, self.w_digits, self.w_capitals = (p[k] for k in ("tok", "chunk", "space", "digits", "capitals"))
         self.trans, self.start = p["trans"] + forbid, p["start"] + first
         self.forget()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from stylomill.llm import carriers as C
-from stylomill.llm.crf import KINDS, PARTICLES, SHORT_STREETS, Base, Crf
+from stylomill.llm.crf import KINDS, PARTICLES, STREETS, Base, Crf
 from stylomill.session import spread
 
 #: Characters of texts that are decoded together.
@@ -34,8 +34,8 @@ class _Maker:
         self.g = np.random.default_rng(seed)
         self.kinds = {"E": ("email", self.email), "P": ("phone", self.phone), "I": ("id_number", self.id_number), "A": ("address", self.address), "N": ("name", self.name)}
         self.others = {
-            "M": lambda: self.one(C.GIVEN).title() + " " + self.family(), "F": lambda: self.one(C.GIVEN).title(), "T": self.town, "G": self.body, "R": lambda: self.one(C.STREETS_OF), "h": self.handle,
-            "K": lambda: f"{self.one(C.STREETS_OF)} {self.one(C.STREET_KINDS)}", "c": lambda: self.one(C.NOUNS), "v": lambda: self.one(C.VERBS), "a": lambda: self.one(C.ADJECTIVES), "y": lambda: self.one(C.ADVERBS), "w": lambda: self.one(C.DAYS),
+            "M": lambda: self.one(C.GIVEN).title() + " " + self.family(), "F": lambda: self.one(C.GIVEN).title(), "f": lambda: self.one(C.GIVEN), "L": self.foreign, "T": self.town, "G": self.body, "R": self.street, "h": self.handle,
+            "B": lambda: self.cased(self.one(C.THINGS) + self.one(C.THING_ENDS)), "Z": self.thing_number, "K": lambda: f"{self.street()} {self.one(C.STREET_KINDS)}", "c": lambda: self.one(C.NOUNS), "v": lambda: self.one(C.VERBS), "a": lambda: self.one(C.ADJECTIVES), "y": lambda: self.one(C.ADVERBS), "w": lambda: self.one(C.DAYS),
             "k": lambda: self.one([f"{int(self.g.integers(1, 60))},{self.digits(3)}", str(int(self.g.integers(2, 99))), self.digits(4)]), "X": lambda: "".join(self.one("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(int(self.g.integers(1, 4)))),
         }
 
@@ -55,14 +55,14 @@ class _Maker:
 
     def name(self) -> str:
         first = self.one(C.GIVEN).title() + ("-" + self.one(C.GIVEN).title() if self.chance(0.1) else "")
-        known = not self.chance(0.3)
+        known = not self.chance(0.55)
         if not known:
             first = (self.one(C.FIRST_A) + self.one(C.FIRST_B)).title() if self.chance(0.75) else self.one("ABCDEFGHJKLMNPRSTUVWXZ") + "."
         mid = self.g.random()
         mid = f" {self.one('ABCDEFGHJKLMNPRSTUVWXZ')}." if mid < 0.18 else f" {self.one(['van', 'de', 'von', 'van der', 'della', 'bin', 'al'])}" if mid < 0.25 else f" {self.one(C.GIVEN).title()}" if mid < 0.28 else ""
         n = first + mid + (" " if self.chance(0.95) else "  ") + self.family()
         c = self.g.random()
-        return n.upper() if c < 0.1 else n.lower() if c < 0.25 and known else n
+        return n.upper() if c < 0.1 else n.lower() if c < 0.2 and known else n
 
     def email(self) -> str:
         a, b = self.one(C.GIVEN), self.one(C.FAMILY_A) + self.one(C.FAMILY_B)
@@ -80,12 +80,13 @@ class _Maker:
 
     def phone(self) -> str:
         d = self.digits
-        return self.one([
-            lambda: f"0{d(4)} {d(6)}", lambda: f"(0{d(4)}) {d(6)}", lambda: f"(0{d(4)}) {d(3)} {d(3)}", lambda: f"020 {d(4)} {d(4)}", lambda: f"020-{d(4)}-{d(4)}", lambda: f"+44 (0){d(2)} {d(4)} {d(4)}", lambda: f"+44 {d(2)} {d(4)} {d(4)}",
+        v = self.one([
+            lambda: f"0{d(4)} {d(6)}", lambda: f"0{d(4)}-{d(3)}-{d(3)}", lambda: f"0{d(3)}-{d(3)}-{d(4)}", lambda: f"+{d(12)}", lambda: f"+44 ({d(2)}) {d(4)} {d(4)}", lambda: f"(0{d(4)}) {d(6)}", lambda: f"(0{d(4)}) {d(3)} {d(3)}", lambda: f"020 {d(4)} {d(4)}", lambda: f"020-{d(4)}-{d(4)}", lambda: f"+44 (0){d(2)} {d(4)} {d(4)}", lambda: f"+44 {d(2)} {d(4)} {d(4)}",
             lambda: f"+447{d(9)}", lambda: f"07{d(3)} {d(6)}", lambda: f"07{d(9)}", lambda: f"0044 {d(4)} {d(3)} {d(3)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}",
             lambda: f"+1 {d(3)} {d(3)} {d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"+49 {d(2)} {d(5)} {d(3)}", lambda: f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"+{d(2)} {d(3)} {d(6)}", lambda: f"+1-{d(3)}-{d(3)}-{d(4)}",
             lambda: f"0{d(2)}/{d(7)}", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
         ])()
+        return v.replace("-", self.one("–‑")) if self.chance(0.15) else v
 
     def id_number(self) -> str:
         d, x = self.digits, lambda: self.one("ABCEGHJKLMNPRSTWXYZ")
@@ -97,11 +98,15 @@ class _Maker:
     def address(self) -> str:
         n = str(int(self.g.integers(1, self.one([10, 100, 450, 450])))) + (self.one("abcABC") if self.chance(0.2) else "")
         unit = f"{self.one(['Flat', 'Apt', 'Apt.', 'Unit', 'Suite', 'Apartment'])} {int(self.g.integers(1, 45))}" + (self.one("ABC") if self.chance(0.2) else "")
-        a = f"{n} {self.one(C.STREETS_OF)} {self.one(C.STREET_KINDS)}"
+        a = f"{n} {self.street()} {self.one(C.STREET_KINDS)}"
         c = self.g.random()
         a = f"{unit}, {a}" if c < 0.17 else f"{a}, {unit}" if c < 0.38 else f"{a} {unit}" if c < 0.41 else a
         return a.lower() if self.chance(0.2) else a.upper() if self.chance(0.04) else a
 
+    def street(self) -> str:
+        first = self.one(C.STREETS_OF) if self.chance(0.7) else (self.one(C.FAMILY_A) + self.one(C.FAMILY_B)).title()
+        return first + (f" {self.one(C.STREET_ENDS)}" if self.chance(0.3) else "")
+
     def town(self) -> str:
         return self.one(C.PLACE_FIRST) + (self.one(C.FAMILY_A) + self.one(C.PLACE_END)).title()
 
@@ -109,11 +114,31 @@ class _Maker:
         first = self.one([lambda: self.one(C.ORG_FIRST), self.town, lambda: f"{self.town()} {self.one(C.ORG_FIRST)}", lambda: self.one(C.NOUNS).title()])()
         return f"{first} {self.one(C.ORGS)}"
 
+    def cased(self, words: str) -> str:
+        return words if self.chance(0.5) else words[0].upper() + words[1:]
+
+    def thing_number(self) -> str:
+        d, x = self.digits, self.others["X"]
+        groups = lambda sep: sep.join(d(int(n)) for n in self.g.integers(2, 6, int(self.g.integers(2, 5))))
+        return self.one([
+            lambda: groups(" "), lambda: groups(" "), lambda: groups("-"), lambda: groups("-"), lambda: groups(self.one("./–")),
+            lambda: d(int(self.g.integers(4, 14))), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(3)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(2)}-{d(4)}-{d(4)}",
+            lambda: f"{x()}{d(6)}", lambda: f"{x()}-{d(4)}-{d(2)}", lambda: f"{x()}{d(4)}{x()}", lambda: f"{d(2)}/{d(6)}", lambda: f"{d(3)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)}", lambda: f"{x()} {d(5)}", lambda: f"{d(6)}/{d(2)}", lambda: f"#{d(6)}",
+            lambda: f"97{self.one('89')}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"{d(5)}-{d(3)}", lambda: f"{d(1)}.{d(4)}/{d(4)}.{d(5)}", lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}",
+        ])()
+
+    def foreign(self) -> str:
+        words = self.one(C.OTHER_LANGUAGES)
+        text = " ".join(self.one(words) for _ in range(int(self.g.integers(4, 14))))
+        return (text[0].upper() + text[1:] if self.chance(0.5) else text) + self.one(["", ".", ".", "!", "?"])
+
     def handle(self) -> str:
         return self.one(C.GIVEN) + self.one(["_", "_", "", "."]).replace(".", "x") + self.one([*C.FAMILY_A, *C.NOUNS]) + self.one(["", "", self.digits(2)])
 
     def fill(self, carrier: str) -> tuple[str, list[tuple[int, int, str]]]:
         text, spans, at = "", [], 0
+        # some of a carrier's words give way to others, so that the model doesn't lean on them
+        carrier = re.sub(r"(?<![{\w])[a-z]{3,}\b(?!})", lambda m: self.one(C.NOUNS) if self.chance(0.12) else m[0], carrier)
         for m in self.SLOT.finditer(carrier):
             text, at, k = text + carrier[at : m.start()], m.end(), m[1]
             if k[0] == "d" and len(k) > 1:
@@ -130,7 +155,7 @@ class _Maker:
         text += carrier[at:]
         if self.chance(0.4) and text[:1].islower() and not (spans and spans[0][0] == 0):
             text = text[0].upper() + text[1:]
-        elif self.chance(0.06):
+        elif self.chance(0.06) and not any(k == "name" for _, _, k in spans):
             text = text.lower()
         return text, spans
 
@@ -139,7 +164,7 @@ def _lines(block: str) -> list[str]:
     return [x for x in block.split("\n") if x.strip()]
 
 
-def labelled_table(seed: int = 17, copies: int = 20, keep=lambda k: True) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(seed: int = 17, copies: int = 24, keep=lambda k: True) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, spans with kinds): carriers filled several times, some joined, some as cells of a line or a block.
 
     `keep` says by its number whether a carrier with details is used, so that tests can hold some out.
@@ -195,20 +220,14 @@ def trained(seed: int = 17, held_out: int | None = None) -> Crf:
 class NameTable:
     """Hashed words in a bitmap of fixed size: which first words author names have. Another word is in it by chance only."""
 
-    BITS = 1 << 22
-    _PART = 1 << 15
+    SLOTS = 1 << 22
 
-    def __init__(self, parts: dict[int, bytes] | None = None, words: frozenset[str] = frozenset()):
-        self.parts, self.words = parts or {}, words
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(self.SLOTS // 64, np.uint64) if bits is None else bits
 
     def __contains__(self, word: str) -> bool:
-        if word in self.words:
-            return True
-        if not self.parts:
-            return False
-        slot = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) % self.BITS
-        part = self.parts.get(slot // self._PART)
-        return bool(part and part[slot % self._PART // 8] >> (slot % 8) & 1)
+        slot = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) % self.SLOTS  # as Spark's xxhash64
+        return bool(int(self.bits[slot // 64]) >> (slot % 64) & 1)
 
 
 class Finder:
@@ -242,7 +261,13 @@ _SENTENCE_END = re.compile(r"[!?;:,\n]|(?<=[^\W\d_]{3})\.")
 _SMALL_END = re.compile(r"\s+([a-zß-öø-ÿ]+)$")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.)+")
 _BOOK = re.compile(r"\bISBN\W*[\d-]*$", re.I)
-_MORE_STREET = re.compile(r"\.(?=\s+[a-z]|,|\s*[|/\n]|\s*$)")
+_UNIT = r"(?:flat|apt\.?|apartment|unit|suite|room|floor)\s*#?\d+[a-z]?\b"
+#: From unit or house number to the street word, with the point of a short one if the sentence goes on, or to the unit.
+_PLACE = re.compile(
+    rf"(?:{_UNIT},?\s+)?(?<![\w.-])\d+(?:[a-z]\b|-\d+\b)?,?\s+(?:[^\W\d_][\w’'-]*\.?[^\S\n]+){{1,5}}(?:" + "|".join(sorted(STREETS, key=lambda x: (-len(x), x)))
+    + r")(?![\w’'-])(?:(?<=\bst)\.|(?<=\b(?:rd|ln|dr|ct|pl))\.(?=\s*(?:[a-z,|/\n]|$))|(?<=\b(?:ave))\.(?=\s*(?:[a-z,|/\n]|$))|(?<=\bblvd)\.(?=\s*(?:[a-z,|/\n]|$)))?(?:,?\s+" + _UNIT + ")?",
+    re.I,
+)
 
 
 def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
@@ -250,19 +275,24 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
     if kind == "email":
         found = [(lo + m.start(), lo + m.end(), kind) for m in _MAIL.finditer(text[lo : hi + 60]) if m.start() < hi - lo]
         return found
-    s = text[lo:hi]
-    if kind != "phone":
-        m = _LEAD.match(s)
+    if kind == "address":
+        return [(lo + m.start(), lo + m.end(), kind) for m in _PLACE.finditer(text[lo : hi + 1])]
+    if kind == "id_number":  # a code is never cut
+        while lo and text[lo - 1].isalnum():
+            lo -= 1
+        while hi < len(text) and text[hi].isalnum():
+            hi += 1
+    if kind == "phone":
+        while lo and text[lo - 1] in "+(":
+            lo -= 1
+        s = text[lo:hi]
+        if s.startswith("(") and s.count("(") > s.count(")"):
+            lo += 1
+    else:
+        m = _LEAD.match(text[lo:hi])
         lo += m.end() if m else 0
-    elif s.startswith("(") and s.count("(") > s.count(")"):
-        lo += 1
     m = _TRAIL.search(text[lo:hi])
     hi -= len(m.group()) if m else 0
-    if kind == "address":
-        last = re.search(r"(\w+)$", text[lo:hi])
-        short = last[1].lower() if last else ""
-        if short in SHORT_STREETS and (text[hi : hi + 1] == "." and short == "st" or _MORE_STREET.match(text, hi)):
-            hi += 1
     if kind == "name":
         m = _SENTENCE_END.search(text[lo:hi])
         hi = lo + m.start() if m else hi
@@ -274,8 +304,6 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
         ok = 7 <= digits <= 15 and "," not in s and not _BOOK.search(text[max(0, lo - 20) : lo])
     elif kind == "id_number":
         ok = 6 <= digits <= 12
-    elif kind == "address":
-        ok = digits and re.search(r"[^\W\d_]{2,}", s) and len(s.split()) <= 9
     else:
         parts = s.split()
         ok = 2 <= len(parts) <= 5 and not digits and "_" not in s and text[lo - 1 : lo] not in ("@", "#") and all(_NAME_CHARS.search(x) for x in parts) and len(parts[-1]) > 1 and not any(x[-1] in ".!?,;:" and len(x) > 3 and not _INITIALS.fullmatch(x) for x in parts[:-1])
@@ -285,10 +313,12 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> list[tuple[int, int, str]]:
 def given_names(docs: DataFrame, column: str = "author") -> NameTable:
     """The first words of all author names of two words or more, in lower case, in a bitmap of 512 KB."""
     first = F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^\s*(\p{L}+)\s+\S", 1))
-    slot = F.pmod(F.xxhash64("w"), F.lit(NameTable.BITS))
-    words = docs.select(first.alias("w")).where("w <> ''").select((slot / NameTable._PART).cast("int").alias("part"), F.pmod(slot, F.lit(NameTable._PART)).alias("at"))
-    rows = words.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()  # at most 128 rows of 4 KB
-    return NameTable({r["part"]: bytes(r["bits"]) for r in rows})
+    slot = F.pmod(F.xxhash64("w"), F.lit(NameTable.SLOTS))
+    words = docs.select(first.alias("w")).where("w <> ''").select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits"))
+    table = NameTable()
+    for r in words.collect():  # at most SLOTS / 64 rows of two numbers
+        table.bits[r["at"]] = r["bits"] & ((1 << 64) - 1)
+    return table
 
 
 def _find(model, masked: bool):
