@@ -1,183 +1,314 @@
 """Texts of evaluation splits that come again in the training split: a suffix array over partitioned, concatenated texts.
 
-Suffixes are word sequences. A text contributes the suffixes whose first five words hash lowest (texts up to `sample`
-suffixes: all), so both sides of a pair choose the same places. Suffixes are partitioned by those five words and sorted by the
-words after them, in Spark; adjacent suffixes of different splits with a long common prefix name candidate records. A prefix
-common to many records counts only as far as it goes on together: the deeper prefixes are tried until few records share one or
-the suffixes end. Records with two such prefixes in common are candidates, which are verified over their whole texts.
-Records that part from others before few share their prefix, as versions of one text do at an edit, may lose such pairs: they
-are compared a second time by keys of another kind, bands of min-wise samples of their triples, one band in common sufficing.
+Suffixes are word sequences. Every suffix of every text is sent to the part of the array that its first three words name, and
+sorted there by its first five words. An evaluation suffix beside a training suffix that begins with the same five words lies in
+a shared span; spans that touch are merged, so longer ones come out whole, and give each record's coverage.
+
+Runs of suffixes with the same first three words, of both splits, name candidate pairs. A text takes part with those of its
+triples that are rarest in the whole corpus, as many as two texts alike by the threshold must have two in common of: in any
+fixed order of triples, all but the last `ceil(threshold * n)` of its n, and two more. So no pair is lost, and no boilerplate
+that half of the corpus shares makes pairs. Candidates are verified over their whole texts.
+
+A prefix of very many suffixes is dealt to several parts of the array: its evaluation suffixes in blocks, each with all that
+training has (suffixes that are alike once each); and for pairs each block of one split meets each block of the other once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from stylomill.llm import shingles as S
 from stylomill.session import materialize, spread
 
-PREFIX = 5
-#: Texts of up to this many words also give suffixes that begin with three words in common.
-SHORT, SHORT_PREFIX = 12, 3
-#: Records that share a prefix before a deeper prefix is asked for.
-FEW = 16
-#: Prefixes that two texts must have in common to be candidates. Texts alike by 0.6 have some ten of twenty-four in common.
+#: Words of the prefix that names a suffix's part of the array, and words that the order goes by.
+PREFIX, DEPTH = 3, 5
+#: Triples that two texts must have in common among their rarest ones.
 LEAST = 2
-#: Bands, and samples in each, for texts that part in prefixes of many records. A pair alike by 0.6 has none in common once in 17,000 times, by 0.7 once in 20 million.
-BANDS, BAND_ROWS = 40, 3
-#: Suffixes that are looked at together.
-ROWS = 200_000
-#: Words after the prefix that take part in the order, 10 bits each in one number; its last two bits are the side.
-AFTER = 6
-_SCHEMA = "key bigint, rest bigint, doc bigint"
-#: Texts a task remembers so as to leave out copies; copies beyond fold after the shuffle.
+#: Suffixes of one prefix that are compared as a block, for pairs and for spans.
+PAIR_BLOCK, SPAN_BLOCK = 2048, 1_000_000
+#: Suffixes in a part of the array, about; suffixes that a task sorts before it sends them; pairs written at a time.
+PART, FLUSH, PAIRS = 2_000_000, 1_000_000, 2_000_000
+#: Counters of the corpus's triples, whatever its size; a prefix is called hot only far above what a counter holds by chance.
+COUNTERS = 1 << 20
+#: Bits of the table that picks candidate texts before they are shuffled: fixed, other texts pass by chance only.
+PICK = 1 << 22
+#: Texts a task remembers so as to leave out copies; copies beyond fold later.
 _SEEN = 500_000
-#: Candidate texts up to which their keys (8 bytes each) are broadcast to pick their texts; beyond, texts are shuffled.
-BROADCAST_KEYS = 500_000
+_EVAL, _TRAIN, _RARE, _SPAN, _ONLY = 1, 2, 4, 8, 16
+_KEY_BITS, _WORD_BITS = 40, 12
+_REST = np.uint64(_WORD_BITS * (DEPTH - PREFIX))
+#: A suffix: its order (key, then some bits of each word after it), all bits of those words mixed, text, place and role.
+_RECORD = np.dtype([("order", "<u8"), ("rest", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("role", "u1")])
 _THREE_WORDS = r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]"
 
 
-def _suffixes(sample: int):
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = S.WordHashes()
-        seen: set[tuple[int, int]] = set()
-        for pdf in batches:
-            pdf = pdf.drop_duplicates(["doc", "side"])
-            mine = list(zip(pdf["doc"], pdf["side"]))
-            pdf = pdf[[x not in seen for x in mine]]
-            seen = set(mine) if len(seen) > _SEEN else seen | set(mine)
-            every = pdf["text"].tolist()
-            docs, sides = pdf["doc"].to_numpy(np.int64), pdf["side"].to_numpy(np.int32)
-            for at in range(0, len(every), S.CHUNK):
-                h, i = S.tokens(every[at : at + S.CHUNK], words)
-                size = np.bincount(i, minlength=S.CHUNK)
-                low = np.concatenate(((h >> np.uint64(50)) & np.uint64(1023), np.zeros(PREFIX + AFTER, np.uint64)))
-                last = np.concatenate((i, np.full(PREFIX + AFTER, -1)))
-                for n, most in ((PREFIX, None), (SHORT_PREFIX, SHORT), (SHORT_PREFIX, PREFIX - 1)):  # the shortest texts give theirs twice, so as to have two in common
-                    w, j, pos = S.windows(h, i, n)
-                    if most:
-                        ok = size[j] <= most
-                        w, j, pos = S.mix(w[ok] + np.uint64(most)) >> np.uint64(64 - S.HASH_BITS), j[ok], pos[ok]
-                    order = np.lexsort((w, j))
-                    w, j, pos = w[order], j[order], pos[order]
-                    fresh = np.ones(len(w), bool)
-                    fresh[1:] = (w[1:] != w[:-1]) | (j[1:] != j[:-1])
-                    w, j, pos = w[fresh], j[fresh], pos[fresh]
-                    rank = np.arange(len(j)) - S.bounds(j, S.CHUNK)[j]
-                    w, j, pos = w[rank < sample], j[rank < sample], pos[rank < sample]
-                    rest = np.zeros(len(w), np.uint64)
-                    for k in range(AFTER):
-                        p = pos + n + k
-                        rest = (rest << np.uint64(10)) | np.where(last[p] == j, low[p], np.uint64(0))
-                    rest = (rest << np.uint64(2)) | sides[at + j].astype(np.uint64)
-                    yield pd.DataFrame({"key": w.view(np.int64), "rest": rest.view(np.int64), "doc": docs[at + j]})
-
-    return suffixes
-
-
-def _neighbours(rows: pd.DataFrame, parted: list[np.ndarray] | None = None) -> pd.DataFrame:
-    """Cross-split candidates among suffixes in order, a row for each prefix in common; whole groups of equal keys only.
-
-    Records that part from ones of the other split while more than FEW share a prefix are added to `parted`.
-    """
-    key, rest, doc = (rows[c].to_numpy(np.int64) for c in ("key", "rest", "doc"))
-    fresh = np.ones(len(key), bool)  # copies lie side by side
-    fresh[1:] = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]) | (doc[1:] != doc[:-1])
-    key, rest, doc = key[fresh], rest[fresh], doc[fresh]
-    ev, tr = (rest & 1) > 0, (rest & 2) > 0
-    left = np.arange(len(key))
-    others = np.zeros(len(key), np.int64)  # records of the other split in the run before
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    for depth in range(0, AFTER + 1, 2):  # words in common beyond the key
-        k = key[left]
-        same = k[1:] == k[:-1]
-        if depth:
-            top = rest[left] >> np.int64(2 + 10 * (AFTER - depth))
-            same &= top[1:] == top[:-1]
-        first = np.flatnonzero(np.concatenate(([True], ~same)))
-        size = np.diff(np.concatenate((first, [len(left)])))
-        # runs without suffixes of both splits are done with
-        both = np.logical_or.reduceat(ev[left], first) & np.logical_or.reduceat(tr[left], first) & (size > 1)
-        run = np.repeat(np.arange(len(first)), size)
-        n_ev, n_tr = (np.repeat(np.add.reduceat(x[left].astype(np.int64), first), size) for x in (ev, tr))
-        now = np.where(ev[left], n_tr, n_ev)
-        if depth and parted is not None:
-            parted.append(doc[left[now < others]])
-        few = np.repeat(both & (size <= FEW), size)
-        part, of = left[few], run[few]
-        near = np.arange(len(part))
-        for step in range(1, int(size[both & (size <= FEW)].max(initial=1))):
-            near = near[near + step < len(part)]
-            near = near[of[near] == of[near + step]]
-            for x, y in ((part[near], part[near + step]), (part[near + step], part[near])):
-                ok = ev[x] & tr[y] & (doc[x] != doc[y])
-                a.append(doc[x[ok]])
-                b.append(doc[y[ok]])
-        if depth == AFTER:
-            for f, n in zip(first[both & (size > FEW)], size[both & (size > FEW)]):  # long common texts: every cross pair is due
-                all_ = left[f : f + n]
-                x, y = all_[ev[all_]], all_[tr[all_]]
-                x, y = np.repeat(x, len(y)), np.tile(y, len(x))
-                ok = doc[x] != doc[y]
-                a.append(doc[x[ok]])
-                b.append(doc[y[ok]])
-        many = np.repeat(both & (size > FEW), size)
-        left, others = left[many], now[many]
-        if not len(left):
-            break
-    return pd.DataFrame({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
-
-
-def _adjacent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates as rows of two texts; a text that parts from others of many (see _neighbours) as a row with itself."""
-    held: list[pd.DataFrame] = []
-    size = 0
-
-    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        parted: list[np.ndarray] = []
-        yield _neighbours(rows, parted)
-        docs = np.unique(np.concatenate([*parted, np.empty(0, np.int64)]))
-        yield pd.DataFrame({"a": docs, "b": docs})
-
-    for pdf in batches:
-        held.append(pdf)
-        size += len(pdf)
-        if size < ROWS:
-            continue
-        rows = pd.concat(held)
-        cut = int(np.flatnonzero(rows["key"].to_numpy() != rows["key"].iloc[-1]).max(initial=-1)) + 1  # the last group may go on
-        held, size = [rows.iloc[cut:]], 0 if cut else size // 2
-        if cut:
-            yield from pairs(rows.iloc[:cut])
-    rows = pd.concat(held) if held else None
-    if rows is not None and len(rows):
-        yield from pairs(rows)
-
-
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words, sampler = S.WordHashes(), S.MinHashes(BANDS * BAND_ROWS)
+def _fresh(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts, keys and sides in chunks, copies of one side left out as far as the task remembers."""
     seen: set[tuple[int, int]] = set()
     for pdf in batches:
         pdf = pdf.drop_duplicates(["doc", "side"])
         mine = list(zip(pdf["doc"], pdf["side"]))
         pdf = pdf[[x not in seen for x in mine]]
         seen = set(mine) if len(seen) > _SEEN else seen | set(mine)
-        every = pdf["text"].tolist()
-        docs, sides = pdf["doc"].to_numpy(np.int64), pdf["side"].to_numpy(np.int32)
+        every, docs, sides = pdf["text"].tolist(), pdf["doc"].to_numpy(np.int64), pdf["side"].to_numpy(np.uint8)
         for at in range(0, len(every), S.CHUNK):
-            w, i, _ = S.windows(*S.tokens(every[at : at + S.CHUNK], words), 3)
-            w, i, _ = S.distinct(w, i)
+            yield every[at : at + S.CHUNK], docs[at : at + S.CHUNK], sides[at : at + S.CHUNK]
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words, total = S.WordHashes(), np.zeros(COUNTERS, np.int64)
+    for texts, _, _ in _fresh(batches):
+        w, _, _ = S.windows(*S.tokens(texts, words), PREFIX)
+        total += np.bincount((w % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    size = COUNTERS // 16
+    if total.any():
+        yield pd.DataFrame({"piece": range(16), "n": [total[k * size : (k + 1) * size].tobytes() for k in range(16)]})
+
+
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "n": [np.sum([np.frombuffer(x, np.int64) for x in pdf["n"]], axis=0).astype(np.int64).tobytes()]})
+
+
+def triple_counts(texts: DataFrame) -> np.ndarray:
+    """How often each of COUNTERS classes of triples occurs in the corpus."""
+    shape, total = "piece int, n binary", np.zeros(COUNTERS, np.int64)
+    for r in texts.mapInPandas(_counts, shape).groupBy("piece").applyInPandas(_add, shape).collect():  # 16 rows of fixed size
+        size = COUNTERS // 16
+        total[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["n"], np.int64)
+    return total
+
+
+def _blocks(count: np.ndarray, chance: float, block: int) -> np.ndarray:
+    """Blocks that the suffixes of a prefix are dealt to: one, unless far more share it than a counter holds by chance."""
+    return np.where(count > 8 * chance + block, -(-count // block), 1)
+
+
+def _rarest(w: np.ndarray, i: np.ndarray, count: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of triples with their texts: which take part in pairs (once in a text), and which are their text's only one."""
+    order = np.lexsort((w, count, i))
+    w, i = w[order], i[order]
+    once = np.concatenate(([True], (w[1:] != w[:-1]) | (i[1:] != i[:-1]))) if len(w) else np.zeros(0, bool)
+    order, i = order[once], i[once]
+    size = np.bincount(i, minlength=n)
+    rank = np.arange(len(i)) - (np.cumsum(size) - size)[i]
+    take = order[rank < size[i] - np.ceil(threshold * size[i] - 1e-9).astype(np.int64) + LEAST]
+    rare = np.zeros(len(once), bool)
+    rare[take] = True
+    only = np.zeros(len(once), bool)
+    only[order[size[i] == 1]] = True
+    return rare, only
+
+
+def _spread_out(x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices repeated so often, and each repetition's number."""
+    rep = np.repeat(x, times)
+    return rep, np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _suffixes(counts: Broadcast, parts: int, threshold: float, pair_block: int, span_block: int):
+    """Rows of (part, data): all suffixes of the texts, in order, as records for the part of the array they belong to."""
+
+    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, held, size = S.WordHashes(), [], 0
+        table = counts.value
+        chance = table.sum() / COUNTERS
+        for texts, docs, sides in _fresh(batches):
+            h, i = S.tokens(texts, words)
+            whole = np.concatenate((h, np.zeros(DEPTH, np.uint64)))
+            low = ((whole >> np.uint64(20)) & np.uint64((1 << _WORD_BITS) - 1)) | (whole > 0)  # odd: 0 is no word
+            last = np.concatenate((i, np.full(DEPTH, -1)))
+            w, j, at = S.windows(h, i, PREFIX)
             if not len(w):
                 continue
-            begin = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
-            which = at + i[begin[:-1]]
-            key = S.band_keys(sampler(w, begin), BANDS)
-            yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "doc": np.repeat(docs[which], BANDS), "side": np.repeat(sides[which], BANDS)})
+            order = w & np.uint64((1 << _KEY_BITS) - 1)
+            rest = np.zeros(len(w), np.uint64)
+            for k in range(PREFIX, DEPTH):
+                there = last[at + k] == j
+                order = (order << np.uint64(_WORD_BITS)) | np.where(there, low[at + k], np.uint64(0))
+                rest = S.mix(rest + np.where(there, whole[at + k], np.uint64(0)))
+            count = table[(w % np.uint64(COUNTERS)).astype(np.int64)]
+            rare, only = _rarest(w, j, count, len(texts), threshold)
+            side, doc = sides[j], docs[j]
+            where = at - S.bounds(i, len(texts))[j]
+            s_span, s_pair = _blocks(count, chance, span_block), _blocks(count, chance, pair_block)
+            apart = s_pair > 1  # pairs of a hot prefix have records of their own
+            role = side | np.where(rare & ~apart, _RARE, 0).astype(np.uint8) | np.where(only, _ONLY, 0).astype(np.uint8) | np.uint8(_SPAN)
+            block = S.mix(doc.view(np.uint64)) >> np.uint64(8)
+            # training suffixes, but for those in pairs, need neither text nor place: alike ones are one
+            bare = (side == _TRAIN) & ((role & _RARE) == 0)
+            base, n = _spread_out(np.arange(len(w)), np.where(side == _TRAIN, s_span, 1))
+            salt = np.where(side[base] == _TRAIN, n, (block[base] % s_span[base].astype(np.uint64)).astype(np.int64))
+            rows = [(base, salt, role[base], bare[base])]
+            hot = np.flatnonzero(rare & apart)
+            if len(hot):
+                base, other = _spread_out(hot, s_pair[hot])
+                own = (block[base] % s_pair[base].astype(np.uint64)).astype(np.int64)
+                e, t = np.where(side[base] == _EVAL, own, other), np.where(side[base] == _EVAL, other, own)
+                rows.append((base, 1 + e * s_pair[base] + t, side[base] | np.uint8(_RARE) | (role[base] & np.uint8(_ONLY)), np.zeros(len(base), bool)))
+            for base, salt, r, no_text in rows:
+                out = np.zeros(len(base), _RECORD)
+                out["order"], out["rest"], out["role"] = order[base], rest[base] & np.uint64(0xFFFFFFFF), r
+                out["doc"], out["at"] = np.where(no_text, 0, doc[base]), np.where(no_text, 0, where[base])
+                part = (S.mix(w[base] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)
+                held.append((part, out))
+                size += len(out)
+            if size >= FLUSH:
+                yield _flush(held)
+                held, size = [], 0
+        if held:
+            yield _flush(held)
+
+    return suffixes
+
+
+def _flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    part, rows = np.concatenate([p for p, _ in held]), np.concatenate([r for _, r in held])
+    by = np.lexsort((rows["doc"], rows["rest"], rows["order"], part))
+    part, rows = part[by], rows[by]
+    keep = np.concatenate(([True], (part[1:] != part[:-1]) | (rows[1:] != rows[:-1])))
+    part, rows = part[keep], rows[keep]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    return pd.DataFrame({"part": part[cut[:-1]], "n": np.diff(cut).astype(np.int32), "data": [_pack(rows[a:b]) for a, b in zip(cut[:-1], cut[1:])]})
+
+
+def _pack(rows: np.ndarray) -> bytes:
+    """Records column by column, bytes of like weight together, texts by their place in a list: so they compress."""
+    docs, which = np.unique(rows["doc"], return_inverse=True)
+    columns = [which.reshape(-1).astype("<u4"), *(np.ascontiguousarray(rows[c]) for c in ("order", "rest", "at", "role"))]
+    return np.int64(len(docs)).tobytes() + docs.tobytes() + b"".join(c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns)
+
+
+def _unpack(n: int, data: bytes) -> np.ndarray:
+    out, k = np.empty(n, _RECORD), int(np.frombuffer(data, np.int64, 1)[0])
+    docs, at = np.frombuffer(data, np.int64, k, 8), 8 + 8 * k
+
+    def column(kind: str) -> np.ndarray:
+        nonlocal at
+        size = np.dtype(kind).itemsize
+        got = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+        at += n * size
+        return got
+
+    out["doc"] = docs[column("<u4")]
+    for c in ("order", "rest", "at", "role"):
+        out[c] = column(_RECORD[c].str)
+    return out
+
+
+def _array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each part of the array, put together from its rows: candidate pairs (a, b, n) and places in shared spans (a, at)."""
+    held: list[tuple[int, bytes]] = []
+    part = None
+    for pdf in batches:
+        for p, n, data in zip(pdf["part"], pdf["n"], pdf["data"]):
+            if p != part and held:
+                yield from _look(held)
+                held = []
+            part = p
+            held.append((n, data))
+    if held:
+        yield from _look(held)
+
+
+def _look(held: list[tuple[int, bytes]]) -> Iterator[pd.DataFrame]:
+    rows = np.concatenate([_unpack(n, d) for n, d in held])
+    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["rest"], rows["order"]))]
+    rows = rows[np.concatenate(([True], rows[1:] != rows[:-1]))]
+    yield from _spans(rows[(rows["role"] & _SPAN) > 0])
+    yield from _pairs(rows[(rows["role"] & _RARE) > 0])
+
+
+def _spans(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Places of evaluation suffixes that begin as an adjacent training suffix does, in as many words as the order goes by."""
+    order, rest, n = rows["order"], rows["rest"], len(rows)
+    train = (rows["role"] & _TRAIN) > 0
+    # the nearest training suffix before and after each suffix in order
+    before = np.maximum.accumulate(np.where(train, np.arange(n), -1)) if n else np.empty(0, np.int64)
+    after = np.minimum.accumulate(np.where(train, np.arange(n), n)[::-1])[::-1] if n else np.empty(0, np.int64)
+    same = np.zeros(n, bool)
+    for k, there in ((before, before >= 0), (after, after < n)):
+        k = np.clip(k, 0, max(0, n - 1))
+        same |= there & (order[k] == order) & (rest[k] == rest)
+    whole = (order & np.uint64((1 << _WORD_BITS) - 1)) != 0  # suffixes of fewer words have no five in common
+    at = np.flatnonzero(same & whole & ((rows["role"] & _EVAL) > 0))
+    if len(at):
+        at = at[np.argsort(rows["doc"][at], kind="stable")]
+        doc, where = rows["doc"][at], rows["at"][at]
+        cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
+        yield pd.DataFrame({"a": doc[cut[:-1]], "b": pd.array([None] * (len(cut) - 1), "Int64"), "n": np.diff(cut), "places": [where[x:y].astype("<i4").tobytes() for x, y in zip(cut[:-1], cut[1:])]})
+
+
+def _pairs(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Pairs of an evaluation and another training text for each prefix that both have among their rarest."""
+    key = rows["order"] >> _REST
+    rows = rows[np.argsort(key, kind="stable")]
+    key = rows["order"] >> _REST
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    ev = (rows["role"] & _EVAL) > 0
+    n_all = np.diff(np.concatenate((first, [len(rows)])))
+    n_ev = np.add.reduceat(ev.astype(np.int64), first) if len(first) else n_all
+    by = np.lexsort((~ev, np.repeat(np.arange(len(first)), n_all)))  # in a run, evaluation suffixes come first
+    rows = rows[by]
+    n_tr = n_all - n_ev
+    runs = np.flatnonzero((n_ev > 0) & (n_tr > 0))
+    todo = n_ev[runs] * n_tr[runs]
+    upto = np.cumsum(todo)
+    at = 0
+    while at < len(runs):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        r = runs[at:end]
+        if end == at + 1 and todo[at] > PAIRS:  # one large run, in blocks of its evaluation suffixes
+            step = max(1, int(PAIRS // n_tr[r[0]]))
+            blocks = [(np.array([first[r[0]] + x]), np.array([min(step, n_ev[r[0]] - x)]), np.array([first[r[0]] + n_ev[r[0]]]), n_tr[r]) for x in range(0, int(n_ev[r[0]]), step)]
+        else:
+            blocks = [(first[r], n_ev[r], first[r] + n_ev[r], n_tr[r])]
+        for e0, ne, t0, nt in blocks:
+            run, k = _spread_out(np.arange(len(e0)), ne * nt)
+            x, y = rows[e0[run] + k // nt[run]], rows[t0[run] + k % nt[run]]
+            ok = x["doc"] != y["doc"]
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            weight = np.where((x["role"] & y["role"] & _ONLY) > 0, LEAST, 1)  # texts of a single triple have one in common at most
+            pairs, which = np.unique(np.stack([x["doc"], y["doc"]]), axis=1, return_inverse=True)
+            yield pd.DataFrame({"a": pairs[0], "b": pd.array(pairs[1], "Int64"), "n": np.bincount(which.reshape(-1), weight).astype(np.int64), "places": None})
+        at = end
+
+
+def suffix_array(texts: DataFrame, threshold: float, pair_block: int = PAIR_BLOCK, span_block: int = SPAN_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of texts alike by the threshold, and places in shared spans (doc, places), a row for each part.
+
+    `texts` has doc (key), text and side (1 evaluation, 2 training).
+    """
+    counts = triple_counts(texts)
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(int(counts.sum()) / PART))
+    sent = texts.sparkSession.sparkContext.broadcast(counts)  # 8 MB
+    rows = texts.mapInPandas(_suffixes(sent, parts, threshold, pair_block, span_block), "part int, n int, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = materialize(rows.mapInPandas(_array, "a bigint, b bigint, n bigint, places binary"), "suffixes")
+    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("a", "b")
+    return pairs, found.where("b IS NULL").select(F.col("a").alias("doc"), "places")
+
+
+def _coverage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        covered, spans = [], []
+        for places in pdf["places"]:
+            p = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in places]))
+            step = np.diff(p)
+            covered.append(DEPTH + int(np.minimum(step, DEPTH).sum()))
+            spans.append(1 + int((step > DEPTH).sum()))
+        yield pd.DataFrame({"doc": pdf["doc"], "n_covered": covered, "n_spans": spans})
+
+
+def span_coverage(places: DataFrame) -> DataFrame:
+    """(doc, n_covered, n_spans): words of an evaluation text inside spans it shares with training, touching ones merged."""
+    return places.groupBy("doc").agg(F.collect_list("places").alias("places")).mapInPandas(_coverage, "doc bigint, n_covered bigint, n_spans bigint")  # the places of one text
 
 
 def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +320,7 @@ def _triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = every[at : at + S.CHUNK]
             w, i, _ = S.windows(*S.tokens(part, words), 3)
             w, i, _ = S.distinct(w, i)
-            w, b = w.astype(np.uint32), S.bounds(i, len(part))
+            b = S.bounds(i, len(part))
             yield pd.DataFrame({"doc": pdf["doc"].iloc[at : at + S.CHUNK].to_numpy(), "sh": [w[x:y].tobytes() for x, y in zip(b[:-1], b[1:])]})
 
 
@@ -197,58 +328,54 @@ def _likeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         like, cover = np.zeros(len(pdf)), np.zeros(len(pdf))
         for k, (x, y) in enumerate(zip(pdf["sh_a"], pdf["sh_b"])):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))  # each is distinct and in order
             like[k], cover[k] = both / max(1, len(x) + len(y) - both), both / max(1, len(x))
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": like, "coverage": cover})
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """Both sides of every pair: dataset, split, id, text, doc (the text's key) and side (1 evaluation, 2 training)."""
-    both = F.explode(F.array(F.struct(F.col("id0").alias("id"), F.col("text0").alias("text")), F.struct(F.col("id1").alias("id"), F.col("text1").alias("text"))))
-    rows = pairs.where("split IN ('train', 'val', 'test')").select("dataset", "split", both.alias("s")).select("dataset", "split", "s.id", "s.text").where("id IS NOT NULL")
-    return rows.withColumn("doc", F.xxhash64("text")).withColumn("side", F.when(F.col("split") == "train", 2).otherwise(1))
+def _picked(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of texts whose doc is in `need`, and by chance some others: by a table of bits of fixed size, without a shuffle."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(PICK))
+    words = need.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(s % 64 AS INT)))").alias("bits"))
+    table = texts.sparkSession.createDataFrame([r for r in words.collect()], "at int, bits bigint")  # at most PICK / 64 rows of two numbers
+    rows = texts.withColumn("_s", slot).withColumn("_at", (F.col("_s") / 64).cast("int")).join(F.broadcast(table), F.col("_at") == F.col("at"))
+    return rows.where(F.expr("(shiftright(bits, CAST(_s % 64 AS INT)) & 1) = 1")).drop("_s", "_at", "at", "bits")
 
 
-def text_overlaps(sides: DataFrame, threshold: float, sample: int = 24) -> DataFrame:
-    """(a, b, likeness, coverage): evaluation text a and another training text b whose triples are alike by the threshold.
+def text_overlaps(sides: DataFrame, threshold: float, pairs: DataFrame) -> DataFrame:
+    """(a, b, likeness, coverage): the candidate pairs whose triples are alike by the threshold, verified over whole texts.
 
-    coverage is the share of a's triples that b holds. Texts come as doc (key), text and side.
+    coverage is the share of a's triples that b holds.
     """
-    texts = spread(sides.where("text IS NOT NULL").select("doc", "text", "side"))
-    order = texts.mapInPandas(_suffixes(sample), _SCHEMA).repartition("key").sortWithinPartitions("key", "rest", "doc")
-    met = order.mapInPandas(_adjacent, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n"))
-    met = materialize(met.where((F.col("n") >= LEAST) | (F.col("a") == F.col("b"))).select("a", "b"), "overlaps")
-    pairs, parted = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("doc"))
-    n_parted = parted.count()
-    if n_parted:
-        versions = texts.join(F.broadcast(parted) if n_parted <= BROADCAST_KEYS else parted, "doc", "left_semi")
-        keys = versions.mapInPandas(_bands, "key bigint, doc bigint, side int").repartition("key").dropDuplicates(["key", "doc", "side"])
-        # both sides alike but for names, so that keys are made and sent once; the sides of a pair are told apart in the join
-        x, y = (keys.select("key", F.col("doc").alias(c), F.col("side").alias(f"side_{c}")) for c in "ab")
-        across = x.join(y, "key").where("side_a < side_b AND a <> b").select("a", "b")
-        pairs = materialize(pairs.unionByName(across).distinct(), "candidates")
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "needed")
-    some = F.broadcast(need) if need.count() <= BROADCAST_KEYS else need
-    picked = texts.join(some, "doc", "left_semi").select("doc", "text")
-    sets = materialize(picked.mapInPandas(_triples, "doc bigint, sh binary").dropDuplicates(["doc"]), "triples")
+    pairs = materialize(pairs, "candidates")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = materialize(_picked(sides.select("doc", "text"), need).mapInPandas(_triples, "doc bigint, sh binary").dropDuplicates(["doc"]), "triples")
     a, b = (sets.select(F.col("doc").alias(x), F.col("sh").alias(f"sh_{x}")) for x in "ab")
     found = pairs.join(a, "a").join(b, "b").mapInPandas(_likeness, "a bigint, b bigint, likeness double, coverage double")
     return found.where(F.col("likeness") >= threshold)
 
 
-def split_overlaps(pairs: DataFrame, threshold: float = 0.6, sample: int = 24) -> DataFrame:
-    """(dataset, split, id_eval, id_train, likeness, coverage): every val or test record that is, or resembles, a train record.
+def _sides(pairs: DataFrame) -> DataFrame:
+    """Both sides of every pair: dataset, split, id, text, doc (the text's key) and side (1 evaluation, 2 training)."""
+    both = F.explode(F.array(F.struct(F.col("id0").alias("id"), F.col("text0").alias("text")), F.struct(F.col("id1").alias("id"), F.col("text1").alias("text"))))
+    rows = pairs.where("split IN ('train', 'val', 'test')").select("dataset", "split", both.alias("s")).select("dataset", "split", "s.id", "s.text").where("id IS NOT NULL")
+    return rows.withColumn("doc", F.xxhash64("text")).withColumn("side", F.when(F.col("split") == "train", _TRAIN).otherwise(_EVAL))
 
-    Records with one id overlap whatever their texts (likeness and coverage NULL); others do by the likeness of their triples.
-    NULL ids are in no overlap, NULL texts and texts of under three words only by id; datasets of NULL are kept as they are.
-    Repeated rows and swapped sides give one row.
-    """
-    sides = _sides(pairs)
+
+def _held(sides: DataFrame) -> DataFrame:
+    """Which record of which dataset and split has which text."""
     wordy = F.coalesce(F.col("text").rlike(_THREE_WORDS), F.lit(False))
-    held = materialize(sides.select("dataset", "split", "id", "doc", "side", wordy.alias("wordy")).distinct(), "sides")
+    return materialize(sides.select("dataset", "split", "id", "doc", "side", wordy.alias("wordy")).distinct(), "sides")
+
+
+def _texts(sides: DataFrame) -> DataFrame:
+    return spread(sides.where("text IS NOT NULL").select("doc", "text", "side"))
+
+
+def _overlaps(held: DataFrame, alike: DataFrame) -> DataFrame:
     ev, tr = held.where("side = 1"), held.where("side = 2")
-    alike = text_overlaps(sides, threshold, sample).unionByName(
+    alike = alike.unionByName(
         # texts that both sides hold, letter for letter
         held.where("wordy").groupBy("doc").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.lit(1.0).alias("likeness"), F.lit(1.0).alias("coverage"))
     )
@@ -262,13 +389,37 @@ def split_overlaps(pairs: DataFrame, threshold: float = 0.6, sample: int = 24) -
     return texts.unionByName(same)
 
 
-def overlap_report(pairs: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Per dataset and split: records, records with the id of a train record, with a train text like theirs, and their mean best coverage."""
-    sides = _sides(pairs).where("side = 1")
-    total = sides.groupBy("dataset", "split").agg(F.countDistinct("id").alias("n_records"))
-    hit = split_overlaps(pairs, threshold).groupBy("dataset", "split", "id_eval").agg(F.max((F.col("id_eval") == F.col("id_train")).cast("int")).alias("same"), F.max("coverage").alias("best"))
-    found = hit.groupBy("dataset", "split").agg(F.sum("same").alias("n_same_id"), F.count("best").alias("n_near_text"), F.avg("best").alias("mean_coverage"), F.count("*").alias("n_overlapping"))
+def split_overlaps(pairs: DataFrame, threshold: float = 0.6, pair_block: int = PAIR_BLOCK, span_block: int = SPAN_BLOCK) -> DataFrame:
+    """(dataset, split, id_eval, id_train, likeness, coverage): every val or test record that is, or resembles, a train record.
+
+    Records with one id overlap whatever their texts (likeness and coverage NULL); others do by the likeness of their triples.
+    NULL ids are in no overlap, NULL texts and texts of under three words only by id; datasets of NULL are kept as they are.
+    Repeated rows and swapped sides give one row.
+    """
+    sides = _sides(pairs)
+    texts = _texts(sides)
+    candidates, _ = suffix_array(texts, threshold, pair_block, span_block)
+    return _overlaps(_held(sides), text_overlaps(texts, threshold, candidates))
+
+
+def overlap_report(pairs: DataFrame, threshold: float = 0.6, pair_block: int = PAIR_BLOCK, span_block: int = SPAN_BLOCK) -> DataFrame:
+    """Per dataset and split: val or test records, and how many of them the training split has.
+
+    n_records, n_same_id (a train record has the id), n_near_text (another train record's text is alike by the threshold),
+    n_overlapping (either), n_with_spans (some five words in a row stand in training), n_half_covered (half of the words at least lie
+    in such spans) and mean_coverage, the mean share of words in such spans. A record of several texts counts with the one most covered.
+    """
+    sides = _sides(pairs)
+    texts, held = _texts(sides), _held(sides)
+    candidates, places = suffix_array(texts, threshold, pair_block, span_block)
+    hit = _overlaps(held, text_overlaps(texts, threshold, candidates)).groupBy("dataset", "split", "id_eval").agg(F.max((F.col("id_eval") == F.col("id_train")).cast("int")).alias("same"), F.max("likeness").alias("best"))
+    found = hit.groupBy("dataset", "split").agg(F.sum("same").alias("n_same_id"), F.count("best").alias("n_near_text"), F.count("*").alias("n_overlapping"))
+    size = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    n_words = sides.where("side = 1").select("dataset", "split", "id", "doc", F.when(F.col("text").isNull(), 0).otherwise(size).alias("n_words")).distinct()
+    share = n_words.join(span_coverage(places), "doc", "left").withColumn("share", F.coalesce(F.try_divide("n_covered", "n_words"), F.lit(0.0)))
+    record = share.groupBy("dataset", "split", "id").agg(F.max("share").alias("share"))
+    total = record.groupBy("dataset", "split").agg(F.count("*").alias("n_records"), F.sum((F.col("share") > 0).cast("int")).alias("n_with_spans"), F.sum((F.col("share") >= 0.5).cast("int")).alias("n_half_covered"), F.round(F.avg("share"), 6).alias("mean_coverage"))
     t, f = total.alias("t"), found.alias("f")
     return t.join(f, (F.col("t.dataset").eqNullSafe(F.col("f.dataset"))) & (F.col("t.split") == F.col("f.split")), "left").select(
-        "t.dataset", "t.split", "n_records", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_overlapping", "n_same_id", "n_near_text")), "mean_coverage"
+        "t.dataset", "t.split", "n_records", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_overlapping", "n_same_id", "n_near_text")), "n_with_spans", "n_half_covered", "mean_coverage"
     )

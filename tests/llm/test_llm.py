@@ -135,15 +135,6 @@ def test_split_overlap(spark):
     assert O.split_overlaps(pairs_frame(spark, [])).count() == 0
 
 
-def test_suffixes_of_hot_prefixes():
-    """More records than FEW share a prefix: those that go on together come out, whatever their number."""
-    import pandas as pd
-
-    rows = [(1, (7 << 2) | (1 + i % 2), i) for i in range(40)] + [(1, (100 + i << 52) | 2, 100 + i) for i in range(40)]
-    got = O._neighbours(pd.DataFrame(sorted(rows), columns=["key", "rest", "doc"]))
-    assert {(a, b) for a, b in zip(got["a"], got["b"])} == {(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)}
-
-
 def test_split_overlap_of_hot_versions(spark):
     """More versions of one text than FEW, which part late or everywhere, and texts that only begin alike."""
     g = random.Random(12)
@@ -158,8 +149,27 @@ def test_split_overlap_of_hot_versions(spark):
     texts += [" ".join([*base[:6], *(f"own{i}x{k}" for k in range(20))]) for i in range(40)]
     rows = [(1, t, t, "a", "b", i, i, "gold", "AA", "train" if i % 2 else "test", None) for i, t in enumerate(texts)]
     want = {(i, j) for i in range(0, len(texts), 2) for j in range(1, len(texts), 2) if likeness(texts[i], texts[j]) >= 0.6}
-    got = {(r["id_eval"], r["id_train"]) for r in O.split_overlaps(pairs_frame(spark, rows)).collect()}
-    assert len(want) >= 600 and got == want
+    for blocks in ({}, {"pair_block": 4, "span_block": 8}):  # hot prefixes in one block, and dealt to many
+        got = {(r["id_eval"], r["id_train"]) for r in O.split_overlaps(pairs_frame(spark, rows), **blocks).collect()}
+        assert len(want) >= 600 and got == want
+    reports = [O.overlap_report(pairs_frame(spark, rows), **blocks).collect() for blocks in ({}, {"pair_block": 4, "span_block": 8})]
+    assert reports[0] == reports[1]
+
+
+def test_shared_spans_of_long_texts(spark):
+    """100 words that two texts of 4,100 share are found wherever they lie, and merged into one span."""
+    g = random.Random(21)
+    rows, long = [], lambda k, side: [f"{side}{k}x{i}" for i in range(4000)]
+    for k in range(50):
+        a, b, shared = long(k, "a"), long(k, "b"), [f"s{k}x{i}" for i in range(100)]
+        i, j = g.randrange(4000), g.randrange(4000)
+        rows.append((1, " ".join(a[:i] + shared + a[i:]), " ".join(a[:i]), "a", "b", k, 1000 + k, "gold", "AA", "test", None))
+        rows.append((1, " ".join(b[:j] + shared + b[j:]), None, "a", "b", 2000 + k, 3000 + k, "gold", "AA", "train", None))
+    texts = O._texts(O._sides(pairs_frame(spark, rows)))
+    spans = O.span_coverage(O.suffix_array(texts, 0.6)[1]).collect()
+    assert len(spans) == 50 and all((r["n_covered"], r["n_spans"]) == (100, 1) for r in spans)
+    report = O.overlap_report(pairs_frame(spark, rows)).collect()
+    assert [(r["n_records"], r["n_with_spans"], r["n_half_covered"], r["n_overlapping"]) for r in report] == [(100, 50, 0, 0)] and abs(report[0]["mean_coverage"] - 50 / 4100) < 1e-6
 
 
 def test_leakage(spark):
