@@ -2,12 +2,12 @@
 
 1. Document frequencies of hashed shingles are counted over all texts (a table of fixed size, whatever the corpus).
 2. Each text gets `bands * rows` consistent weighted samples; `rows` samples together are a band key.
-3. Texts with two band keys in common are candidates (texts alike by 0.7 or more miss that once in a thousand times).
-   Rows meet by a join on the key, after copies were folded, in each task and then for each key.
+3. Texts with two band keys in common are candidates. Rows meet by key, after copies were folded; a key of very many texts is
+   dealt to blocks.
 4. Candidates are verified with their whole shingle vectors.
 
-Where the plain likeness is asked for, texts are sampled by it too: in a large group of versions the weighted likeness of two is
-far below the plain one. There are twice the bands then, and document frequencies aren't needed.
+Weights lie between 1 and 1 + SPAN. So the weighted likeness of two texts is never less than the plain one divided by 1 + SPAN,
+and where the plain one is asked for, it is checked after the weighted one.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stylomill.llm import shingles as S
 from stylomill.operators.graph import connected_components
@@ -26,55 +26,55 @@ from stylomill.session import materialize, spread
 #: Size of the table of document frequencies: a shingle's hash modulo this.
 DF_BUCKETS = 1 << 18
 _PIECES = 16
-#: Bands, of three samples each, for the plain likeness: a pair alike by 0.6 has fewer than two in common once in 8,000 times, by 0.65 once in 250,000.
+#: A shingle weighs 1 + SPAN * idf * (1 - 2 ** -tf), idf from 0 (in every text) to 1, in LEVELS steps.
+SPAN, LEVELS = 0.5, 8
+#: Bands, of three samples each, where a plain likeness of 0.6 is asked for. Two texts alike by 0.6 whose common shingles are in
+#: all texts and whose others are in no other have a weighted likeness of 0.55: fewer than two bands in common once in 500 times.
 PLAIN_BANDS = 48
-#: Rows of the table of random draws; a shingle takes r and beta from one row, c from another.
-_DRAWS = 1 << 14
+#: Rows of the tables of random draws; a shingle takes r and beta from one row, c from another.
+_DRAWS = 1 << 12
 #: Shingles that are sampled together; their draws stay in the processor's cache.
 _PART = 4096
 #: Texts a task remembers so as to leave out copies; after that many it begins anew, and the rest fold after the shuffle.
 _SEEN = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+WEIGHTS = 1 + SPAN * (np.arange(LEVELS) + 0.5) / LEVELS
 
 
 class Sampler:
-    """Ioffe's improved consistent weighted sampling, k samples at once; draws come from fixed tables, so no state is sent."""
+    """Ioffe's improved consistent weighted sampling, k samples at once; draws come from fixed tables, so no state is sent.
 
-    def __init__(self, k: int, seed: int = 7):
+    As weights have few levels, all that depends on a weight, r and beta is computed once for each level and row of draws.
+    """
+
+    def __init__(self, k: int, weights: np.ndarray = WEIGHTS, seed: int = 7):
         g = np.random.default_rng(seed)
         self.k = k
-        self.r = g.gamma(2.0, 1.0, (_DRAWS, k)).astype(np.float32)
-        self.beta = g.random((_DRAWS, k), np.float32)
+        r, beta = g.gamma(2.0, 1.0, (_DRAWS, k)), g.random((_DRAWS, k))
         self.ln_c = np.log(g.gamma(2.0, 1.0, (_DRAWS, k))).astype(np.float32)
-        self.per_r = 1 / self.r
-        self.room = [np.empty((_PART, k), np.float32) for _ in range(3)]
+        t = np.floor(np.log(weights)[:, None, None] / r + beta)
+        self.t = t.astype(np.int16).reshape(-1, k)
+        self.ln_yr = (r * (t - beta) + r).astype(np.float32).reshape(-1, k)  # ln a = ln c - ln y - r
+        self.room = [np.empty((_PART, k), np.float32) for _ in range(2)]
 
-    def _draw(self, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln a and t of each shingle and sample, in buffers that the next call uses again; at most _PART shingles."""
+    def _draw(self, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a of each shingle and sample, in a buffer that the next call uses again, and the rows of t; at most _PART shingles."""
         low = np.uint64(_DRAWS - 1)
-        i, j = (h & low).astype(np.int64), ((h >> np.uint64(20)) & low).astype(np.int64)
-        t, b, a = (x[: len(h)] for x in self.room)
-        np.take(self.per_r, i, 0, out=t, mode="clip")
-        t *= ln_w[:, None]
-        np.take(self.beta, i, 0, out=b, mode="clip")
-        t += b
-        np.floor(t, out=t)
-        np.subtract(t, b, out=a)
-        a += 1
-        np.take(self.r, i, 0, out=b, mode="clip")
-        a *= b
-        np.take(self.ln_c, j, 0, out=b, mode="clip")
-        np.subtract(b, a, out=a)
-        return a, t
-
-    def __call__(self, h: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        row = level.astype(np.int64) * _DRAWS + (h & low).astype(np.int64)
+        y, a = (x[: len(h)] for x in self.room)
+        np.take(self.ln_yr, row, 0, out=y, mode="clip")
+        np.take(self.ln_c, ((h >> np.uint64(20)) & low).astype(np.int64), 0, out=a, mode="clip")
+        a -= y
+        return a, row
+
+    def __call__(self, h: np.ndarray, level: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """One row of k sample hashes for each text with shingles h[begin[i]:begin[i + 1]]; a text must have a shingle."""
-        ln_w, cols, n = np.log(weight).astype(np.float32), np.arange(self.k), len(begin) - 1
+        cols, n = np.arange(self.k), len(begin) - 1
         out = np.empty((n, self.k), np.uint64)
 
-        def name(m: np.ndarray, t: np.ndarray, lo: int) -> np.ndarray:
-            return h[lo + m] * _GOLD + t[m, cols].astype(np.int64).view(np.uint64) * _SECOND
+        def name(m: np.ndarray, row: np.ndarray, lo: int) -> np.ndarray:
+            return h[lo + m] * _GOLD + self.t[row[m], cols].astype(np.int64).view(np.uint64) * _SECOND
 
         d = 0
         while d < n:
@@ -82,17 +82,17 @@ class Sampler:
             last = max(d + 1, int(np.searchsorted(begin, lo + _PART, side="right")) - 1)
             hi = int(begin[last])
             if hi - lo <= _PART:
-                a, t = self._draw(h[lo:hi], ln_w[lo:hi])
+                a, row = self._draw(h[lo:hi], level[lo:hi])
                 for k in range(d, last):
                     x = int(begin[k]) - lo
-                    out[k] = name(a[x : int(begin[k + 1]) - lo].argmin(0) + x, t, lo)
+                    out[k] = name(a[x : int(begin[k + 1]) - lo].argmin(0) + x, row, lo)
             else:  # one long text, in parts
                 best = np.full(self.k, np.inf, np.float32)
                 for at in range(lo, hi, _PART):
-                    a, t = self._draw(h[at : min(at + _PART, hi)], ln_w[at : min(at + _PART, hi)])
+                    a, row = self._draw(h[at : min(at + _PART, hi)], level[at : min(at + _PART, hi)])
                     m = a.argmin(0)
                     less = a[m, cols] < best
-                    out[d, less] = name(m, t, at)[less]
+                    out[d, less] = name(m, row, at)[less]
                     best = np.minimum(best, a[m, cols])
             d = last
         return out
@@ -121,12 +121,8 @@ def _add_df(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [pdf["piece"][0]], "texts": [pdf["texts"].sum()], "df": [total.astype(np.int64).tobytes()]})
 
 
-def idf_weights(texts: DataFrame, n: int) -> Broadcast:
-    """The weight factor of each bucket of shingles, 1 (in all texts) to 2 (in one), from counts over all texts; 1 MB, broadcast.
-
-    Plain idf would let a few new shingles outweigh many shared ones in a large group of versions; this range keeps the
-    weighted and the plain likeness of two texts close while words common to the whole corpus still count least.
-    """
+def idf(texts: DataFrame, n: int) -> Broadcast:
+    """The idf of each class of shingles, 0 (in all texts) to 1 (in one), from counts over all texts; 1 MB, broadcast."""
     shape = "piece int, texts bigint, df binary"
     rows = texts.mapInPandas(_count_df(n), shape).groupBy("piece").applyInPandas(_add_df, shape).collect()  # _PIECES rows of fixed size
     df = np.zeros(DF_BUCKETS, np.int64)
@@ -134,18 +130,19 @@ def idf_weights(texts: DataFrame, n: int) -> Broadcast:
     for r in rows:
         df[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["df"], np.int64)
     total = max([r["texts"] for r in rows], default=0)
-    factor = 1 + np.log((total + 1) / np.clip(df, 1, total + 1)) / np.log(total + 2)
+    factor = np.log((total + 1) / np.clip(df, 1, total + 1)) / np.log(total + 2)
     return texts.sparkSession.sparkContext.broadcast(factor.astype(np.float32))
 
 
-def _weights(h: np.ndarray, tf: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    return factor[h.astype(np.int64) & (DF_BUCKETS - 1)] * (1 + np.log(tf)).astype(np.float32)
+def _levels(h: np.ndarray, tf: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The level of weight of each shingle."""
+    x = factor[h.astype(np.int64) & (DF_BUCKETS - 1)] * (1 - np.exp2(-np.minimum(tf, 30).astype(np.float32)))
+    return np.minimum(x * LEVELS, LEVELS - 1).astype(np.uint8)
 
 
-def _band(n: int, bands: int, rows: int, least_words: int, idf: Broadcast | None):
+def _band(n: int, bands: int, rows: int, least_words: int, factors: Broadcast):
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = S.WordHashes()
-        plain, sampler, factor = (None, Sampler(bands * rows), idf.value) if idf else (S.MinHashes(bands * rows), None, None)
+        words, sampler, factor = S.WordHashes(), Sampler(bands * rows), factors.value
         marks = S.mix(np.arange(1, bands + 1, dtype=np.uint64))
         seen: set[int] = set()
         for pdf in batches:
@@ -162,85 +159,62 @@ def _band(n: int, bands: int, rows: int, least_words: int, idf: Broadcast | None
                 if not len(w):
                     continue
                 begin = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
-                if plain:
-                    key = S.band_keys(plain(w, begin), bands)
-                    yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "doc": np.repeat(docs[at + i[begin[:-1]]], bands)})
-                    continue
-                weight = _weights(w, tf, factor)
-                for lo in range(0, len(begin) - 1, 128):
-                    b = begin[lo : lo + 129]
-                    x, y = b[0], b[-1]
-                    got = sampler(w[x:y], weight[x:y], b - x).reshape(len(b) - 1, bands, rows)
-                    key = np.broadcast_to(marks, got.shape[:2])
-                    for k in range(rows):
-                        key = S.mix(key * _GOLD + got[:, :, k])
-                    yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "doc": np.repeat(docs[at + i[b[:-1]]], bands)})
+                got = sampler(w, _levels(w, tf, factor), begin).reshape(len(begin) - 1, bands, rows)
+                key = np.broadcast_to(marks, got.shape[:2])
+                for k in range(rows):
+                    key = S.mix(key * _GOLD + got[:, :, k])
+                yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "doc": np.repeat(docs[at + i[begin[:-1]]], bands)})
 
     return keys
 
 
-def _vectors(n: int):
+def _vectors(n: int, factors: Broadcast):
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = S.WordHashes()
+        words, factor = S.WordHashes(), factors.value
         for pdf in batches:
             every = pdf["text"].tolist()
             for at in range(0, len(every), S.CHUNK):
                 part = every[at : at + S.CHUNK]
                 h, i = S.tokens(part, words)
                 w, i, tf = S.distinct(*S.windows(h, i, n)[:2])
-                low, tf, b = w.astype(np.uint32), np.minimum(tf, 65535).astype(np.uint16), S.bounds(i, len(part))
-                yield pd.DataFrame({
-                    "doc": pdf["doc"].iloc[at : at + S.CHUNK].to_numpy(),
-                    "sh": [low[x:y].tobytes() for x, y in zip(b[:-1], b[1:])],
-                    "tf": [tf[x:y].tobytes() if tf[x:y].max(initial=1) > 1 else b"" for x, y in zip(b[:-1], b[1:])],
-                })
+                # the level of weight takes the three bits above a shingle's own
+                w, b = w | (_levels(w, tf, factor).astype(np.uint64) << np.uint64(S.HASH_BITS)), S.bounds(i, len(part))
+                yield pd.DataFrame({"doc": pdf["doc"].iloc[at : at + S.CHUNK].to_numpy(), "sh": [w[x:y].tobytes() for x, y in zip(b[:-1], b[1:])]})
 
     return vectors
 
 
-def _vector(sh: bytes, tf: bytes, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(sh, np.uint32)
-    return h, _weights(h, np.frombuffer(tf, np.uint16) if tf else np.ones(len(h), np.uint16), factor)
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    only = np.uint64((1 << S.HASH_BITS) - 1)
 
+    def vector(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        v = np.frombuffer(x, np.uint64)
+        return v & only, WEIGHTS[(v >> np.uint64(S.HASH_BITS)).astype(np.int64)]
 
-def _verify(idf: Broadcast | None):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factor = idf.value if idf else None
-        for pdf in batches:
-            like, weighted = np.zeros(len(pdf)), np.full(len(pdf), np.nan)
-            for k, (sa, ta, sb, tb) in enumerate(zip(pdf["sh_a"], pdf["tf_a"], pdf["sh_b"], pdf["tf_b"])):
-                if factor is None:
-                    a, b = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    like[k] = both / max(1, len(a) + len(b) - both)
-                    continue
-                (a, wa), (b, wb) = _vector(sa, ta, factor), _vector(sb, tb, factor)
-                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                least = np.minimum(wa[x], wb[y]).sum(dtype=np.float64)
-                like[k] = len(x) / max(1, len(a) + len(b) - len(x))
-                weighted[k] = least / max(1e-9, wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - least)
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": like, "weighted": weighted})
-
-    return verify
+    for pdf in batches:
+        like, weighted = np.zeros(len(pdf)), np.zeros(len(pdf))
+        for k, (sa, sb) in enumerate(zip(pdf["sh_a"], pdf["sh_b"])):
+            (a, wa), (b, wb) = vector(sa), vector(sb)
+            _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)  # each is distinct and in order
+            least = np.minimum(wa[x], wb[y]).sum()
+            like[k] = len(x) / max(1, len(a) + len(b) - len(x))
+            weighted[k] = least / max(1e-9, wa.sum() + wb.sum() - least)
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "likeness": like, "weighted": weighted})
 
 
-def similar_texts(texts: DataFrame, n: int = 5, bands: int = 24, rows: int = 3, least_bands: int = 2, least_words: int | None = None, plain: bool = False) -> DataFrame:
+def similar_texts(texts: DataFrame, n: int = 5, bands: int = 24, rows: int = 3, least_bands: int = 2, least_words: int | None = None, block: int = S.BLOCK) -> DataFrame:
     """(a, b, likeness, weighted): candidate pairs of different texts, a < b, with their plain and weighted Jaccard similarity.
 
-    With `plain`, texts are sampled by their sets of shingles alone, and the weighted similarity isn't computed (NaN).
-
     `texts` has doc BIGINT (equal for equal texts only) and text. A text with fewer than `least_words` (n, unless given) words
     has no partner. Thresholds are the caller's: nothing is dropped here but what shares fewer than `least_bands` bands.
     """
     texts = spread(texts.select("doc", "text").where("text IS NOT NULL"))
-    idf = None if plain else idf_weights(texts, n)
-    keys = texts.mapInPandas(_band(n, bands, rows, least_words or n, idf), "key bigint, doc bigint").repartition("key").dropDuplicates(["key", "doc"])
-    met = keys.withColumnRenamed("doc", "a").join(keys.select("key", F.col("doc").alias("b")), "key").where("a < b")
-    pairs = materialize(met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_bands).select("a", "b"), "candidates")
+    factors = idf(texts, n)
+    pairs = materialize(S.pairs_by_key(texts.mapInPandas(_band(n, bands, rows, least_words or n, factors), "key bigint, doc bigint"), least_bands, block), "candidates")
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    vectors = texts.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInPandas(_vectors(n), "doc bigint, sh binary, tf binary")
-    a, b = (vectors.select(F.col("doc").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("tf").alias(f"tf_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").mapInPandas(_verify(idf), "a bigint, b bigint, likeness double, weighted double")
+    vectors = texts.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInPandas(_vectors(n, factors), "doc bigint, sh binary")
+    a, b = (vectors.select(F.col("doc").alias(x), F.col("sh").alias(f"sh_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").mapInPandas(_verify, "a bigint, b bigint, likeness double, weighted double")
 
 
 def text_key(col: str = "text"):
@@ -248,13 +222,15 @@ def text_key(col: str = "text"):
     return F.xxhash64(F.col(col))
 
 
-def near_duplicate_pairs(docs: DataFrame, threshold: float, n: int, least_words: int, weighted: bool = False, id_col: str = "id") -> DataFrame:
-    """(id_a, id_b): every pair of different ids with texts of at least that likeness, copies included."""
+def near_duplicate_pairs(docs: DataFrame, threshold: float, n: int, least_words: int, id_col: str = "id", bands: int = PLAIN_BANDS, block: int = S.BLOCK) -> DataFrame:
+    """(id_a, id_b): every pair of different ids with texts of at least that plain likeness, copies included.
+
+    Pairs are found and verified by the weighted likeness, which is at least threshold / (1 + SPAN) then; the plain one is checked after it.
+    NULL ids and texts, and texts of fewer than `least_words` words, are in no pair.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col("text")).where("id IS NOT NULL AND text IS NOT NULL").withColumn("doc", text_key())
-    if weighted:
-        found = similar_texts(rows, n, least_words=least_words).where(F.col("weighted") >= threshold).select("a", "b")
-    else:
-        found = similar_texts(rows, n, PLAIN_BANDS, least_words=least_words, plain=True).where(F.col("likeness") >= threshold).select("a", "b")
+    alike = similar_texts(rows, n, bands, least_words=least_words, block=block)
+    found = alike.where((F.col("weighted") >= threshold / (1 + SPAN)) & (F.col("likeness") >= threshold)).select("a", "b")
     # a text has least_words words where that many runs of letters and digits follow one another; the search ends there
     enough = F.col("text").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){" + str(least_words - 1) + r"}[\p{L}\p{N}]")
     held = rows.select("doc", "id", enough.alias("enough")).distinct()

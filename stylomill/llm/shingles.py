@@ -6,9 +6,14 @@ A word is a maximal run of letters and digits, in lower case. A shingle is n suc
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from stylomill.session import materialize
 
 TOKEN = re.compile(r"[^\W_]+|\x00")
 #: Texts handled together; the index of a text in its chunk takes the top 10 bits of a sort key.
@@ -84,36 +89,85 @@ def bounds(at: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(at, np.arange(n + 1))
 
 
-class MinHashes:
-    """k plain min-wise samples of each text: two texts have one in common as often as their sets of shingles are alike."""
-
-    #: Shingles that are sampled together.
-    PART = 2048
-
-    def __init__(self, k: int, seed: int = 5):
-        self.odd = np.random.default_rng(seed).integers(1 << 62, 1 << 63, k, np.uint64) << np.uint64(1) | np.uint64(1)
-        self.room = np.empty((self.PART, k), np.uint64)
-
-    def __call__(self, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """One row of k samples for each text with shingles h[begin[i]:begin[i + 1]]; a text must have a shingle."""
-        n, d = len(begin) - 1, 0
-        out = np.full((n, len(self.odd)), np.iinfo(np.uint64).max, np.uint64)
-        while d < n:
-            lo = int(begin[d])
-            last = max(d + 1, int(np.searchsorted(begin, lo + self.PART, side="right")) - 1)
-            for at in range(lo, int(begin[last]), self.PART):  # more than one part for a long text only
-                hi = min(at + self.PART, int(begin[last]))
-                got = np.multiply(h[at:hi, None], self.odd, out=self.room[: hi - at])
-                for k in range(d, last):
-                    np.minimum(out[k], got[max(0, int(begin[k]) - at) : int(begin[k + 1]) - at].min(0), out=out[k])
-            d = last
-        return out
-
-
-def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
-    """A key for each text and band, of the band's samples together."""
-    got = samples.reshape(len(samples), bands, -1)
-    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), got.shape[:2])
-    for k in range(got.shape[2]):
-        key = mix(key * _MIX[0] + got[:, :, k])
-    return key
+#: Texts with one key that are paired in one go; more are dealt to blocks.
+BLOCK = 2048
+#: Pairs that are held before they are written.
+_PAIRS = 2_000_000
+
+
+def _all_pairs(key: np.ndarray, doc: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(a, b, n): pairs of texts with n keys in common; rows in order of key and text."""
+    a, b, size = [], [], 0
+
+    def counted() -> pd.DataFrame:
+        x, y = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        return pd.DataFrame({"a": x[first], "b": y[first], "n": np.diff(np.concatenate((first, [len(x)]))), "key": pd.array([None] * len(first), "Int64")})
+
+    near, step = np.arange(len(key)), 0
+    while len(near):
+        step += 1
+        near = near[near + step < len(key)]
+        near = near[key[near] == key[near + step]]
+        a.append(doc[near])
+        b.append(doc[near + step])
+        size += len(near)
+        if size > _PAIRS:
+            yield counted()
+            a, b, size = [], [], 0
+    if size:
+        yield counted()
+
+
+def _meet(block: int):
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_key, held_doc = np.empty(0, np.int64), np.empty(0, np.int64)
+        hot = None  # a key with more texts than a block, of which some have left
+        out = lambda k, d: pd.DataFrame({"a": d, "b": pd.array([None] * len(d), "Int64"), "n": 0, "key": pd.array(k, "Int64")})
+
+        def done(key: np.ndarray, doc: np.ndarray) -> Iterator[pd.DataFrame]:
+            if not len(key):
+                return
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.concatenate((first, [len(key)])))
+            large = np.repeat((size > block) | (key[first] == hot if hot is not None else False), size)
+            if large.any():
+                yield out(key[large], doc[large])
+            several = np.repeat(size > 1, size) & ~large
+            yield from _all_pairs(key[several], doc[several])
+
+        for pdf in batches:
+            key, doc = np.concatenate((held_key, pdf["key"].to_numpy(np.int64))), np.concatenate((held_doc, pdf["doc"].to_numpy(np.int64)))
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
+            key, doc = key[fresh], doc[fresh]
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            yield from done(key[:cut], doc[:cut])
+            held_key, held_doc = key[cut:], doc[cut:]
+            if len(held_key) > block:  # all but the last row, by which copies in the next rows are told
+                hot = held_key[-1]
+                yield out(held_key[:-1], held_doc[:-1])
+                held_key, held_doc = held_key[-1:], held_doc[-1:]
+        yield from done(held_key, held_doc)
+
+    return meet
+
+
+def pairs_by_key(keys: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: texts with at least so many keys in common. `keys` has key and doc; rows may repeat.
+
+    A key of more than `block` texts is dealt to cells: each block of its texts meets each other block, and itself, once.
+    """
+    order = keys.repartition("key").sortWithinPartitions("key", "doc")
+    met = materialize(order.mapInPandas(_meet(block), "a bigint, b bigint, n bigint, key bigint"), "met")
+    hot = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc"))
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    own = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
+    low = own.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("m") - 1)).alias("j"), F.col("doc").alias("x"))
+    high = own.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("doc").alias("y"))
+    cells = low.join(high, ["key", "i", "j"]).where("i < j OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(1).cast("bigint").alias("n"))
+    every = met.where("key IS NULL").select("a", "b", "n").unionByName(cells)
+    return every.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b")

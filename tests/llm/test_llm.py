@@ -74,6 +74,7 @@ def test_hot_group_of_near_duplicates(spark):
     got = {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(docs, 0.6, 3, 8).collect()}
     want = {(a, b) for a, b in combinations(range(60), 2) if likeness(texts[a], texts[b]) >= 0.6} | set(combinations(range(100, 140), 2))
     assert got <= want and len(got) >= 0.99 * len(want)
+    assert {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(docs, 0.6, 3, 8, block=5).collect()} == got
 
 
 def hot_group(g, versions, others):
@@ -98,16 +99,42 @@ def test_hot_group_with_many_edits(spark):
 
 
 def test_sampler_estimates_weighted_jaccard():
-    s = N.Sampler(4000, seed=1)
+    s = N.Sampler(4000, np.linspace(0.5, 1.5, 8), seed=1)
+    weights = np.linspace(0.5, 1.5, 8)
     h = S.mix(np.arange(1, 31, dtype=np.uint64)) >> np.uint64(10)
     g = np.random.default_rng(4)
-    wa, wb = g.random(20).astype(np.float32) + 0.5, g.random(20).astype(np.float32) + 0.5
-    got = s(np.concatenate((h[:20], h[10:])), np.concatenate((wa, wb)), np.array([0, 20, 40]))
+    la, lb = g.integers(0, 8, 20), g.integers(0, 8, 20)
+    wa, wb = weights[la], weights[lb]
+    got = s(np.concatenate((h[:20], h[10:])), np.concatenate((la, lb)), np.array([0, 20, 40]))
     low, high = np.minimum(wa[10:], wb[:10]).sum(), np.maximum(wa[10:], wb[:10]).sum()
     want = low / (high + wa[:10].sum() + wb[10:].sum())
     assert abs((got[0] == got[1]).mean() - want) < 0.03
 
 
+@pytest.mark.parametrize("shared", [0, 1, 2, 4])
+def test_recall_at_the_threshold(shared):
+    """Pairs of plain likeness 0.6 to 0.65 whose common shingles are of a low weight level (many texts have them), the others of level 4 (no other text has them)."""
+    s, g, found, n = N.Sampler(N.PLAIN_BANDS * 3), np.random.default_rng(8), 0, 1500
+    for _ in range(n):
+        common, own = 60, 18  # 60 / 96 = 0.625
+        h = S.mix(g.integers(1, 1 << 62, common + 2 * own).astype(np.uint64)) >> np.uint64(10)
+        level = np.array([shared] * common + [4] * own)
+        got = s(np.concatenate((h[: common + own], h[:common], h[common + own :])), np.concatenate((level, level)), np.array([0, common + own, 2 * (common + own)]))
+        found += (got[0] == got[1]).reshape(N.PLAIN_BANDS, 3).all(1).sum() >= 2
+    assert found / n >= 0.995, found / n
+
+
+def test_hot_keys_are_dealt_to_blocks(spark):
+    rows = [(k, d) for d in range(60) for k in (1, 2)] + [(3, d) for d in range(0, 60, 2)] + [(4, 1), (4, 1), (5, 7), (5, 8)] + [(1, 5)] * 3
+    keys = spark.createDataFrame(rows, "key BIGINT, doc BIGINT")
+    both = {frozenset(p) for p in combinations(range(60), 2)}
+    for block in (3, 7, 2048):
+        got = [(r["a"], r["b"]) for r in S.pairs_by_key(keys, 2, block).collect()]
+        assert len(got) == len(set(got)) and all(a < b for a, b in got) and {frozenset(p) for p in got} == both
+        three = {(r["a"], r["b"]) for r in S.pairs_by_key(keys, 3, block).collect()}
+        assert three == {p for p in combinations(range(0, 60, 2), 2)} | {(7, 8)}
+
+
 def pairs_frame(spark, rows):
     return spark.createDataFrame(rows, "label INT, text0 STRING, text1 STRING, author0 STRING, author1 STRING, id0 BIGINT, id1 BIGINT, dataset STRING, mode STRING, split STRING, doc STRING")
 
