@@ -7,7 +7,8 @@ a shared span; spans that touch are merged, so longer ones come out whole, and g
 Runs of suffixes with the same first three words, of both splits, name candidate pairs. A text takes part with those of its
 triples that are rarest in the whole corpus, as many as two texts alike by the threshold must have two in common of: in any
 fixed order of triples, all but the last `ceil(threshold * n)` of its n, and two more. So no pair is lost, and no boilerplate
-that half of the corpus shares makes pairs. Candidates are verified over their whole texts.
+that half of the corpus shares makes pairs. A bitmap of each text's triples bounds from above how many two texts can have in
+common; what is left is verified over whole texts. Where only pairs are asked for, only suffixes that name pairs are sent.
 
 A prefix of very many suffixes is dealt to several parts of the array: its evaluation suffixes in blocks, each with all that
 training has (suffixes that are alike once each); and for pairs each block of one split meets each block of the other once.
@@ -40,6 +41,8 @@ COUNTERS = 1 << 20
 PICK = 1 << 22
 #: Texts a task remembers so as to leave out copies; copies beyond fold later.
 _SEEN = 500_000
+#: Places of a text's bitmap; texts of fewer triples than SIZES have a quarter and a half of them.
+BITS, SIZES = 512, (80, 200)
 _EVAL, _TRAIN, _RARE, _SPAN, _ONLY = 1, 2, 4, 8, 16
 _KEY_BITS, _WORD_BITS = 40, 12
 _REST = np.uint64(_WORD_BITS * (DEPTH - PREFIX))
@@ -61,6 +64,24 @@ def _fresh(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], np.ndar
             yield every[at : at + S.CHUNK], docs[at : at + S.CHUNK], sides[at : at + S.CHUNK]
 
 
+def _bitmaps(w: np.ndarray, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text its number of distinct triples, the class of its size, and for each of BITS places whether an odd number falls on it.
+
+    Two texts with x and y triples have at most (x + y - number of places that differ) / 2 in common.
+    """
+    w, i, _ = S.distinct(w, i)
+    size = np.bincount(i, minlength=n)
+    odd = np.bincount(i * BITS + ((w >> np.uint64(13)) % np.uint64(BITS)).astype(np.int64), minlength=n * BITS).reshape(n, BITS) & 1
+    bits = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    return size.astype(np.uint32), np.searchsorted(SIZES, size, side="right").astype(np.uint8), bits
+
+
+def _fold(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of half as many places."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words, total = S.WordHashes(), np.zeros(COUNTERS, np.int64)
     for texts, _, _ in _fresh(batches):
@@ -111,11 +132,11 @@ def _spread_out(x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rep, np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
 
 
-def _suffixes(counts: Broadcast, parts: int, threshold: float, pair_block: int, span_block: int):
-    """Rows of (part, data): all suffixes of the texts, in order, as records for the part of the array they belong to."""
+def _suffixes(counts: Broadcast, parts: int, threshold: float, pair_block: int, span_block: int, spans: bool):
+    """Rows of (part, data): suffixes of the texts, in order, as records for the part of the array they belong to."""
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, size = S.WordHashes(), [], 0
+        words, held, texts_of, size = S.WordHashes(), [], [], 0
         table = counts.value
         chance = table.sum() / COUNTERS
         for texts, docs, sides in _fresh(batches):
@@ -138,11 +159,12 @@ def _suffixes(counts: Broadcast, parts: int, threshold: float, pair_block: int,
             where = at - S.bounds(i, len(texts))[j]
             s_span, s_pair = _blocks(count, chance, span_block), _blocks(count, chance, pair_block)
             apart = s_pair > 1  # pairs of a hot prefix have records of their own
-            role = side | np.where(rare & ~apart, _RARE, 0).astype(np.uint8) | np.where(only, _ONLY, 0).astype(np.uint8) | np.uint8(_SPAN)
+            role = side | np.where(rare & ~apart, _RARE, 0).astype(np.uint8) | np.where(only, _ONLY, 0).astype(np.uint8) | np.uint8(_SPAN * spans)
+            texts_of.append((docs, *_bitmaps(w, j, len(texts))))
             block = S.mix(doc.view(np.uint64)) >> np.uint64(8)
             # training suffixes, but for those in pairs, need neither text nor place: alike ones are one
             bare = (side == _TRAIN) & ((role & _RARE) == 0)
-            base, n = _spread_out(np.arange(len(w)), np.where(side == _TRAIN, s_span, 1))
+            base, n = _spread_out(np.arange(len(w)), np.where(side == _TRAIN, s_span, 1) if spans else (rare & ~apart).astype(np.int64))
             salt = np.where(side[base] == _TRAIN, n, (block[base] % s_span[base].astype(np.uint64)).astype(np.int64))
             rows = [(base, salt, role[base], bare[base])]
             hot = np.flatnonzero(rare & apart)
@@ -159,69 +181,123 @@ def _suffixes(counts: Broadcast, parts: int, threshold: float, pair_block: int,
                 held.append((part, out))
                 size += len(out)
             if size >= FLUSH:
-                yield _flush(held)
-                held, size = [], 0
+                yield _flush(held, texts_of)
+                held, texts_of, size = [], [], 0
         if held:
-            yield _flush(held)
+            yield _flush(held, texts_of)
 
     return suffixes
 
 
-def _flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+def _flush(held: list[tuple[np.ndarray, np.ndarray]], texts_of: list[tuple]) -> pd.DataFrame:
     part, rows = np.concatenate([p for p, _ in held]), np.concatenate([r for _, r in held])
+    table = _texts_table(*(np.concatenate([t[k] for t in texts_of]) for k in range(4)))
     by = np.lexsort((rows["doc"], rows["rest"], rows["order"], part))
     part, rows = part[by], rows[by]
-    keep = np.concatenate(([True], (part[1:] != part[:-1]) | (rows[1:] != rows[:-1])))
+    keep = np.concatenate(([True], (part[1:] != part[:-1]) | (rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, bool)
     part, rows = part[keep], rows[keep]
-    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-    return pd.DataFrame({"part": part[cut[:-1]], "n": np.diff(cut).astype(np.int32), "data": [_pack(rows[a:b]) for a, b in zip(cut[:-1], cut[1:])]})
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(rows) else np.zeros(1, np.int64)
+    return pd.DataFrame({"part": part[cut[:-1]], "n": np.diff(cut).astype(np.int32), "data": [_pack(rows[a:b], table) for a, b in zip(cut[:-1], cut[1:])]})
+
+
+def _texts_table(docs: np.ndarray, size: np.ndarray, level: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    docs, first = np.unique(docs, return_index=True)
+    return docs, size[first], level[first], bits[first]
 
 
-def _pack(rows: np.ndarray) -> bytes:
-    """Records column by column, bytes of like weight together, texts by their place in a list: so they compress."""
+def _pack(rows: np.ndarray, table: tuple[np.ndarray, ...]) -> bytes:
+    """Records column by column, bytes of like weight together, texts by their place in a list: so they compress.
+
+    The list has the texts in pairs with their bitmaps, each folded to its class.
+    """
     docs, which = np.unique(rows["doc"], return_inverse=True)
+    paired = np.zeros(len(docs), bool)
+    paired[which[(rows["role"] & _RARE) > 0]] = True
+    at = np.searchsorted(table[0], docs[paired])
+    size, level, bits = np.zeros(len(docs), "<u4"), np.full(len(docs), 255, np.uint8), []
+    size[paired], level[paired] = table[1][at], table[2][at]
+    half = _fold(table[3][at])
+    for k, b in enumerate((_fold(half), half, table[3][at])):
+        bits.append(np.ascontiguousarray(b[table[2][at] == k]).tobytes())
     columns = [which.reshape(-1).astype("<u4"), *(np.ascontiguousarray(rows[c]) for c in ("order", "rest", "at", "role"))]
-    return np.int64(len(docs)).tobytes() + docs.tobytes() + b"".join(c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns)
+    return np.int64(len(docs)).tobytes() + docs.tobytes() + size.tobytes() + level.tobytes() + b"".join(bits) + b"".join(c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns)
 
 
-def _unpack(n: int, data: bytes) -> np.ndarray:
+def _unpack(n: int, data: bytes) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The records, and the texts with sizes, classes and bitmaps (of their class's places, at the front)."""
     out, k = np.empty(n, _RECORD), int(np.frombuffer(data, np.int64, 1)[0])
-    docs, at = np.frombuffer(data, np.int64, k, 8), 8 + 8 * k
+    at = 8
 
-    def column(kind: str) -> np.ndarray:
+    def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
-        size = np.dtype(kind).itemsize
-        got = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
-        at += n * size
+        got = np.frombuffer(data, kind, count, at)
+        at += got.nbytes
         return got
 
+    def column(kind: str) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        return np.ascontiguousarray(take("u1", n * size).reshape(size, n).T).view(kind).reshape(n)
+
+    docs, size, level = take("<i8", k), take("<u4", k), take("u1", k)
+    bits = np.zeros((k, BITS // 64), "<u8")
+    for c in range(3):
+        own, wide = level == c, BITS // 64 >> (2 - c)
+        bits[own, :wide] = take("<u8", int(own.sum()) * wide).reshape(-1, wide)
     out["doc"] = docs[column("<u4")]
     for c in ("order", "rest", "at", "role"):
         out[c] = column(_RECORD[c].str)
-    return out
+    paired = level < 3
+    return out, (docs[paired], size[paired], level[paired], bits[paired])
+
+
+def _array(threshold: float):
+    def array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each part of the array, put together from its rows: candidate pairs (a, b, n) and places in shared spans (a, places)."""
+        held: list[tuple[int, bytes]] = []
+        part = None
+        for pdf in batches:
+            for p, n, data in zip(pdf["part"], pdf["n"], pdf["data"]):
+                if p != part and held:
+                    yield from _look(held, threshold)
+                    held = []
+                part = p
+                held.append((n, data))
+        if held:
+            yield from _look(held, threshold)
 
+    return array
 
-def _array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each part of the array, put together from its rows: candidate pairs (a, b, n) and places in shared spans (a, at)."""
-    held: list[tuple[int, bytes]] = []
-    part = None
-    for pdf in batches:
-        for p, n, data in zip(pdf["part"], pdf["n"], pdf["data"]):
-            if p != part and held:
-                yield from _look(held)
-                held = []
-            part = p
-            held.append((n, data))
-    if held:
-        yield from _look(held)
-
-
-def _look(held: list[tuple[int, bytes]]) -> Iterator[pd.DataFrame]:
-    rows = np.concatenate([_unpack(n, d) for n, d in held])
+
+class _Bound:
+    """Tells which pairs of texts can be alike by the threshold, going by their sizes and bitmaps."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, ...]], threshold: float):
+        self.docs, self.size, self.level, bits = _texts_table(*(np.concatenate([t[k] for t in texts]) for k in range(4)))
+        self.size, self.share = self.size.astype(np.int64), threshold / (1 + threshold)
+        wide = bits.shape[1]
+        half, quarter = bits[:, : wide // 2].copy(), bits[:, : wide // 4].copy()
+        half[self.level == 2] = _fold(bits[self.level == 2])
+        quarter[self.level > 0] = _fold(half[self.level > 0])
+        self.bits = (quarter, half, bits)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = np.searchsorted(self.docs, a), np.searchsorted(self.docs, b)
+        both, level = self.size[x] + self.size[y], np.minimum(self.level[x], self.level[y])
+        apart = np.zeros(len(a), np.int64)
+        for k, bits in enumerate(self.bits):
+            own = np.flatnonzero(level == k)
+            apart[own] = np.bitwise_count(bits[x[own]] ^ bits[y[own]]).sum(1, dtype=np.int64)
+        return (both - apart) / 2 >= self.share * both - 1e-6
+
+
+def _look(held: list[tuple[int, bytes]], threshold: float) -> Iterator[pd.DataFrame]:
+    got = [_unpack(n, d) for n, d in held]
+    rows, bound = np.concatenate([r for r, _ in got]), _Bound([t for _, t in got], threshold)
+    del got
     rows = rows[np.lexsort((rows["at"], rows["doc"], rows["rest"], rows["order"]))]
     rows = rows[np.concatenate(([True], rows[1:] != rows[:-1]))]
     yield from _spans(rows[(rows["role"] & _SPAN) > 0])
-    yield from _pairs(rows[(rows["role"] & _RARE) > 0])
+    yield from _pairs(rows[(rows["role"] & _RARE) > 0], bound)
 
 
 def _spans(rows: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -244,7 +320,7 @@ def _spans(rows: np.ndarray) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": doc[cut[:-1]], "b": pd.array([None] * (len(cut) - 1), "Int64"), "n": np.diff(cut), "places": [where[x:y].astype("<i4").tobytes() for x, y in zip(cut[:-1], cut[1:])]})
 
 
-def _pairs(rows: np.ndarray) -> Iterator[pd.DataFrame]:
+def _pairs(rows: np.ndarray, bound: _Bound) -> Iterator[pd.DataFrame]:
     """Pairs of an evaluation and another training text for each prefix that both have among their rarest."""
     key = rows["order"] >> _REST
     rows = rows[np.argsort(key, kind="stable")]
@@ -271,7 +347,7 @@ def _pairs(rows: np.ndarray) -> Iterator[pd.DataFrame]:
         for e0, ne, t0, nt in blocks:
             run, k = _spread_out(np.arange(len(e0)), ne * nt)
             x, y = rows[e0[run] + k // nt[run]], rows[t0[run] + k % nt[run]]
-            ok = x["doc"] != y["doc"]
+            ok = (x["doc"] != y["doc"]) & bound(x["doc"], y["doc"])
             x, y = x[ok], y[ok]
             if not len(x):
                 continue
@@ -281,16 +357,16 @@ def _pairs(rows: np.ndarray) -> Iterator[pd.DataFrame]:
         at = end
 
 
-def suffix_array(texts: DataFrame, threshold: float, pair_block: int = PAIR_BLOCK, span_block: int = SPAN_BLOCK) -> tuple[DataFrame, DataFrame]:
+def suffix_array(texts: DataFrame, threshold: float, pair_block: int = PAIR_BLOCK, span_block: int = SPAN_BLOCK, spans: bool = True) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) of texts alike by the threshold, and places in shared spans (doc, places), a row for each part.
 
-    `texts` has doc (key), text and side (1 evaluation, 2 training).
+    `texts` has doc (key), text and side (1 evaluation, 2 training). Without `spans` the array holds only what names pairs.
     """
     counts = triple_counts(texts)
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(int(counts.sum()) / PART))
     sent = texts.sparkSession.sparkContext.broadcast(counts)  # 8 MB
-    rows = texts.mapInPandas(_suffixes(sent, parts, threshold, pair_block, span_block), "part int, n int, data binary").repartition(parts, "part").sortWithinPartitions("part")
-    found = materialize(rows.mapInPandas(_array, "a bigint, b bigint, n bigint, places binary"), "suffixes")
+    rows = texts.mapInPandas(_suffixes(sent, parts, threshold, pair_block, span_block, spans), "part int, n int, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = materialize(rows.mapInPandas(_array(threshold), "a bigint, b bigint, n bigint, places binary"), "suffixes")
     pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("a", "b")
     return pairs, found.where("b IS NULL").select(F.col("a").alias("doc"), "places")
 
@@ -398,7 +474,7 @@ def split_overlaps(pairs: DataFrame, threshold: float = 0.6, pair_block: int = P
     """
     sides = _sides(pairs)
     texts = _texts(sides)
-    candidates, _ = suffix_array(texts, threshold, pair_block, span_block)
+    candidates, _ = suffix_array(texts, threshold, pair_block, span_block, spans=False)
     return _overlaps(_held(sides), text_overlaps(texts, threshold, candidates))
 
 
