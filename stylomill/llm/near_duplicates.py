@@ -121,8 +121,8 @@ def _add_df(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [pdf["piece"][0]], "texts": [pdf["texts"].sum()], "df": [total.astype(np.int64).tobytes()]})
 
 
-def idf(texts: DataFrame, n: int) -> Broadcast:
-    """The idf of each class of shingles, 0 (in all texts) to 1 (in one), from counts over all texts; 1 MB, broadcast."""
+def idf(texts: DataFrame, n: int) -> tuple[Broadcast, int]:
+    """The idf of each class of shingles, 0 (in all texts) to 1 (in one), from counts over all texts; 1 MB, broadcast. And the number of texts."""
     shape = "piece int, texts bigint, df binary"
     rows = texts.mapInPandas(_count_df(n), shape).groupBy("piece").applyInPandas(_add_df, shape).collect()  # _PIECES rows of fixed size
     df = np.zeros(DF_BUCKETS, np.int64)
@@ -131,7 +131,7 @@ def idf(texts: DataFrame, n: int) -> Broadcast:
         df[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["df"], np.int64)
     total = max([r["texts"] for r in rows], default=0)
     factor = np.log((total + 1) / np.clip(df, 1, total + 1)) / np.log(total + 2)
-    return texts.sparkSession.sparkContext.broadcast(factor.astype(np.float32))
+    return texts.sparkSession.sparkContext.broadcast(factor.astype(np.float32)), total
 
 
 def _levels(h: np.ndarray, tf: np.ndarray, factor: np.ndarray) -> np.ndarray:
@@ -140,8 +140,8 @@ def _levels(h: np.ndarray, tf: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return np.minimum(x * LEVELS, LEVELS - 1).astype(np.uint8)
 
 
-def _band(n: int, bands: int, rows: int, least_words: int, factors: Broadcast):
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _band(n: int, bands: int, rows: int, least_words: int, factors: Broadcast, parts: int):
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         words, sampler, factor = S.WordHashes(), Sampler(bands * rows), factors.value
         marks = S.mix(np.arange(1, bands + 1, dtype=np.uint64))
         seen: set[int] = set()
@@ -163,9 +163,9 @@ def _band(n: int, bands: int, rows: int, least_words: int, factors: Broadcast):
                 key = np.broadcast_to(marks, got.shape[:2])
                 for k in range(rows):
                     key = S.mix(key * _GOLD + got[:, :, k])
-                yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "doc": np.repeat(docs[at + i[begin[:-1]]], bands)})
+                yield key.reshape(-1), np.repeat(docs[at + i[begin[:-1]]], bands)
 
-    return keys
+    return lambda batches: S.packed_keys(keys(batches), parts)
 
 
 def _vectors(n: int, factors: Broadcast):
@@ -209,8 +209,10 @@ def similar_texts(texts: DataFrame, n: int = 5, bands: int = 24, rows: int = 3,
     has no partner. Thresholds are the caller's: nothing is dropped here but what shares fewer than `least_bands` bands.
     """
     texts = spread(texts.select("doc", "text").where("text IS NOT NULL"))
-    factors = idf(texts, n)
-    pairs = materialize(S.pairs_by_key(texts.mapInPandas(_band(n, bands, rows, least_words or n, factors), "key bigint, doc bigint"), least_bands, block), "candidates")
+    factors, many = idf(texts, n)
+    parts = S.parts_for(many * bands, texts.sparkSession)
+    keys = texts.mapInPandas(_band(n, bands, rows, least_words or n, factors, parts), "part int, n int, data binary")
+    pairs = materialize(S.pairs_by_key(keys, parts, least_bands, block), "candidates")
     need = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     vectors = texts.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInPandas(_vectors(n, factors), "doc bigint, sh binary")
     a, b = (vectors.select(F.col("doc").alias(x), F.col("sh").alias(f"sh_{x}")) for x in "ab")

@@ -91,8 +91,49 @@ def bounds(at: np.ndarray, n: int) -> np.ndarray:
 
 #: Texts with one key that are paired in one go; more are dealt to blocks.
 BLOCK = 2048
-#: Pairs that are held before they are written.
-_PAIRS = 2_000_000
+#: Pairs that are held before they are written; keys that a task sorts before it sends them; keys in a part, about; keys that a
+#: part may hold before those of more texts than a block leave it.
+_PAIRS, _FLUSH, _PART, _MOST = 2_000_000, 2_000_000, 4_000_000, 12_000_000
+
+
+def packed_keys(rows: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pd.DataFrame]:
+    """(part, n, data): keys of texts, in order, for the part that pairs them; few large rows in place of many small ones.
+
+    48 bits of a key are sent, and texts by their place in a list: texts that meet by chance are told apart by verification.
+    """
+    keys, docs, size = [], [], 0
+
+    def flush() -> pd.DataFrame:
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        part, key = (key % np.uint64(parts)).astype(np.int32), mix(key) >> np.uint64(16)
+        by = np.lexsort((doc, key, part))
+        part, key, doc = part[by], key[by], doc[by]
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+        data = []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            every, which = np.unique(doc[lo:hi], return_inverse=True)
+            planes = np.ascontiguousarray(key[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+            data.append(np.int64(len(every)).tobytes() + every.tobytes() + planes + which.reshape(-1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        return pd.DataFrame({"part": part[cut[:-1]], "n": np.diff(cut).astype(np.int32), "data": data})
+
+    for key, doc in rows:
+        keys.append(key)
+        docs.append(doc)
+        size += len(key)
+        if size >= _FLUSH:
+            yield flush()
+            keys, docs, size = [], [], 0
+    if size:
+        yield flush()
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(data, np.int64, 1)[0])
+    every, at = np.frombuffer(data, np.int64, k, 8), 8 + 8 * k
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(6, n).T
+    which = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at + 6 * n).reshape(4, n).T).view("<u4").reshape(n)
+    return key.view(np.int64).reshape(n), every[which]
 
 
 def _all_pairs(key: np.ndarray, doc: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -121,49 +162,61 @@ def _all_pairs(key: np.ndarray, doc: np.ndarray) -> Iterator[pd.DataFrame]:
         yield counted()
 
 
-def _meet(block: int):
+def _meet(block: int, most: int):
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held_doc = np.empty(0, np.int64), np.empty(0, np.int64)
-        hot = None  # a key with more texts than a block, of which some have left
-        out = lambda k, d: pd.DataFrame({"a": d, "b": pd.array([None] * len(d), "Int64"), "n": 0, "key": pd.array(k, "Int64")})
-
-        def done(key: np.ndarray, doc: np.ndarray) -> Iterator[pd.DataFrame]:
-            if not len(key):
-                return
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.concatenate((first, [len(key)])))
-            large = np.repeat((size > block) | (key[first] == hot if hot is not None else False), size)
-            if large.any():
-                yield out(key[large], doc[large])
-            several = np.repeat(size > 1, size) & ~large
-            yield from _all_pairs(key[several], doc[several])
+        part, held, size = None, [], 0
+        hot = np.empty(0, np.int64)  # keys of more texts than a block, of which some have left
+
+        def settle(last: bool) -> Iterator[pd.DataFrame]:
+            """Lets the texts of hot keys leave; at the end of a part pairs the others."""
+            nonlocal held, size, hot
+            key, doc = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))[: len(key)]
+            key, doc = key[fresh], doc[fresh]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+            n = np.diff(np.concatenate((first, [len(key)])))
+            large = (n > block) | np.isin(key[first], hot)
+            hot = np.union1d(hot, key[first[large]])
+            leave = np.repeat(large, n)
+            if leave.any():
+                yield pd.DataFrame({"a": doc[leave], "b": pd.array([None] * int(leave.sum()), "Int64"), "n": 0, "key": pd.array(key[leave], "Int64"), "part": part})
+            if last:
+                several = np.repeat(n > 1, n) & ~leave
+                for pairs in _all_pairs(key[several], doc[several]):
+                    yield pairs.assign(part=part)
+                held, size, hot = [], 0, np.empty(0, np.int64)
+            else:
+                held, size = [(key[~leave], doc[~leave])], int((~leave).sum())
 
         for pdf in batches:
-            key, doc = np.concatenate((held_key, pdf["key"].to_numpy(np.int64))), np.concatenate((held_doc, pdf["doc"].to_numpy(np.int64)))
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
-            key, doc = key[fresh], doc[fresh]
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            yield from done(key[:cut], doc[:cut])
-            held_key, held_doc = key[cut:], doc[cut:]
-            if len(held_key) > block:  # all but the last row, by which copies in the next rows are told
-                hot = held_key[-1]
-                yield out(held_key[:-1], held_doc[:-1])
-                held_key, held_doc = held_key[-1:], held_doc[-1:]
-        yield from done(held_key, held_doc)
+            for p, k, data in zip(pdf["part"], pdf["n"], pdf["data"]):
+                if p != part and held:
+                    yield from settle(True)
+                part = p
+                held.append(_unpacked(k, data))
+                size += k
+                if size > most:
+                    yield from settle(False)
+        if held:
+            yield from settle(True)
 
     return meet
 
 
-def pairs_by_key(keys: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: texts with at least so many keys in common. `keys` has key and doc; rows may repeat.
+def parts_for(keys: int, spark) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-keys // _PART))
+
+
+def pairs_by_key(keys: DataFrame, parts: int, least: int, block: int = BLOCK, most: int = _MOST) -> DataFrame:
+    """(a, b), a < b: texts with at least so many keys in common. `keys` are rows of packed_keys; keys of a text may repeat.
 
     A key of more than `block` texts is dealt to cells: each block of its texts meets each other block, and itself, once.
     """
-    order = keys.repartition("key").sortWithinPartitions("key", "doc")
-    met = materialize(order.mapInPandas(_meet(block), "a bigint, b bigint, n bigint, key bigint"), "met")
-    hot = met.where("key IS NOT NULL").select("key", F.col("a").alias("doc"))
+    order = keys.repartition(parts, "part").sortWithinPartitions("part")
+    met = materialize(order.mapInPandas(_meet(block, most), "a bigint, b bigint, n bigint, key bigint, part int"), "met")
+    hot = met.where("key IS NOT NULL").select(F.struct("part", "key").alias("key"), F.col("a").alias("doc")).distinct()
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
     own = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
     low = own.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("m") - 1)).alias("j"), F.col("doc").alias("x"))

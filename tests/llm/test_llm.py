@@ -126,12 +126,14 @@ def test_recall_at_the_threshold(shared):
 
 def test_hot_keys_are_dealt_to_blocks(spark):
     rows = [(k, d) for d in range(60) for k in (1, 2)] + [(3, d) for d in range(0, 60, 2)] + [(4, 1), (4, 1), (5, 7), (5, 8)] + [(1, 5)] * 3
-    keys = spark.createDataFrame(rows, "key BIGINT, doc BIGINT")
+    flat = spark.createDataFrame(rows, "key BIGINT, doc BIGINT").repartition(5)
+    pack = lambda parts: lambda batches: S.packed_keys(((p["key"].to_numpy().astype(np.uint64), p["doc"].to_numpy()) for p in batches), parts)
     both = {frozenset(p) for p in combinations(range(60), 2)}
-    for block in (3, 7, 2048):
-        got = [(r["a"], r["b"]) for r in S.pairs_by_key(keys, 2, block).collect()]
+    for block, most, parts in ((3, 20, 2), (7, 1, 3), (3, 1000, 1), (2048, 1000, 4)):
+        keys = flat.mapInPandas(pack(parts), "part int, n int, data binary")
+        got = [(r["a"], r["b"]) for r in S.pairs_by_key(keys, parts, 2, block, most).collect()]
         assert len(got) == len(set(got)) and all(a < b for a, b in got) and {frozenset(p) for p in got} == both
-        three = {(r["a"], r["b"]) for r in S.pairs_by_key(keys, 3, block).collect()}
+        three = {(r["a"], r["b"]) for r in S.pairs_by_key(keys, parts, 3, block, most).collect()}
         assert three == {p for p in combinations(range(0, 60, 2), 2)} | {(7, 8)}
 
 
