@@ -282,12 +282,12 @@ class _Bound:
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x, y = np.searchsorted(self.docs, a), np.searchsorted(self.docs, b)
-        both, level = self.size[x] + self.size[y], np.minimum(self.level[x], self.level[y])
+        both, less, level = self.size[x] + self.size[y], np.minimum(self.size[x], self.size[y]), np.minimum(self.level[x], self.level[y])
         apart = np.zeros(len(a), np.int64)
         for k, bits in enumerate(self.bits):
             own = np.flatnonzero(level == k)
             apart[own] = np.bitwise_count(bits[x[own]] ^ bits[y[own]]).sum(1, dtype=np.int64)
-        return (both - apart) / 2 >= self.share * both - 1e-6
+        return np.minimum((both - apart) / 2, less) >= self.share * both - 1e-6
 
 
 def _look(held: list[tuple[int, bytes]], threshold: float) -> Iterator[pd.DataFrame]:
