@@ -1,5 +1,6 @@
 import random
 import re
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -337,8 +338,54 @@ PARA = "The board of the ancient city purchased the crossing in March. Several f
     ],
 )
 def test_responses(prompt, response, want):
-    ends = R.SentenceEnds([EN, PARA, EN.replace("old", "new"), PARA.replace("ancient", "young")] * 3)
-    assert R.defect(prompt, response, R.Languages(), ends) == want
+    assert judge()(prompt, response, R.Languages()) == want
+
+
+@lru_cache(1)
+def judge():
+    prompts = [EN, EN.replace("old", "new"), PARA, PARA.replace("ancient", "young")]
+    return R.Judge([(EN, PARA), (prompts[1], prompts[3])], prompts)
+
+
+@pytest.mark.parametrize("text", ["That is a request I have to turn down.", "I must pass on this one.", "This isn't something I'm comfortable writing.", "Request denied.", "As a language model, I do not write such texts.", "Sorry, I’m unable to rewrite this passage. Please send another one."])
+def test_refusals(text):
+    assert judge().refusals(text) and judge()(EN, text, R.Languages()) == "refusal"
+
+
+@pytest.mark.parametrize("text", ["I cannot believe that the old bridge is gone.", "We will not forget the harbour, she said.", "The council declined the request of the village.", "The clerk said: “I cannot help with that.” The meeting went on.", "Thank you all for coming to the gallery."])
+def test_no_refusals(text):
+    assert not judge().refusals(text)
+
+
+def test_languages_that_cannot_be_told():
+    langs = R.Languages()
+    assert langs.disagreement(EN, "Oh no") == langs.disagreement("ok", "La gente de esta ciudad quiere saber qué pasará con el puente") == 0.0
+    assert langs.disagreement(EN, "La gente de esta ciudad quiere saber qué pasará con el puente") > 0.9 and langs.disagreement(EN, PARA) < 0.2
+    assert abs(langs.posterior(EN).sum() - 1) < 1e-9 and langs.posterior("").max() < 0.2
+
+
+def test_truncation_on_cut_responses(spark):
+    """Responses that the models haven't seen, whole and cut by us; how many ends are told by signs alone and how many by the model."""
+    rewritten, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("rewritten", "docs"))
+    said = rewritten.where("error IS NULL").selectExpr("id", "'x' AS field", "coalesce(impersonated_text, obfuscated_text) AS response")
+    pairs, prompts = R.sample_pairs(said, docs, 2000)
+    assert R.sample_pairs(said.repartition(7), docs, 2000) == (pairs, prompts)
+    seen, held = set(prompts[: len(prompts) // 2]), [x for x in pairs if x[0] in set(prompts[len(prompts) // 2 :])]
+    ends = R.Judge([x for x in pairs if x[0] in seen], [x for x in prompts if x in seen]).ends
+    g, right, told = random.Random(3), {True: [], False: []}, []
+    for p, r in held:
+        if not re.search(r"[.!?]$", r.rstrip()) or len(r.split()) < 12 or R.copied_share(R._WORD.findall(p.lower()), R._WORD.findall(r.lower())) > 0.8:
+            continue
+        last = re.split(r"[.!?…][\"”'’)\]]*\s+|\n+", r.rstrip().rstrip(".!?"))[-1].split()
+        if len(last) < 5:
+            continue
+        whole = r.rstrip().rstrip(".!?")
+        cut = whole[: len(whole) - len(" ".join(last[g.randint(2, len(last) - 1) :]))].rstrip()
+        for text, want in ((whole, False), (cut, True)):
+            told.append(R.last_words(p, text)[0] is not None)
+            right[want].append(ends.broken_off(p, text) == want)
+    print(f"{len(told)} ends, {np.mean(told):.2f} of them told by signs, the others by the likelihood; right: whole {np.mean(right[False]):.3f}, cut {np.mean(right[True]):.3f}; weights {dict(zip(R.FEATURES, ends.w.round(1)))}")
+    assert len(told) > 100 and np.mean(told) < 0.2 and np.mean(right[False]) > 0.9 and np.mean(right[True]) > 0.9
 
 
 def test_responses_table(spark):
@@ -357,7 +404,7 @@ def test_language_accuracy():
         "de": "Es regnete, als die beiden Freunde vom Theater nach Hause gingen", "ru": "Шёл дождь, когда двое друзей возвращались домой из театра", "it": "Pioveva quando i due amici tornarono a casa dal teatro", "nl": "Het regende toen de twee vrienden van het theater naar huis liepen",
     }
     langs = R.Languages()
-    assert [list(R.SEEDS)[langs.language(t)[0]] for t in held.values()] == list(held)
+    assert [list(R.SEEDS)[langs.posterior(t).argmax()] for t in held.values()] == list(held)
 
 
 def test_personal_data_held_out_carriers():
