@@ -16,17 +16,21 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from stylomill.llm.cells import pairs_within
 from stylomill.session import spread
 
-# Cyrillic and Greek letters and the Latin letters of the same shape.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЬаеѕіјорсухһԁԛԝѵӏ", "ABESIJKMHOPCTYXbaesijopcyxhdqwvl"))
+# Letters of other scripts, and of phonetic Latin, and the Latin letters of the same shape.
+CYRILLIC = dict(zip("ёЁїЇАВЕЅІЈКМНОРСТУХЬаеѕіјорсухһԁԛԝѵӏԌԚԜѴҮӀ", "ëËïÏABESIJKMHOPCTYXbaesijopcyxhdqwvlGQWVYI"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳ", "ABEZHIKMNOPTYXvocj"))
+ARMENIAN = dict(zip("օսհոՕՍ", "ouhnOU"))
+LATIN = dict(zip("ɑɡ", "ag"))
 #: Letters with a hook or stroke that no reader takes for b: kept apart.
 del CYRILLIC["Ь"]
 
 _MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
 _PICTURE = "[©®‼-㊙\U0001f000-\U0001faff]"
-_SHAPE = re.compile("[Ͱ-ϿЀ-ԯ]")
+_SHAPE = re.compile("[Ͱ-ϿЀ-ԯ԰-֏ɑɡ]")
+_SCRIPTS = ((CYRILLIC, "Ѐ", "ԯ"), (GREEK, "Ͱ", "Ͽ"), (ARMENIAN, "԰", "֏"))
 _WORD = re.compile("[^\\W\\d_]+")
 
 
@@ -46,10 +50,13 @@ class Transducer:
                 self._add(c, "")
             elif tag in ("<wide>", "<narrow>") or tag == "<compat>" and (0xFB00 <= cp <= 0xFB06 or 0x2160 <= cp <= 0x217F):
                 self._add(c, U.normalize("NFKC", c))
-        self.to_latin = CYRILLIC | GREEK
-        self.from_latin = {v: k for k, v in CYRILLIC.items()}
+        for c in "\u2010\u2011":
+            self._add(c, "-")
+        self.to_latin = CYRILLIC | GREEK | ARMENIAN | LATIN
+        self.from_latin = [{v: k for k, v in reversed(table.items())} for table, _, _ in _SCRIPTS]
+        self.shared = {v for table in self.from_latin for v in table} | set(self.to_latin)
         for k, v in self.to_latin.items():
-            if not v.isascii() or v in self.to_latin or self.one.get(k, v) != v:
+            if not (v.isascii() or v in "ëËïÏ") or v in self.to_latin or self.one.get(k, v) != v:
                 raise ValueError(f"{k!r} has two images")
         for k, v in self.one.items():
             if any(self.one.get(x, x) != x for x in v):
@@ -80,14 +87,13 @@ class Transducer:
         w = m[0]
         if not _SHAPE.search(w):
             return w
-        own = any("Ѐ" <= c <= "ԯ" and c not in CYRILLIC for c in w)
-        latin = any(c not in self.from_latin and U.name(c, "").startswith("LATIN") for c in w)
-        greek = any("Ͱ" <= c <= "Ͽ" and c not in GREEK for c in w)
-        if own and not latin and not greek:
-            return "".join(self.from_latin.get(c, c) for c in w)
-        if greek and not latin and not own:
-            return w
-        return "".join(self.to_latin.get(c, c) for c in w)
+        own = [any(lo <= c <= hi and c not in table for c in w) for table, lo, hi in _SCRIPTS]
+        latin = any(c not in self.shared and U.name(c, "").startswith("LATIN") for c in w)
+        base = "".join(self.to_latin.get(c, c) for c in w)
+        if sum(own) == 1 and not latin:
+            back = self.from_latin[own.index(True)]
+            return "".join(back.get(c, c) for c in base)
+        return base if latin or not any(own) else w
 
     def __call__(self, text: str) -> str:
         if text.isascii():
@@ -135,5 +141,5 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     keys = rows.mapInPandas(_keys, "doc bigint, look binary, raw binary").distinct()
     several = keys.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("look")
     kept = keys.join(several, "look", "left_semi")
-    a, b = (kept.select("look", F.col("doc").alias(f"doc_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    return a.join(b, "look").where("doc_a < doc_b AND raw_a <> raw_b").select("doc_a", "doc_b").distinct()
+    met = pairs_within(kept, "look", F.struct("doc", "raw"))
+    return met.where("x.doc <> y.doc AND x.raw <> y.raw").select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b")).distinct()

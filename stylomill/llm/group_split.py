@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stylomill.functions.text import name_key
+from stylomill.llm.cells import pairs_within
 from stylomill.operators.graph import connected_components
 from stylomill.session import materialize
 
@@ -29,9 +30,7 @@ def linked_authors(pairs: DataFrame) -> DataFrame:
 def linked_pairs(pairs: DataFrame) -> DataFrame:
     """(author_a, author_b), author_a < author_b: different authors of one component."""
     comp = materialize(linked_authors(pairs), "authors")
-    several = comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    kept = comp.join(several, "component", "left_semi")
-    return kept.withColumnRenamed("author", "author_a").join(kept.withColumnRenamed("author", "author_b"), "component").where("author_a < author_b").select("author_a", "author_b")
+    return pairs_within(comp, "component", "author").select(F.col("x").alias("author_a"), F.col("y").alias("author_b"))
 
 
 def anneal(size: np.ndarray, label: np.ndarray, target: np.ndarray, seed: int, steps_each: int = 12, most_steps: int = 60_000) -> tuple[np.ndarray, float]:

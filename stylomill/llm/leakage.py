@@ -2,7 +2,8 @@
 
 The patterns are the word triples of the evaluation items. A table says, for each hashed block of two words, how far the
 search may move on; only positions with a shift of 0 are looked at, their block's bucket names the patterns that end so, and
-each is compared word by word. Shifts are looked up for whole batches of positions in numpy. Documents are never shuffled.
+each is compared word by word. Cursors of many stretches of text move on together in numpy, each by its own shift. Documents
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stylomill.llm import shingles as S
-from stylomill.session import spread
+from stylomill.session import materialize, spread
 
 WIDTH = 3
 _SHIFT_MOST = WIDTH - 2 + 1
+#: Words of a stretch that one cursor searches.
+STRETCH = 256
 _A, _B = np.int64(0x2545F4914F6CDD1D), np.int64(0x27BB2EE687B0B0FD)
 
 
@@ -59,6 +62,20 @@ class Patterns:
         with np.errstate(over="ignore"):
             return ((u * _A + v * _B) >> np.int64(20)) & np.int64((1 << self.bits) - 1)
 
+    def _stops(self, w: np.ndarray) -> np.ndarray:
+        """Places whose block of two words ends some pattern; the others are passed by, as far as the shift table says."""
+        out = []
+        cursor = np.arange(WIDTH - 1, len(w), STRETCH)  # the last word of the window that a cursor looks at
+        stop = np.minimum(cursor + STRETCH, len(w))
+        while len(cursor):
+            u, v = w[cursor - 1], w[cursor]
+            shift = np.where(v <= 0, WIDTH, np.where(u <= 0, WIDTH - 1, self.shift[self.block(u, v)]))  # no pattern has a mark or an unknown word
+            out.append(cursor[shift == 0] - 1)
+            cursor = cursor + np.maximum(shift, 1)
+            on = cursor < stop
+            cursor, stop = cursor[on], stop[on]
+        return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+
     def search(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text index, item index, number of the item's distinct triples in the text), where there is any."""
         found = S.TOKEN.findall("\x00".join((t or "").replace("\x00", " ") for t in texts).lower())
@@ -67,11 +84,8 @@ class Patterns:
         if len(w) < WIDTH or not len(self.pattern):
             return none, none, none
         at = np.cumsum(w == 0)
-        known = (w[1:] > 0) & (w[:-1] > 0)
-        b = self.block(w[:-1], w[1:])
-        end = np.flatnonzero(known & (self.shift[b] == 0))
-        end = end[end >= WIDTH - 2]
-        b = b[end]
+        end = self._stops(w)
+        b = self.block(w[end], w[end + 1])
         n = self.start[b + 1] - self.start[b]
         pos = np.repeat(end, n)
         p = np.repeat(self.start[b].astype(np.int64) - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -110,25 +124,31 @@ def _find(patterns, least: float):
 def leaked_passages(items: DataFrame, docs: DataFrame, least: float = 0.4, doc_col: str = "doc_id", block_chars: int = 32_000_000) -> DataFrame:
     """(item_id, doc_id, n_shared, n_item): the document holds at least that share of the item's distinct word triples.
 
-    Items (item_id, text) come to the driver in blocks of at most `block_chars` characters (one item at least), each block
-    is compiled and sent to the executors, and searches all documents: the size sent at once is bounded however many items
-    there are. NULL and blank texts, items without a triple and NULL ids are never found; rows repeated in the input are
+    Items (item_id, text) come to the driver in blocks of at most `block_chars` characters (one item at least). One block after
+    the other is compiled, sent to the executors, searches all documents and is dropped: what is held at once is bounded
+    however many items there are. NULL and blank texts, items without a triple and NULL ids are never found; rows repeated in the input are
     found once for each id. No documents or no items: no rows.
     """
     spark = docs.sparkSession
     source = spread(docs.select(docs[doc_col].cast("bigint").alias("doc"), "text").where("doc IS NOT NULL AND text IS NOT NULL"))
     parts, block, size = [], [], 0
 
-    def close() -> None:
-        parts.append(source.mapInPandas(_find(spark.sparkContext.broadcast(Patterns(block)), least), "item_id bigint, doc_id bigint, n_shared bigint, n_item bigint"))
+    def search(last: bool) -> DataFrame:
+        sent = spark.sparkContext.broadcast(Patterns(block))
+        found = source.mapInPandas(_find(sent, least), "item_id bigint, doc_id bigint, n_shared bigint, n_item bigint")
+        if last and not parts:  # the only block
+            return found
+        found = materialize(found, "found")
+        sent.destroy()
+        return found
 
     for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().toLocalIterator():
         if block and size + len(r["text"]) > block_chars:
-            close()
+            parts.append(search(False))
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    close()
+    parts.append(search(True))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

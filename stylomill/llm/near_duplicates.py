@@ -20,6 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from stylomill.llm import shingles as S
+from stylomill.llm.cells import pairs_within
 from stylomill.operators.graph import connected_components
 from stylomill.session import materialize, spread
 
@@ -237,9 +238,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float, n: int, least_words:
     enough = F.col("text").rlike(r"(?:[\p{L}\p{N}]+[^\p{L}\p{N}]+){" + str(least_words - 1) + r"}[\p{L}\p{N}]")
     held = rows.select("doc", "id", enough.alias("enough")).distinct()
     # copies of one text: ids with the same key
-    twice = held.where("enough").groupBy("doc").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("doc")
-    same = held.join(twice, "doc", "left_semi").select("doc", "id")
-    copies = same.withColumnRenamed("id", "x").join(same.withColumnRenamed("id", "y"), "doc").where("x < y").select("x", "y")
+    copies = pairs_within(held.where("enough"), "doc", "id", block)
     across = found.join(held.select(F.col("doc").alias("a"), F.col("id").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("id").alias("y")), "b").where("x <> y")
     return across.select("x", "y").unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -13,6 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from stylomill.llm.cells import BLOCK, pairs_within
 from stylomill.session import materialize
 
 TOKEN = re.compile(r"[^\W_]+|\x00")
@@ -89,8 +90,6 @@ def bounds(at: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(at, np.arange(n + 1))
 
 
-#: Texts with one key that are paired in one go; more are dealt to blocks.
-BLOCK = 2048
 #: Pairs that are held before they are written; keys that a task sorts before it sends them; keys in a part, about; keys that a
 #: part may hold before those of more texts than a block leave it.
 _PAIRS, _FLUSH, _PART, _MOST = 2_000_000, 2_000_000, 4_000_000, 12_000_000
@@ -216,11 +215,7 @@ def pairs_by_key(keys: DataFrame, parts: int, least: int, block: int = BLOCK, mo
     """
     order = keys.repartition(parts, "part").sortWithinPartitions("part")
     met = materialize(order.mapInPandas(_meet(block, most), "a bigint, b bigint, n bigint, key bigint, part int"), "met")
-    hot = met.where("key IS NOT NULL").select(F.struct("part", "key").alias("key"), F.col("a").alias("doc")).distinct()
-    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
-    own = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
-    low = own.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("m") - 1)).alias("j"), F.col("doc").alias("x"))
-    high = own.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("doc").alias("y"))
-    cells = low.join(high, ["key", "i", "j"]).where("i < j OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(1).cast("bigint").alias("n"))
+    hot = met.where("key IS NOT NULL")
+    cells = pairs_within(hot, F.struct("part", "key"), "a", block).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).cast("bigint").alias("n"))
     every = met.where("key IS NULL").select("a", "b", "n").unionByName(cells)
     return every.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b")

@@ -213,6 +213,19 @@ def test_leakage(spark):
     for block in (32_000_000, 300):
         got = {(r["item_id"], r["doc_id"]) for r in leakage.leaked_passages(di, dd, block_chars=block).collect()}
         assert got == want
+    p, stretch = leakage.Patterns(items), leakage.STRETCH
+    every = [np.stack(p.search([t for _, t in docs])).tolist()]
+    looked = [0]
+    block = p.block
+    for leakage.STRETCH in (1, 2, 7):  # cursors at every place find the same
+        every.append(np.stack(p.search([t for _, t in docs])).tolist())
+    leakage.STRETCH = stretch
+    assert all(x == every[0] for x in every)
+    p.block = lambda u, v: (looked.append(len(u)), block(u, v))[1]
+    for word, most in ((10**6, 1520), (-1, 1020)):  # a shift of two words where no block is known, of three where no word is
+        looked.clear()
+        p._stops(np.full(3000, word))
+        assert sum(looked) <= most
     assert leakage.leaked_passages(di.limit(0), dd).count() == 0 and leakage.leaked_passages(di, dd.limit(0)).count() == 0
 
 
@@ -225,6 +238,9 @@ def test_canonical(spark):
     assert t("👩‍💻") == "👩‍💻" != t("👩💻") and t("🌧️") == t("🌧")
     russian = "Вся школа давно купила новый мост"
     assert t(russian) == russian and t("Bся шкoла") == "Вся школа" and t("Α") == t("А") == "A"
+    greek = "νέος δρόμος της πόλης"
+    assert t(greek) == greek == t("νέoς δρόμoς της πόλης") == t("νέоς δρόμος της πόλης") and t("Ο " + greek) == t("O " + greek) == t("О " + greek)
+    assert t("ёлка") == "ёлка" == t("ëлка") and t("non\u2011stop") == t("non\u2010stop") == "non-stop" and t("օn the shօre") == "on the shore" and t("Հայոց") == "Հայոց"
     assert t("") == "" and t(" ​ ") == "" and t("x" * 100_000 + "é") == "x" * 100_000 + "é"
     for x in same + apart + [russian]:
         assert t(t(x)) == t(x)
