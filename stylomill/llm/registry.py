@@ -74,6 +74,11 @@ def p5_row_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_rows(_table(spark, sf_dir, "pairs"), _table(spark, sf_dir, "docs"))
 
 
+def p5_component_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per component of linked authors: its authors, and the splits they are in (one)."""
+    return p5_author_splits(spark, sf_dir).groupBy("component").agg(F.count("*").alias("n_authors"), F.countDistinct("split").alias("n_splits"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.packing import pack_segments
 
@@ -86,6 +91,12 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_segments(_table(spark, sf_dir, "segments"))
 
 
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per segment id: its texts' words as placed, the pieces they are in, and the words of the largest piece."""
+    placed = p6_containers(spark, sf_dir).where("id IS NOT NULL")
+    return placed.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_pieces"), F.max("n_words").alias("largest"))
+
+
 def p6_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.packing import fill_report, pack_segments
 
@@ -118,6 +129,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_feasible_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest mixture in which every source reaches its own."""
+    from stylomill.llm.mixture import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"), size="feasible")[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stylomill.llm.canonical import look_alike_pairs
 
@@ -130,7 +148,7 @@ def p9_canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p3_found, p3_masked_texts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p5_row_splits, p6_found, p6_containers, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p9_found, p9_canonical_texts]
+QUERIES = [p1_found, p1_near_duplicate_classes, p2_found, p2_defect_counts, p3_found, p3_masked_texts, p4_found, p4_overlap_report, p5_found, p5_author_splits, p5_row_splits, p5_component_splits, p6_found, p6_containers, p6_pieces, p6_fill_report, p7_found, p7_leaked_items, p8_mixture, p8_shares, p8_feasible_shares, p9_found, p9_canonical_texts]
 
 
 def queries() -> dict:

