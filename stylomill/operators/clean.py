@@ -10,15 +10,17 @@ from stylomill.functions import text as X
 def dedup_author_text(corpus: DataFrame) -> DataFrame:
     """(id, copies): of the rows with one author and one text the smallest id, and how many rows it stands for.
 
-    NULLs equal one another. Texts are grouped by digest and length, so no text is shuffled, and folded before the shuffle.
+    NULLs equal one another. Texts are grouped by digest and length (text_md5 and n_chars, if the corpus has these instead), so no
+    text is shuffled, and folded before the shuffle.
     """
-    keyed = corpus.select("id", "author", F.md5("text").alias("h"), F.length("text").alias("n"))
+    digest = (F.col("text_md5"), F.col("n_chars")) if "text_md5" in corpus.columns else (F.md5("text"), F.length("text"))
+    keyed = corpus.select("id", "author", digest[0].alias("h"), digest[1].alias("n"))
     return keyed.groupBy("author", "h", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies")
 
 
 def duplicate_texts(corpus: DataFrame) -> DataFrame:
     """Texts that several rows have (NULL is one text): digest, rows, distinct authors, first id."""
-    keyed = corpus.select("id", "author", F.md5("text").alias("text_md5"))
+    keyed = corpus.select("id", "author", F.col("text_md5") if "text_md5" in corpus.columns else F.md5("text").alias("text_md5"))
     by = keyed.groupBy("text_md5", "author").agg(F.count("*").alias("n"), F.min("id").alias("i"))
     return by.groupBy("text_md5").agg(F.sum("n").alias("n_rows"), F.count("author").alias("n_authors"), F.min("i").alias("first_id")).where("n_rows > 1")
 
@@ -49,16 +51,21 @@ def with_marks(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("pe", X.marks("text")).select(*corpus.columns, F.array_join("pe", " ").alias("pe_seq"), F.size("pe").alias("pe_len"))
 
 
+def _marks(corpus: DataFrame):
+    """The marks of a text, or the column of them that the corpus has already."""
+    return F.col("marks") if "marks" in corpus.columns else X.marks("text")
+
+
 def with_mark_counts(corpus: DataFrame, most: int) -> DataFrame:
     """With pe_counts, a map from n-gram of marks to its count (NULL without marks). Ids must be unique."""
-    each = corpus.select("id", F.explode(X.ngrams(X.marks("text"), most)).alias("g")).groupBy("id", "g").agg(F.count("*").cast("int").alias("n"))
+    each = corpus.select("id", F.explode(X.ngrams(_marks(corpus), most)).alias("g")).groupBy("id", "g").agg(F.count("*").cast("int").alias("n"))
     maps = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("pe_counts"))
     return corpus.join(maps, "id", "left")
 
 
 def mark_ngrams(corpus: DataFrame, most: int) -> DataFrame:
     """(ngram, n): n-grams of marks over the whole corpus."""
-    return corpus.select(F.explode(X.ngrams(X.marks("text"), most)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    return corpus.select(F.explode(X.ngrams(_marks(corpus), most)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def clean_corpus(corpus: DataFrame, least: float = 0.8) -> DataFrame:

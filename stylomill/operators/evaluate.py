@@ -9,20 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stylomill.functions.text import cosine
+from stylomill.operators.ranks import numbered_within
 
 
-def cosine_pairs(vectors: DataFrame, seed: int = 7) -> DataFrame:
+def cosine_pairs(vectors: DataFrame) -> DataFrame:
     """(pair_id, label, score): each vector with the next one of its label and with one of another, score the cosine mapped to [0, 1].
 
-    `vectors` has vec_id, embedding and label. Row-wise: no vector meets more than two others.
+    `vectors` has vec_id (one row each), embedding and label. pair_id is twice the first vector's id, and one more for pairs of
+    different labels. Ids alone are put in order, whatever the size of a label; vectors are fetched for the pairs.
     """
     v = vectors.where("embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    same = v.select("vec_id", F.col("embedding").alias("a"), F.lead("embedding").over(w).alias("b"), F.lead("vec_id").over(w).alias("o")).where("b IS NOT NULL").withColumn("label", F.lit(1))
-    r = v.select("vec_id", "embedding", "label", F.row_number().over(w).alias("r"))
-    other = r.alias("x").join(r.alias("y"), (F.col("x.r") == F.col("y.r")) & (F.col("y.label") == F.col("x.label") + 1)).select(F.col("x.vec_id").alias("vec_id"), F.col("x.embedding").alias("a"), F.col("y.embedding").alias("b"), F.col("y.vec_id").alias("o"), F.lit(0).alias("label"))
-    both = same.select("vec_id", "o", "a", "b", "label").unionByName(other.select("vec_id", "o", "a", "b", "label"))
-    return both.select((F.col("vec_id") * 1_000_000 + F.col("o")).cast("bigint").alias("pair_id"), "label", ((cosine(F.col("a"), F.col("b")) + 1) / 2).alias("score"))
+    r = numbered_within(v.select("vec_id", "label"), "label", "vec_id")
+    x, y = r.alias("x"), r.alias("y")
+    same = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.r") + 1 == F.col("y.r"))).select(F.col("x.vec_id").alias("u"), F.col("y.vec_id").alias("v"), F.lit(1).alias("label"))
+    other = x.join(y, (F.col("x.r") == F.col("y.r")) & (F.col("x.label") + 1 == F.col("y.label"))).select(F.col("x.vec_id").alias("u"), F.col("y.vec_id").alias("v"), F.lit(0).alias("label"))
+    both = same.unionByName(other).join(v.select(F.col("vec_id").alias("u"), F.col("embedding").alias("a")), "u").join(v.select(F.col("vec_id").alias("v"), F.col("embedding").alias("b")), "v")
+    return both.select((F.col("u") * 2 + 1 - F.col("label")).cast("bigint").alias("pair_id"), "label", ((cosine(F.col("a"), F.col("b")) + 1) / 2).alias("score"))
 
 
 def _keys(keys: list[str]) -> list[Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stylomill.functions.text import genre_is, hash_order
-from stylomill.operators.ranks import numbered
+from stylomill.operators.ranks import numbered, numbered_within
 from stylomill.session import materialize
 
 
@@ -27,7 +27,7 @@ def author_split(corpus: DataFrame, share: float = 0.2, seed: int = 7, rounding:
 def _side(corpus: DataFrame, genre: str, seed: int) -> DataFrame:
     """id, author and place of each document in its author's hashed order."""
     docs = corpus.where(genre_is("genre", genre)).where("author IS NOT NULL AND id IS NOT NULL").select("id", "author")
-    return docs.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy(hash_order(seed, "id"), "id")))
+    return numbered_within(docs, "author", hash_order(seed, "id"), "id")
 
 
 def positives(corpus: DataFrame, mode: str, seed: int = 7) -> DataFrame:
@@ -43,7 +43,7 @@ def positives(corpus: DataFrame, mode: str, seed: int = 7) -> DataFrame:
         s = _side(corpus, {"AA": "article", "TT": "tweet"}[mode], seed).withColumn("p", F.floor((F.col("r") - 1) / 2))
         # the two of a pair differ in the parity of their place
         p = s.where("r % 2 = 1").select("author", "p", F.col("id").alias("id0")).join(s.where("r % 2 = 0").select("author", "p", F.col("id").alias("id1")), ["author", "p"]).select("author", "id0", "id1")
-    return p.withColumn("k", F.row_number().over(Window.partitionBy("author").orderBy(hash_order(seed, "id0", "id1"), "id0", "id1")))
+    return numbered_within(p, "author", hash_order(seed, "id0", "id1"), "id0", "id1", name="k")
 
 
 def capped(pairs: DataFrame, cap: int) -> DataFrame:

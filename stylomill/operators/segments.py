@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stylomill.functions import text as X
 from stylomill.operators.stats import words_of
+from stylomill.operators.ranks import numbered, numbered_within
 from stylomill.session import materialize
 
 LEAST, MOST = 300, 420
@@ -108,7 +109,7 @@ def _cut(genre: str):
 def segment_parts(corpus: DataFrame, genre: str, order: str = "id", run: int = 4000) -> DataFrame:
     """(author, seg_no, part, id, first, n): the stretches of documents that make up each segment of at least LEAST words."""
     docs = corpus.where(X.genre_is("genre", genre)).where("author IS NOT NULL AND id IS NOT NULL").select("id", "author", F.col(order).alias("o"), words_of(corpus).cast("bigint").alias("n_words"))
-    rows = docs.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy("o", "id")).cast("bigint")).select("author", "id", "r", "n_words", F.floor((F.col("r") - 1) / run).alias("run"))
+    rows = numbered_within(docs, "author", "o", "id").select("author", "id", "r", "n_words", F.floor((F.col("r") - 1) / run).alias("run"))
     rows = materialize(rows, "documents")
     # only authors with several runs need tables to start the later ones
     several = rows.groupBy("author").agg(F.max("run").alias("last")).where("last > 0").select("author")
@@ -134,8 +135,6 @@ def segment_table(parts: DataFrame) -> DataFrame:
 def numbered_segments(table: DataFrame, start: int = 0) -> DataFrame:
     """With id: segments counted through all authors in order of author and seg_no. Only the authors' counts are added up."""
     n = table.groupBy("author").agg(F.count("*").alias("c"))
-    from stylomill.operators.ranks import numbered
-
     ranked = materialize(numbered(n, "author"), "authors")
     before = ranked.withColumn("block", F.floor(F.col("rn") / 10_000))
     blocks = before.groupBy("block").agg(F.sum("c").alias("bc")).withColumn("bb", F.coalesce(F.sum("bc").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

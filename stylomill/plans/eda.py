@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stylomill.functions import text as X
 from stylomill.operators import clean, stats
-from stylomill.plans.common import corpus, counted, table
+from stylomill.plans.common import corpus, counted, featured, table
 from stylomill.plans.registry import query
 from stylomill.plans.sql import CORPUS, n_words, squash, words
 
@@ -23,6 +23,10 @@ SELECT CAST(least(floor((x - lo) / (hi - lo) * k) + 1, k) AS INT) AS bin,
 FROM {source}, e GROUP BY least(floor((x - lo) / (hi - lo) * k) + 1, k)"""
 
 
+def _digests(spark, d):
+    return featured(spark, d, "author", n_chars=F.length("text"), text_md5=F.md5("text"))
+
+
 @query(f"""WITH {CORPUS}, w AS (SELECT coalesce(genre, 'UNKNOWN') g, author, {n_words('text')} n FROM corpus)
 SELECT CASE WHEN grouping(g) = 1 THEN 'ALL' ELSE g END AS scope, count(*) AS n_docs, count(DISTINCT author) AS n_authors, count(*) FILTER (n = 0) AS n_empty,
  CAST(min(n) AS INT) AS min_words, CAST(max(n) AS INT) AS max_words, round(avg(n), 6) AS mean_words, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50,
@@ -57,12 +61,12 @@ def eda_boxplot(spark, d):
 
 @query(f"WITH {CORPUS} SELECT min(id) AS id, count(*) AS copies FROM corpus GROUP BY author, text")
 def dedup_author_text(spark, d):
-    return clean.dedup_author_text(corpus(spark, d))
+    return clean.dedup_author_text(_digests(spark, d))
 
 
 @query(f"WITH {CORPUS} SELECT md5(text) AS text_md5, count(*) AS n_rows, count(DISTINCT author) AS n_authors, min(id) AS first_id FROM corpus GROUP BY text HAVING count(*) > 1")
 def duplicate_texts(spark, d):
-    return clean.duplicate_texts(corpus(spark, d))
+    return clean.duplicate_texts(_digests(spark, d))
 
 
 @query(f"WITH {CORPUS} SELECT id, genre, CAST({n_words('text')} AS INT) AS n_words FROM corpus WHERE NOT (coalesce(genre, '') = 'Article' AND {n_words('text')} < 20)")
@@ -90,20 +94,21 @@ _MARKS = r"regexp_extract_all(coalesce(text, ''), '[.,!?:;\-–—…“”‘
 
 @query(f"WITH {CORPUS} SELECT id, array_to_string({_MARKS}, ' ') AS pe_seq, CAST(len({_MARKS}) AS INT) AS pe_len FROM corpus")
 def pe_features(spark, d):
-    return clean.with_marks(corpus(spark, d)).select("id", "pe_seq", "pe_len")
+    marks = X.marks("text")
+    return featured(spark, d, pe_len=F.size(marks), pe_seq=F.array_join(marks, " ")).select("id", "pe_seq", "pe_len")
 
 
 @query(f"""WITH {CORPUS}, m AS (SELECT {_MARKS} a FROM corpus), g AS (SELECT unnest(a) ngram FROM m UNION ALL
 SELECT unnest([a[i] || '|' || a[i + 1] for i in range(1, len(a))]) FROM m) SELECT ngram, count(*) AS n FROM g GROUP BY 1""")
 def pe_ngram_counts(spark, d):
-    return clean.mark_ngrams(corpus(spark, d), 2)
+    return clean.mark_ngrams(featured(spark, d, marks=X.marks("text")), 2)
 
 
 @query(f"""WITH {CORPUS}, m AS (SELECT id, {_MARKS} a FROM corpus), g AS (SELECT id, unnest(a) ngram FROM m UNION ALL
 SELECT id, unnest([a[i] || '|' || a[i + 1] for i in range(1, len(a))]) FROM m) SELECT id, count(*) AS n_ngrams, count(DISTINCT ngram) AS n_kinds FROM g GROUP BY id""")
 def pe_ngram_maps(spark, d):
     """Per document, from its map of n-gram counts."""
-    m = clean.with_mark_counts(corpus(spark, d), 2)
+    m = clean.with_mark_counts(featured(spark, d, marks=X.marks("text")), 2)
     total = F.aggregate(F.map_values("pe_counts"), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return m.select("id", total.alias("n_ngrams"), F.size("pe_counts").cast("bigint").alias("n_kinds")).where("n_ngrams > 0")
 
@@ -118,7 +123,7 @@ _SHARE = r"length(regexp_replace(text, '[^A-Za-z\x{130}\x{212A}]', '', 'g')) / n
 
 @query(f"WITH {CORPUS} SELECT id, round({_SHARE}, 6) AS share FROM corpus WHERE {_SHARE} >= 0.8")
 def english_filter(spark, d):
-    return clean.english_only(corpus(spark, d)).select("id", F.round(X.english_share("text"), 6).alias("share"))
+    return featured(spark, d, share=X.english_share("text")).where("share >= 0.8").select("id", F.round("share", 6).alias("share"))
 
 
 _MASK = r"""masked AS (SELECT id, genre, text, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '(?i)(?:https?://|www\.)\S+', '<URL>', 'g') t FROM corpus),
@@ -137,7 +142,7 @@ def mask_pii(spark, d):
 
 @query(f"WITH {CORPUS} SELECT id, sha1({squash('text')}) AS text_sha1, CAST(length({squash('text')}) AS INT) AS n_chars FROM corpus")
 def text_hashes(spark, d):
-    return corpus(spark, d).select("id", X.text_hash("text").alias("text_sha1"), F.length(X.squash("text")).alias("n_chars"))
+    return featured(spark, d, n_chars=F.length(X.squash("text")), text_sha1=X.text_hash("text")).select("id", "text_sha1", "n_chars")
 
 
 @query(f"WITH {CORPUS} SELECT id, array_to_string({words('text')}[1:50], ' ') AS text FROM corpus WHERE text IS NOT NULL")

@@ -8,13 +8,14 @@ from stylomill.functions.text import hash_uniform, words
 from stylomill.operators import evaluate as V, explain as P
 from stylomill.plans.common import corpus, table
 from stylomill.plans.registry import query
+from stylomill.session import materialize
 from stylomill.plans.sql import CORPUS, hash_uniform as hash_uniform_sql, words as words_sql
 
 _COS = "list_sum([CAST(x[i] AS DOUBLE) * CAST(y[i] AS DOUBLE) for i in range(1, len(x) + 1)]) / (sqrt(list_sum([CAST(v AS DOUBLE) * CAST(v AS DOUBLE) for v in x])) * sqrt(list_sum([CAST(v AS DOUBLE) * CAST(v AS DOUBLE) for v in y])))"
 _SCORED = f"""WITH r AS (SELECT vec_id, embedding, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) r FROM embeddings),
 pr AS (SELECT a.vec_id u, b.vec_id v, a.embedding x, b.embedding y, 1 label FROM r a JOIN r b ON a.label = b.label AND b.r = a.r + 1
 UNION ALL SELECT a.vec_id, b.vec_id, a.embedding, b.embedding, 0 FROM r a JOIN r b ON b.label = a.label + 1 AND a.r = b.r),
-sc AS (SELECT CAST(u * 1000000 + v AS BIGINT) pair_id, CAST(label AS INT) label, round(({_COS} + 1) / 2, 4) score FROM pr),
+sc AS (SELECT CAST(u * 2 + 1 - label AS BIGINT) pair_id, CAST(label AS INT) label, round(({_COS} + 1) / 2, 4) score FROM pr),
 g AS (SELECT score threshold, count(*) FILTER (label = 1) p, count(*) FILTER (label = 0) n FROM sc GROUP BY score),
 c AS (SELECT *, sum(p) OVER (ORDER BY threshold DESC) tp, sum(n) OVER (ORDER BY threshold DESC) fp, sum(p) OVER () pos, sum(n) OVER () neg FROM g),
 k AS (SELECT *, lead(p) OVER (ORDER BY threshold DESC) p2, lead(n) OVER (ORDER BY threshold DESC) n2 FROM c),
@@ -67,15 +68,26 @@ def confusion_matrix(spark, d):
     return V.confusion(s, V.eer(s)).select("tn", "fp", "fn", "tp")
 
 
-@query(_SCORED + """SELECT m.*, a.roc_auc, a.average_precision FROM (SELECT pair_id % 3 AS seed, count(*) AS n FROM sc GROUP BY 1) m JOIN (
-SELECT seed, round(sum(n * (tp - p / 2)) / (max(pos) * max(neg)), 6) AS roc_auc, round(sum(p * (tp / (tp + fp))) / max(pos), 6) AS average_precision FROM (
-SELECT *, sum(p) OVER (PARTITION BY seed ORDER BY threshold DESC) tp, sum(n) OVER (PARTITION BY seed ORDER BY threshold DESC) fp, sum(p) OVER (PARTITION BY seed) pos, sum(n) OVER (PARTITION BY seed) neg
-FROM (SELECT pair_id % 3 seed, score threshold, count(*) FILTER (label = 1) p, count(*) FILTER (label = 0) n FROM sc GROUP BY 1, 2)) GROUP BY seed) a USING (seed)""")
+_BY = "PARTITION BY model, test_set, seed"
+_GRID = f"""WITH RECURSIVE base AS ({_SCORED.replace('WITH r AS', 'WITH r AS', 1)} SELECT * FROM sc), sc3 AS (SELECT *, CASE WHEN pair_id % 7 < 4 THEN 'a' ELSE 'b' END model, CASE WHEN pair_id % 5 < 3 THEN 'AA' ELSE 'AT' END test_set, pair_id % 3 AS seed FROM base),
+g3 AS (SELECT model, test_set, seed, score threshold, count(*) FILTER (label = 1) p, count(*) FILTER (label = 0) n FROM sc3 GROUP BY ALL),
+c3 AS (SELECT *, sum(p) OVER ({_BY} ORDER BY threshold DESC) tp, sum(n) OVER ({_BY} ORDER BY threshold DESC) fp, sum(p) OVER ({_BY}) pos, sum(n) OVER ({_BY}) neg FROM g3),
+k3 AS (SELECT *, lead(p) OVER ({_BY} ORDER BY threshold DESC) p2, lead(n) OVER ({_BY} ORDER BY threshold DESC) n2 FROM c3),
+pts3 AS (SELECT model, test_set, seed, threshold, fp / neg fpr, tp / pos tpr FROM k3 WHERE NOT coalesce(p * n2 = p2 * n, false) UNION ALL SELECT DISTINCT model, test_set, seed, 'infinity'::DOUBLE, 0, 0 FROM c3),
+best3 AS (SELECT model, test_set, seed, (fpr + 1 - tpr) / 2 eer, threshold tau FROM pts3 QUALIFY row_number() OVER ({_BY} ORDER BY round(abs(1 - tpr - fpr), 12), threshold DESC) = 1),
+cm3 AS (SELECT model, test_set, seed, any_value(tau) tau, any_value(eer) eer, count(*) n, count(*) FILTER (label = 0 AND score < tau) tn, count(*) FILTER (label = 0 AND score >= tau) fp, count(*) FILTER (label = 1 AND score < tau) fn, count(*) FILTER (label = 1 AND score >= tau) tp FROM sc3 JOIN best3 USING (model, test_set, seed) GROUP BY ALL),
+a3 AS (SELECT model, test_set, seed, round(sum(n * (tp - p / 2)) / (max(pos) * max(neg)), 6) roc_auc, round(sum(p * (tp / (tp + fp))) / max(pos), 6) average_precision FROM c3 GROUP BY ALL)
+SELECT model, test_set, seed, n, round(tau, 6) AS tau, round(eer, 6) AS eer, round((tp + tn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, roc_auc, average_precision FROM cm3 JOIN a3 USING (model, test_set, seed)"""
+
+
+@query(_GRID)
 def experiment_grid(spark, d):
-    """Metrics per experiment; the remainder of the pair id stands in for its seed."""
-    s = _scored(spark, d).withColumn("seed", F.col("pair_id") % 3)
-    n = s.groupBy("seed").agg(F.count("*").alias("n"))
-    return n.join(V.roc_auc(s, ["seed"]), "seed").join(V.average_precision(s, ["seed"]), "seed").select("seed", "n", *[F.round(c, 6).alias(c) for c in ("roc_auc", "average_precision")])
+    """Every metric of each experiment (model, test set, seed); here remainders of the pair id stand in for what names it."""
+    i, keys = F.col("pair_id"), ["model", "test_set", "seed"]
+    s = _scored(spark, d).withColumns({"model": F.when(i % 7 < 4, "a").otherwise("b"), "test_set": F.when(i % 5 < 3, "AA").otherwise("AT"), "seed": i % 3})
+    s = materialize(s, "scored")
+    n = s.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.join(V.evaluation(s, keys=keys), keys).select(*keys, "n", *[F.round(c, 6).alias(c) for c in ("tau", "eer", "accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")])
 
 
 # attributions for the words of tweets, invented by hash: three models, score in (-1, 1); marks of word starts and pieces on some

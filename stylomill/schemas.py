@@ -51,10 +51,12 @@ def assert_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def latest(docs: DataFrame, *columns: str, key: str = "id", order: str = "ingested_at") -> DataFrame:
-    """One row per key, of its latest delivery: key and the columns; of deliveries that tie the greatest value of each column.
+    """One row per key, of its latest delivery: key and the columns, of which the last may be long (a text).
 
     An aggregate with a map-side part, so a key with many deliveries is no hot task. Every column is an aggregate of its own:
-    those that a query doesn't use are neither read nor shuffled. Keys of NULL go.
+    those that a query doesn't use are neither read nor shuffled. Of deliveries that tie one is taken whole: the greatest by a
+    hash of all columns but the last, then by the last. Keys of NULL go.
     """
-    best = docs.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(F.struct(F.col(order).alias("o"), F.col(c).alias("v"))).alias(f"_{c}") for c in columns])
+    tie = F.xxhash64(*[x for c in columns[:-1] for x in (F.col(c), F.col(c).isNull())]) if len(columns) > 1 else F.lit(0)
+    best = docs.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(F.struct(F.col(order).alias("o"), tie.alias("t"), F.col(c).alias("v"))).alias(f"_{c}") for c in columns])
     return best.select(key, *[F.col(f"`_{c}`.v").alias(c) for c in columns])

@@ -80,8 +80,13 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a table in one file would otherwise be one task's work."""
+    """df over at least as many partitions as there are cores: a table in one file would otherwise be one task's work.
+
+    Only for what comes from scans: what was shuffled is left as it is, and isn't run to count its partitions.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
