@@ -28,6 +28,15 @@ def token_count(make: Callable[[], Callable[[list[str]], list[int]]]):
     return count
 
 
+def texts_of(df: DataFrame) -> DataFrame:
+    """(text): both sides of pairs where there are text0 and text1, else the column text; ValueError if there is neither."""
+    if {"text0", "text1"} <= set(df.columns):
+        return df.select(F.explode(F.array("text0", "text1")).alias("text"))
+    if "text" in df.columns:
+        return df.select("text")
+    raise ValueError("neither text0 and text1 nor text")
+
+
 def token_stats(texts: DataFrame, count: Callable[[Column], Column] = plain_token_count) -> DataFrame:
     """One row: texts and the mean, least and most of their tokens."""
     return texts.select(count(F.col("text")).alias("n")).agg(F.count("*").alias("n_texts"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"))

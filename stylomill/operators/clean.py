@@ -32,7 +32,7 @@ def drop_short(corpus: DataFrame, genre: str = "Article", least: int = 20) -> Da
 
 def texts_of_length(corpus: DataFrame, n: int, genre: str | None = None) -> DataFrame:
     """Rows of exactly n words; 0 finds NULL, empty and blank texts."""
-    found = corpus.where(X.n_words("text") == n)
+    found = corpus.where((F.col("n_words") if "n_words" in corpus.columns else X.n_words("text")) == n)
     return found.where(X.genre_is("genre", genre)) if genre else found
 
 

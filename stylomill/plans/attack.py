@@ -158,6 +158,22 @@ def _adv(spark, d, mode: str, imp: bool, pair_type: str):
     return A.adversarial_pairs(m, corpus(spark, d), mode, pair_type).select("label", "id0", "id1", "author0", "author1", "swap")
 
 
+_ADV_AA = f"WITH {_MODS}, adv AS ({_adv_sql('AA', True, 'impersonation')})"
+
+
+@query(_ADV_AA + " SELECT a.label, a.id0, a.id1, 'impersonation' AS pair_type, 'modified_article' AS genre0, 'article' AS genre1, m.impersonator FROM adv a JOIN mods m ON m.id = a.id0 AND m.impersonator IS NOT NULL")
+def adv_pairs_metadata(spark, d):
+    """What goes along with a record into its pairs."""
+    m = A.modified_records(table(spark, d, "rewritten")).where("impersonator IS NOT NULL")
+    return A.adversarial_pairs(m, corpus(spark, d)).select("label", "id0", "id1", "pair_type", "genre0", "genre1", "impersonator")
+
+
+@query(_ADV_AA + " SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, count(DISTINCT id0) AS n_sources, any_value(r.n) AS n_records, any_value(r.n) - count(DISTINCT id0) AS n_unpaired FROM adv, (SELECT count(DISTINCT id) n FROM mods WHERE impersonator IS NOT NULL) r")
+def adv_pair_counters(spark, d):
+    m = A.modified_records(table(spark, d, "rewritten")).where("impersonator IS NOT NULL")
+    return A.pair_counters(A.adversarial_pairs(m, corpus(spark, d)), m)
+
+
 @query(_adv_sql("AA", True, "impersonation"))
 def adv_pairs_aa(spark, d):
     return _adv(spark, d, "AA", True, "impersonation")

@@ -84,6 +84,12 @@ def articles_of_length(spark, d):
     return clean.texts_of_length(corpus(spark, d), 20, genre="article").select("id", "author")
 
 
+@query(f"WITH {CORPUS} SELECT id, author FROM corpus WHERE lower(coalesce(genre, '')) = 'article' AND {n_words('text')} = 146")
+def articles_of_146_words(spark, d):
+    """As articles_of_length, of a length that many articles have."""
+    return clean.texts_of_length(featured(spark, d, "author", "genre", n_words=X.n_words("text")), 146, genre="article").select("id", "author")
+
+
 @query(f"WITH {CORPUS} SELECT id, author, genre FROM corpus WHERE author IS DISTINCT FROM 'Milo A Thornwick'")
 def exclude_author(spark, d):
     return clean.exclude_author(corpus(spark, d), "Milo A Thornwick").select("id", "author", "genre")

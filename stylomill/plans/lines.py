@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stylomill.functions.models import encoder, hashing_encoder, token_stats
+from stylomill.functions.models import encoder, hashing_encoder, texts_of, token_stats
 from stylomill.functions.text import cosine
 from stylomill.operators import lines as L
 from stylomill.plans.common import corpus, table
@@ -42,8 +42,13 @@ _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{Z}\
 
 @query(r"WITH t AS (SELECT len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\t\n\x0B\f\r \p{L}\p{N}]')) n FROM (SELECT text0 AS text FROM pairs UNION ALL SELECT text1 FROM pairs)) SELECT count(*) AS n_texts, round(avg(n), 6) AS mean_tokens, CAST(min(n) AS INT) AS min_tokens, CAST(max(n) AS INT) AS max_tokens FROM t")
 def token_stats_pairs(spark, d):
-    p = table(spark, d, "pairs")
-    return token_stats(p.select(F.explode(F.array("text0", "text1")).alias("text")))
+    return token_stats(texts_of(table(spark, d, "pairs")))
+
+
+@query(r"SELECT count(*) AS n_texts, round(avg(n), 6) AS mean_tokens, CAST(min(n) AS INT) AS min_tokens, CAST(max(n) AS INT) AS max_tokens FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\t\n\x0B\f\r \p{L}\p{N}]')) n FROM segments)")
+def token_stats_segments(spark, d):
+    """Of a table with one text a row."""
+    return token_stats(texts_of(table(spark, d, "segments")))
 
 
 @query()

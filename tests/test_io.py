@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from stylomill.functions.models import encoder, hashing_encoder, token_stats
 from stylomill.operators import adversarial as A, lines as L
-from stylomill.sources.json_tables import attributions_from_npz, read_json, read_lines, read_pair_files
-from stylomill.sources.sinks import markdown, write_csv, write_json_array, write_jsonl, write_text
+from stylomill.sources.json_tables import attributions_from_npz, done_ids_at, read_json, read_lines, read_pair_files
+from stylomill.sources.sinks import append_json_array, markdown, write_attributions, write_csv, write_json_array, write_jsonl, write_text
 from stylomill.streaming.streams import deduplicated, process_new, run_to_table, windowed_counts
 
 SCHEMA = "id BIGINT, author STRING, text STRING"
@@ -68,6 +68,47 @@ def test_sinks(spark, tmp_path):
     assert attributions_from_npz(spark, str(tmp_path / "s.npz"), "m").count() == 2
 
 
+def test_mixed_forms_and_missing_paths(spark, tmp_path):
+    (tmp_path / "a b.json").write_text('\n [{"id": 1, "error": null},\n {"id": 2, "error": "x"}]')
+    (tmp_path / "c.jsonl").write_text('\ufeff{"id": 3}\n{"id": 2, "error": "x"}\nnot json\n')
+    (tmp_path / "d.jsonl").write_text("")
+    paths = [str(tmp_path / f) for f in ("c.jsonl", "a b.json", "d.jsonl")]
+    for order in (paths, paths[::-1]):
+        assert sorted(r["id"] for r in read_json(spark, order, "id BIGINT, error STRING").collect()) == [1, 2, 2, 3]
+        assert read_json(spark, order, "id BIGINT, error STRING", "report").where("_bad_line IS NOT NULL").count() == 1
+    assert read_json(spark, paths[2], "id BIGINT").count() == 0
+    done = done_ids_at(spark, [*paths, str(tmp_path / "absent.jsonl"), str(tmp_path / "no*thing")])
+    assert sorted((r["id"], r["error"]) for r in done.collect()) == [(1, None), (2, "x"), (3, None)]
+    assert done_ids_at(spark, [str(tmp_path / "absent.jsonl")]).count() == 0
+    records = spark.createDataFrame([(i,) for i in range(1, 5)], "id BIGINT")
+    assert ids(A.pending(records, done)) == [2, 4]
+
+
+def test_append_to_array(spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    one = spark.createDataFrame([(1, "é")], "id BIGINT, t STRING")
+    assert append_json_array(one, path) == 1 and append_json_array(one, path) == 2
+    assert [r["t"] for r in read_json(spark, path, "id BIGINT, t STRING").collect()] == ["é", "é"]
+    with pytest.raises(ValueError):
+        append_json_array(one, path, most=2)
+    assert read_json(spark, path, "id BIGINT").count() == 2
+
+
+def test_attributions_round_trip(spark, tmp_path):
+    rows = [("m", s, p, f"t{s}{p}", 0.5 * s, -1.0 * p) for s in range(3) for p in range(s + 1)]
+    d = spark.createDataFrame(rows, "model STRING, sample INT, pos INT, token STRING, s0 DOUBLE, s1 DOUBLE")
+    assert write_attributions(d, str(tmp_path / "a.npz")) == 3
+    assert sorted(map(tuple, attributions_from_npz(spark, str(tmp_path / "a.npz"), "m").collect())) == sorted(rows)
+    data, values = np.empty(2, object), np.empty(2, object)
+    data[:] = [["a", "b"], ["c"]]
+    values[:] = [np.ones((2, 2)), np.zeros((1, 2))]
+    np.savez(tmp_path / "o.npz", values=values, data=data)
+    with pytest.raises(ValueError):
+        attributions_from_npz(spark, str(tmp_path / "o.npz"), "m")
+    got = attributions_from_npz(spark, str(tmp_path / "o.npz"), "m", trusted=True).collect()
+    assert sorted((r["sample"], r["token"], r["s1"]) for r in got) == [(0, "a", 1.0), (0, "b", 1.0), (1, "c", 0.0)]
+
+
 def test_streams(spark, tmp_path):
     src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
     batch = lambda lo, hi: spark.range(lo, hi).selectExpr("id", "CAST(id AS STRING) AS author", "'x' AS text").write.mode("append").parquet(src)

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from stylomill.operators import segments as G
+from stylomill.operators.ranks import numbered_within
 
 
 def model(genre, counts):
@@ -65,3 +66,17 @@ def test_ids_and_nulls(spark, frame):
     t = G.segment_table(G.segment_parts(frame(rows), "tweet"))
     assert [(r["id"], r["author"], r["word_count"]) for r in G.numbered_segments(t).orderBy("id").collect()] == [(0, "a", 310), (1, "a", 320), (2, "b", 300)]
     assert G.segment_table(G.segment_parts(frame([]), "article")).count() == 0
+
+
+def test_numbers_in_a_hot_group(spark):
+    """Nine rows in ten are of one author: numbers as by a window, without a window over the author alone."""
+    rows = [(i, "hot" if i % 10 else f"a{i}", (i * 7919) % 1000) for i in range(2000)]
+    d = spark.createDataFrame(rows, "id BIGINT, author STRING, o INT").repartition(7)
+    got = {r["id"]: r["r"] for r in numbered_within(d, "author", "o", "id").collect()}
+    seen, want = {}, {}
+    for i, a, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        want[i] = seen[a] = seen.get(a, 0) + 1
+    assert got == want
+    plan = numbered_within(d, "author", "o", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("[author" not in line or "_p" in line or "windowspecdefinition(author" in line and "_n" in line for line in plan.splitlines() if "row_number" in line)
+    assert numbered_within(d.limit(0), "author", "o", "id").count() == 0
