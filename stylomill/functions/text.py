@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The 29 code points that count as blanks between words, as ranges of hexadecimal numbers.
-_BLANKS = "0009-000D 001C-0020 0085 00A0 1680 2000-200A 2028-2029 202F 205F 3000"
-BLANKS = "".join("-".join(chr(92) + "u" + x for x in part.split("-")) for part in _BLANKS.split())
+# The 29 code points that count as blanks between words.
+BLANKS = r"\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028-\u2029\u202F\u205F\u3000"
 WS = f"[{BLANKS}]+"
 NOT_WS = f"[^{BLANKS}]+"
 

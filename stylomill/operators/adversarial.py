@@ -157,6 +157,13 @@ def _layout(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame
     return laid, by("bin"), by("bin", "author"), by("author"), laid.agg(F.count("*").alias("n"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def adversarial_pairs(
     records: DataFrame, corpus: DataFrame, mode: str = "AA", pair_type: str = "impersonation", negatives: int = 1, most_uses: int = 50, swap: float = 0.5, seed: int = 7, rounds: int = 12
 ) -> DataFrame:
@@ -196,7 +203,7 @@ def adversarial_pairs(
     want = want.join(F.broadcast(bins.select(F.col("bin").alias("nbin"), F.col("b").alias("gb"), F.col("n").alias("gn"))), "nbin", "left")  # a row for each class
     want = want.join(blocks.select(F.col("bin").alias("nbin"), "author", F.col("b").alias("bb"), F.col("n").alias("bn")), ["nbin", "author"], "left").join(authors, "author", "left").crossJoin(n_all)
     want = materialize(want, "wanted")
-    got: DataFrame | None = None
+    parts: list[DataFrame] = []  # what each turn accepted, written once
     for turn in range(rounds):
         k = F.concat_ws("|", F.col("id").cast("string"), F.lit(pair_type), F.col("no").cast("string"), F.lit(str(turn)))
         nb, na = F.coalesce("gn", F.lit(0)) - F.coalesce("bn", F.lit(0)) if turn < rounds // 3 else F.lit(0), F.col("n_all") - F.coalesce("an", F.lit(0))
@@ -204,17 +211,19 @@ def adversarial_pairs(
         w = want.withColumn("pb", F.when(nb > 0, pb + F.when(pb >= F.col("bb"), F.col("bn")).otherwise(0))).withColumn("pa", F.when((nb <= 0) & (na > 0), pa + F.when(pa >= F.col("ab"), F.col("an")).otherwise(0)))
         n1 = w.where("pb IS NOT NULL").alias("s").join(laid.alias("c"), F.col("s.pb") == F.col("c.rn")).select(*[F.col(f"s.{c}") for c in (*cols, "no")], cand.alias("c"))
         n2 = w.where("pa IS NOT NULL").alias("s").join(laid2.alias("c"), F.col("s.pa") == F.col("c.ra")).select(*[F.col(f"s.{c}") for c in (*cols, "no")], cand.alias("c"))
-        new = n1.unionByName(n2).where("c.id <> id").withColumn("turn", F.lit(turn))
-        both = new if got is None else got.unionByName(new)
-        both = both.withColumn("u", F.row_number().over(Window.partitionBy("c.id").orderBy("turn", X.hash_order(seed, "id", "no"), "id", "no"))).where(F.col("u") <= most_uses).drop("u")
-        both = both.withColumn("d", F.row_number().over(Window.partitionBy("id", "c.id").orderBy("turn", "no"))).where("d = 1").drop("d")
-        got = materialize(both, "negatives")
-        left = materialize(want.join(got.select("id", "no"), ["id", "no"], "left_anti"), "wanted")
-        n_left = left.count()
-        if not n_left:
+        new = n1.unionByName(n2).where("c.id <> id").withColumn("d", F.row_number().over(Window.partitionBy("id", "c.id").orderBy("no"))).where("d = 1").drop("d")
+        if parts:
+            before = _union(parts).select("id", F.col("c.id").alias("cid"))
+            new = new.withColumn("cid", F.col("c.id")).join(before, ["id", "cid"], "left_anti")
+            new = new.join(before.groupBy("cid").agg(F.count("*").alias("used")), "cid", "left").drop("cid")
+        used = F.coalesce("used", F.lit(0)) if parts else F.lit(0)
+        turn_of = F.row_number().over(Window.partitionBy("c.id").orderBy(X.hash_order(seed, "id", "no"), "id", "no"))
+        parts.append(materialize(new.withColumn("u", turn_of + used).where(F.col("u") <= most_uses).select(*cols, "no", "c"), "negatives"))
+        want = materialize(want.join(parts[-1].select("id", "no"), ["id", "no"], "left_anti"), "wanted")
+        if want.isEmpty():
             break
-        want = left
-    pairs = pos.withColumn("no", F.lit(0)).unionByName(got.drop("turn").withColumn("label", F.lit(0)))
+    got = _union(parts)
+    pairs = pos.withColumn("no", F.lit(0)).unionByName(got.withColumn("label", F.lit(0)))
     out = pairs.join(corpus.select(F.col("id").alias("cid"), F.col("text").alias("ctext")), F.col("c.id") == F.col("cid"))
     flip = X.hash_uniform(seed, "id", "label", "no") < swap
     return out.select(
@@ -225,10 +234,11 @@ def adversarial_pairs(
     )
 
 
-def pair_counters(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: records, sources paired, positives, negatives, sources without a positive."""
+def pair_counters(pairs: DataFrame, records: DataFrame, negatives: int = 1) -> DataFrame:
+    """One row: records, sources paired, positives, negatives, sources without a positive, negatives that are missing."""
     n = pairs.agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"), F.countDistinct("id0").alias("n_sources"))
-    return n.crossJoin(records.agg(F.countDistinct("id").alias("n_records"))).withColumn("n_unpaired", F.col("n_records") - F.col("n_sources"))  # one row each
+    every = n.crossJoin(records.agg(F.countDistinct("id").alias("n_records")))  # one row each
+    return every.withColumns({"n_unpaired": F.col("n_records") - F.col("n_sources"), "n_unmet": F.col("n_pos") * negatives - F.col("n_neg")})
 
 
 def examples(rewritten: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def adv_pairs_metadata(spark, d):
     return A.adversarial_pairs(m, corpus(spark, d)).select("label", "id0", "id1", "pair_type", "genre0", "genre1", "impersonator")
 
 
-@query(_ADV_AA + " SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, count(DISTINCT id0) AS n_sources, any_value(r.n) AS n_records, any_value(r.n) - count(DISTINCT id0) AS n_unpaired FROM adv, (SELECT count(DISTINCT id) n FROM mods WHERE impersonator IS NOT NULL) r")
+@query(_ADV_AA + " SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, count(DISTINCT id0) AS n_sources, any_value(r.n) AS n_records, any_value(r.n) - count(DISTINCT id0) AS n_unpaired, count(*) FILTER (label = 1) - count(*) FILTER (label = 0) AS n_unmet FROM adv, (SELECT count(DISTINCT id) n FROM mods WHERE impersonator IS NOT NULL) r")
 def adv_pair_counters(spark, d):
     m = A.modified_records(table(spark, d, "rewritten")).where("impersonator IS NOT NULL")
     return A.pair_counters(A.adversarial_pairs(m, corpus(spark, d)), m)

@@ -10,7 +10,7 @@ from stylomill.operators import lines as L
 from stylomill.plans.common import corpus, table
 from stylomill.plans.registry import query
 from stylomill.plans.sql import CORPUS
-from stylomill.streaming.streams import windowed_counts
+from stylomill.streaming.streams import run_complete, windowed_counts
 
 _LINES = f"{CORPUS}, l AS (SELECT id, unnest(string_split(text, chr(10))) v, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_no FROM corpus WHERE text IS NOT NULL)"
 _CLEAN = r"trim(translate(regexp_replace(trim(v, ' '), '<\d{2}:\d{2}:\d{2}\.\d{3}><c>|</c>', '', 'g'), '“”\"', ''), ' ')"
@@ -59,11 +59,21 @@ def encoded_pairs(spark, d):
     return p.select("id0", "id1", "label", F.round(cosine(e("text0"), e("text1")), 5).alias("score"))
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+_WINDOWS = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query(_WINDOWS)
 def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+@query(_WINDOWS)
+def event_windows_stream(spark, d):
+    """The same counts from a stream over the table's files."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern: the table may be a file or a folder
+    return run_complete(windowed_counts(events, late=None), "windows").withColumn("total", F.round("total", 4))
+
+
 @query("""WITH r AS (SELECT dataset AS model, mode AS test_set, count(*) FILTER ((author0 = author1) <> (label = 1)) / count(*) error_rate, count(*) FILTER (author0 <> author1 AND label = 1) fp, count(*) FILTER (author0 = author1 AND label = 0) fn,
 count(*) FILTER (id0 = id1) self_pair, count(*) FILTER (abs(length(text0) - length(text1)) > 500) length_imbalance FROM pairs GROUP BY 1, 2) SELECT model, test_set, round(error_rate, 4) AS error_rate, fp, fn, self_pair, length_imbalance FROM r""")
 def error_rollup(spark, d):
