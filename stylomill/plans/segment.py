@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stylomill.operators import segments as G
 from stylomill.plans.common import corpus, counted
 from stylomill.plans.registry import query
-from stylomill.plans.sql import CORPUS, n_words
+from stylomill.plans.sql import CORPUS, n_words, words
 
 # a recursive fold over each author's documents: r, words waiting, their documents, the segment that a document completed
 _TWEETS = f"""WITH RECURSIVE {CORPUS}, o AS (SELECT author, id, {n_words('text')} w, row_number() OVER (PARTITION BY author ORDER BY id) r FROM corpus WHERE lower(genre) = 'tweet' AND author IS NOT NULL AND {n_words('text')} > 0),
@@ -58,3 +58,20 @@ def segment_texts(spark, d):
 
 
 query()(segment_texts)
+
+
+def _digests(spark, d, genre: str):
+    t = G.with_texts(G.segment_parts(counted(spark, d), genre), corpus(spark, d), genre)
+    return t.select("author", "seg_no", F.md5("text").alias("text_md5"))
+
+
+@query(_TWEETS + f""", u AS (SELECT author, seg - 1 seg_no, unnest(string_split(done[2:], ',')) id, unnest(range(len(string_split(done[2:], ',')))) i FROM f WHERE n IS NOT NULL)
+SELECT u.author, seg_no, md5(string_agg(array_to_string({words('c.text')}[1:420], ' '), chr(10) || '<SEP>' || chr(10) ORDER BY i)) AS text_md5 FROM u JOIN corpus c ON CAST(c.id AS VARCHAR) = u.id GROUP BY u.author, seg_no""")
+def segment_texts_tweet(spark, d):
+    return _digests(spark, d, "tweet")
+
+
+@query(_ARTICLES + f"""SELECT f.author, f.seg AS seg_no, md5(string_agg(array_to_string({words('x.text')}[greatest(f.b - c.lo, 0) + 1:least(f.e, c.hi) - c.lo], ' '), ' ' ORDER BY c.r)) AS text_md5
+FROM f JOIN c ON c.author = f.author AND c.lo < f.e AND c.hi > f.b JOIN corpus x ON x.id = c.id WHERE f.seg >= 0 GROUP BY f.author, f.seg""")
+def segment_texts_article(spark, d):
+    return _digests(spark, d, "article")
