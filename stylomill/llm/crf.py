@@ -17,6 +17,8 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Blanks before it, and letters, digits, a line end or a sign: every character is in one token, but for blanks at the end.
 TOKEN = re.compile(r"[^\S\n]*(?:[^\W\d_]+|\d+|\n|[^\w\s]|_)")
 REACH, CHUNK_REACH = 4, 2
+#: Tokens of a line that are decoded as one sequence; a longer line is cut after sentences.
+LONG = 4096
 _EDGE = "\x00"
 _BETWEEN = " " + f"{_EDGE} " * REACH
 
@@ -214,15 +216,26 @@ class Tokens:
         words, first = _runs(inside, line | edge, capital.astype(np.int64))
         before = np.concatenate(([True], c["stop"][:-1] > 0))
         self.capitals = np.where(inside, (np.minimum(words, N_CAPITALS // 4 - 1) * 2 + before[first]) * 2 + (first == place), 0)
-        self.line = line
+        self.line, self.stop = line, (c["stop"] > 0) & after
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where sequences begin among the real tokens, and their sizes: the lines of each text."""
+        """Where sequences begin among the real tokens, and their sizes: the lines of each text, very long ones cut after sentences."""
         if not len(self.real):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         t, line = self.text[self.real], self.line[self.real]
         cut = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | line[:-1])))
-        return cut, np.diff(np.concatenate((cut, [len(self.real)])))
+        size = np.diff(np.concatenate((cut, [len(self.real)])))
+        if size.max() > LONG:
+            more, stops = [], np.flatnonzero(self.stop[self.real]) + 1
+            for lo, n in zip(cut[size > LONG], size[size > LONG]):
+                at, end = int(lo), int(lo + n)
+                while end - at > LONG:
+                    k = int(np.searchsorted(stops, at + LONG, side="right")) - 1
+                    at = int(stops[k]) if k >= 0 and stops[k] > at else at + LONG
+                    more.append(at)
+            cut = np.union1d(cut, np.array(more, np.int64))
+            size = np.diff(np.concatenate((cut, [len(self.real)])))
+        return cut, size
 
 
 def _sums(k: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -453,6 +453,16 @@ def test_personal_data(spark):
     assert P.masked_texts(docs).count() == 6 and P.personal_items(docs.limit(0)).count() == 0
 
 
+def test_long_lines_are_cut_after_sentences():
+    text = "We met Karin Whitlow at the pier. Call (202) 555-0147 now. " * 900
+    finder = P.Finder(P.trained(), frozenset(["karin"]))
+    cut, size = finder.crf.tokens([text, "short"]).sequences()
+    assert size.max() <= crf.LONG and size.sum() == cut[-1] + size[-1] and len(cut) > 4
+    found = finder([text])[0]
+    assert len(found) == 1800 and {text[a:b] for a, b, _ in found} == {"Karin Whitlow", "(202) 555-0147"}
+    assert finder(["word " * 20000])[0] == []
+
+
 def test_names_that_no_author_bears(spark):
     texts = ["Police later spoke to Zbigniew Harrowell and two others.", "a message from J. R. Whitmore arrived late.", "The complaint names Oyelaran Fennick as the tenant.", "The nurse, Captain Quillon Marsh, agreed.", "I met Priya Raghunathan, and Wei Zhang told Oluwaseun Adeyemi.", "Critics in Upper Tarnmere met the Hollow Vale Council."]
     docs = spark.createDataFrame([(i, "Grace Hill", t) for i, t in enumerate(texts)], "id BIGINT, author STRING, text STRING")
