@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stylomill.llm import canonical, crf, group_split, leakage, mixture, near_duplicates as N, packing, personal_data as P, responses as R, shingles as S, split_overlap as O
 
@@ -419,6 +420,37 @@ def test_responses_table(spark):
     assert R.defective_responses(spark.createDataFrame([], schema), docs.limit(0)).count() == 0
 
 
+def test_responses_models_see_all_rows(spark):
+    """A word that only prompts beyond the first 2,000 ids by hash say, and always at the end of a sentence, isn't cut."""
+    late = {r["id"] for r in spark.range(1, 2301).selectExpr("id").orderBy(F.xxhash64("id", F.lit(3)), "id").collect()[2000:]}
+    g = random.Random(5)
+    a, b = "council mayor teacher baker farmer doctor painter".split(), "bridge harbour gallery market garden river school".split()
+
+    def sentences(end):
+        return [f"The {g.choice(a)} of the {g.choice(b)} saw the {g.choice(b)} with the {g.choice(a)} {x}." for x in ("in March", "after noon", end)]
+
+    docs = [(i, " ".join(sentences("near the quorvel" if i in late else "near the church")), 1) for i in range(1, 2301)]
+    rows = [(i, "x", t.replace("saw", "noticed").replace("with", "beside").replace("The ", "Each "), None, None) for i, t, _ in docs]
+    docs.append((5000, "We heard at once of all these plans when our visitors left. They spoke of money.", 1))
+    rows.append((5000, "x", "It was said in March that nobody had any doubt. They say the old people still go for walks by the quorvel", None, None))
+    rows.append((5000, None, None, "It was said in March that nobody had any doubt. They say the old people still go for walks with the", None))
+    docs = spark.createDataFrame(docs, "id BIGINT, text STRING, ingested_at INT")
+    rows = spark.createDataFrame(rows, "id BIGINT, impersonator STRING, impersonated_text STRING, obfuscated_text STRING, error STRING")
+    assert [(r["field"], r["defect"]) for r in R.defective_responses(rows, docs).where("id = 5000").collect()] == [("obfuscated_text", "truncated")]
+
+
+def test_responses_table_as_texts_at_hand(spark):
+    """Counts, gradients and Newton steps in passes over the table give what models fitted on all texts at hand say."""
+    rewritten, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("rewritten", "docs"))
+    got = {tuple(r) for r in R.defective_responses(rewritten.repartition(7, "id"), docs.repartition(5)).collect()}
+    rows = rewritten.where("error IS NULL").selectExpr("id", "if(impersonator IS NULL, 'obfuscated_text', 'impersonated_text') field", "if(impersonator IS NULL, obfuscated_text, impersonated_text) response").distinct()
+    prompts = docs.where("text IS NOT NULL").join(rows, "id", "left_semi").groupBy("id").agg(F.max_by("text", F.struct("ingested_at", "text")).alias("prompt"))
+    rows = [tuple(r) for r in rows.join(prompts, "id", "left").select("id", "field", "prompt", "response").collect()]
+    every = R.Judge([(p, r) for _, _, p, r in rows if p is not None and r], sorted({p for _, _, p, _ in rows if p is not None}))
+    langs = R.Languages()
+    assert got == {(i, f, d) for i, f, p, r in rows if (d := every(p, r, langs))} and len(got) > 50
+
+
 def test_language_accuracy():
     """Held-out sentences, not in the seeds."""
     held = {
